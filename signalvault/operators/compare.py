@@ -40,7 +40,7 @@ class Side:
     attrs: DataFrame
 
 
-def _align(left: DataFrame, right: DataFrame, on: Sequence[str], payload: Sequence[str]) -> DataFrame:
+def align(left: DataFrame, right: DataFrame, on: Sequence[str], payload: Sequence[str]) -> DataFrame:
     """Full outer join keeping both sides' payload as the structs ``a`` and ``b``."""
     def packed(df: DataFrame, name: str) -> DataFrame:
         return df.select(*on, F.struct(*payload, F.lit(True).alias("there")).alias(name))
@@ -53,6 +53,12 @@ def _one_sided() -> Column:
             .when(F.col("a").isNull(), F.lit(ONLY_SECOND)))
 
 
+def keys_only_in(first: DataFrame, second: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Keys that one side lacks, with the side that has them; no row if the key sets are equal."""
+    aligned = align(first.select(*on).distinct(), second.select(*on).distinct(), on, [])
+    return aligned.select(*on, _one_sided().alias("side")).where(F.col("side").isNotNull())
+
+
 def leaf_difference() -> Column:
     """What differs in an aligned leaf row, cheapest test first; NULL if nothing."""
     a, b = F.col("a"), F.col("b")
@@ -67,20 +73,17 @@ def leaf_difference() -> Column:
 
 
 def leaf_differences(left: DataFrame, right: DataFrame, unit: Sequence[str]) -> DataFrame:
-    aligned = _align(left, right, [*unit, "path", "seg"], LEAF)
+    aligned = align(left, right, [*unit, "path", "seg"], LEAF)
     return (aligned.select(*unit, "path", leaf_difference().alias("difference"))
             .where(F.col("difference").isNotNull()))
 
 
 def group_differences(left: DataFrame, right: DataFrame, unit: Sequence[str]) -> DataFrame:
-    on = [*unit, "path"]
-    aligned = _align(left.select(*on).distinct(), right.select(*on).distinct(), on, [])
-    return (aligned.select(*on, _one_sided().alias("difference"))
-            .where(F.col("difference").isNotNull()))
+    return keys_only_in(left, right, [*unit, "path"]).withColumnRenamed("side", "difference")
 
 
 def attr_differences(left: DataFrame, right: DataFrame, unit: Sequence[str]) -> DataFrame:
-    aligned = _align(left, right, [*unit, "path", "name"], ATTR)
+    aligned = align(left, right, [*unit, "path", "name"], ATTR)
     found = (
         F.when(F.col("a").isNull() | F.col("b").isNull(), F.lit(ATTR_KEYS))
         .when(~attr_values_equal("a", "b"), F.concat(F.lit(f"{ATTR_VALUE}: "), F.col("name")))

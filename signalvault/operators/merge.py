@@ -23,7 +23,7 @@ class Merge:
     stats: DataFrame      # one row of counters
 
 
-def _stack(frames: Sequence[DataFrame]) -> DataFrame:
+def stacked(frames: Sequence[DataFrame]) -> DataFrame:
     """All sources in order, with the place of the source as ``src`` (from 1)."""
     return reduce(DataFrame.unionByName,
                   [f.withColumn("src", F.lit(i)) for i, f in enumerate(frames, start=1)])
@@ -85,7 +85,7 @@ def tree_occurrences(trees: DataFrame) -> DataFrame:
 
 
 def _with_src(target: DataFrame, sources: Sequence[DataFrame]) -> DataFrame:
-    return target.withColumn("src", F.lit(0)).unionByName(_stack(sources))
+    return target.withColumn("src", F.lit(0)).unionByName(stacked(sources))
 
 
 def merge(target: Store, sources: Sequence[Store], strategy: str = "skip") -> Merge:
@@ -106,7 +106,7 @@ def merge(target: Store, sources: Sequence[Store], strategy: str = "skip") -> Me
     chosen = winners(holders, strategy)
 
     def taken(rows: Sequence[DataFrame]) -> DataFrame:
-        return _stack(rows).join(chosen, [*KEY, "src"], "left_semi").drop("src")
+        return stacked(rows).join(chosen, [*KEY, "src"], "left_semi").drop("src")
 
     def kept(rows: DataFrame) -> DataFrame:
         if strategy == "skip":

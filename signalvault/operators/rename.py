@@ -196,12 +196,16 @@ def mapping_of(lines: DataFrame) -> DataFrame:
     return conform(lines, MAPPING)
 
 
-def ready_lines(remaining: DataFrame) -> DataFrame:
-    """Lines with no earlier remaining line that shares a name: they may act together."""
-    names = remaining.select("line_no", F.explode(F.array("old_name", "new_name")).alias("name"))
-    earliest = names.groupBy("name").agg(F.min("line_no").alias("first_line"))
+def ready_lines(remaining: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+    """Lines with no earlier remaining line that shares a name: they may act together.
+
+    A name counts inside its ``scope``: the same signal name in two trees is no tie.
+    """
+    names = remaining.select("line_no", *scope, F.explode(F.array("old_name", "new_name")).alias("name"))
+    by = [*scope, "name"]
+    earliest = names.groupBy(*by).agg(F.min("line_no").alias("first_line"))
     blocked = (
-        names.join(earliest, "name").where(F.col("line_no") > F.col("first_line"))
+        names.join(earliest, by).where(F.col("line_no") > F.col("first_line"))
         .select("line_no").distinct()
     )
     return remaining.join(blocked, "line_no", "left_anti")
@@ -222,9 +226,13 @@ def rename_batch(store: Store, mapping: DataFrame, level: str = "tree", dry_run:
         judged, diffs = judge(store, candidates(labels, acting, level), level)
         return Rename(report(lines, judged, level), diffs, store)
     labels, remaining = cut_lineage(labels), cut_lineage(acting)
+    # A tree line without a shot acts on all shots; then names tie across shots.
+    scope = SCOPES[level]
+    if level == "tree" and not remaining.where(F.col("shot").isNull()).isEmpty():
+        scope = []
     done, found = [], []
     while not remaining.isEmpty():
-        ready = cut_lineage(ready_lines(remaining))
+        ready = cut_lineage(ready_lines(remaining, scope))
         judged, diffs = judge(store, candidates(labels, ready, level), level)
         labels = cut_lineage(relabel(labels, judged, level))
         remaining = cut_lineage(remaining.join(ready, "line_no", "left_anti"))
