@@ -46,17 +46,17 @@ def empty(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
-def with_ancestors(keys: DataFrame) -> DataFrame:
-    """Signal keys -> group rows of the signals, their trees and their shots."""
+def with_ancestors(keys: DataFrame, *by: str) -> DataFrame:
+    """Signal keys -> group rows of the signals, their trees and their shots, each once (per ``by``)."""
     none = F.lit(None).cast("string")
     return (
-        keys.select(*KEY).distinct()
-        .select(F.explode(F.array(
+        keys.select(*by, *KEY).distinct()
+        .select(*by, F.explode(F.array(
             F.struct("shot", "tree", "signal", F.lit("signal").alias("level")),
             F.struct("shot", "tree", none.alias("signal"), F.lit("tree").alias("level")),
             F.struct("shot", none.alias("tree"), none.alias("signal"), F.lit("shot").alias("level")),
         )).alias("g"))
-        .select("g.*").distinct()
+        .select(*by, "g.*").distinct()
     )
 
 

@@ -54,8 +54,9 @@ def _one_sided() -> Column:
 
 
 def keys_only_in(first: DataFrame, second: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Keys that one side lacks, with the side that has them; no row if the key sets are equal."""
-    aligned = align(first.select(*on).distinct(), second.select(*on).distinct(), on, [])
+    """Keys that one side lacks, with the side that has them; no row if the key sets are
+    equal. Each side lists a key once, as the groups of a store do."""
+    aligned = align(first, second, on, [])
     return aligned.select(*on, _one_sided().alias("side")).where(F.col("side").isNotNull())
 
 

@@ -47,19 +47,6 @@ def winners(holders: DataFrame, strategy: str) -> DataFrame:
     return holders.where(F.col("n_src") > 0).select(*KEY, F.col("last_src").alias("src"))
 
 
-def merge_rows(rows: DataFrame, chosen: DataFrame, strategy: str) -> DataFrame:
-    """Payload rows (src, key, ...) that survive, given the chosen sources.
-
-    Rows of the target (src 0) stay whole under ``skip`` and are not joined at all;
-    otherwise those of overwritten keys go.
-    """
-    target, sources = rows.where(F.col("src") == 0), rows.where(F.col("src") > 0)
-    taken = sources.join(chosen, [*KEY, "src"], "left_semi").select(*rows.columns)
-    if strategy != "skip":
-        target = target.join(chosen.select(*KEY), KEY, "left_anti").select(*rows.columns)
-    return target.unionByName(taken)
-
-
 def merge_counts(holders: DataFrame, tree_holders: DataFrame, n_sources: int, strategy: str,
                  ) -> DataFrame:
     """The five counters as one row."""
@@ -84,8 +71,9 @@ def tree_occurrences(trees: DataFrame) -> DataFrame:
     return trees.groupBy("shot", "tree").agg((F.min("src") == 0).alias("in_target"))
 
 
-def _with_src(target: DataFrame, sources: Sequence[DataFrame]) -> DataFrame:
-    return target.withColumn("src", F.lit(0)).unionByName(stacked(sources))
+def stack(sources: Sequence[Store]) -> Store:
+    """Sources in order as one store whose tables have a ``src`` column, from 1."""
+    return Store(*[stacked([getattr(s, name) for s in sources]) for name in ("nodes", "groups", "attrs")])
 
 
 def merge(target: Store, sources: Sequence[Store], strategy: str = "skip") -> Merge:
@@ -95,31 +83,47 @@ def merge(target: Store, sources: Sequence[Store], strategy: str = "skip") -> Me
     (they differ in how overwritten signals are counted), ``error`` stops a source at
     its first duplicate. Shot- and tree-level attributes of sources are not taken over.
     """
+    return merge_stacked(target, stack(sources), len(sources), strategy)
+
+
+def merge_stacked(target: Store, sources: Store, n_sources: int, strategy: str = "skip") -> Merge:
+    """``merge`` for sources that are one table already, told apart by ``src`` (from 1).
+
+    The plan does not grow with the number of sources. Only key columns are ranked;
+    target content is never shuffled under ``skip``.
+    """
     if strategy == "error":
-        return _merge_error(target, sources)
+        return _merge_error(target, sources, n_sources)
     if strategy not in ("skip", "overwrite", "upsert"):
         raise ValueError(f"unknown strategy {strategy!r}")
-    groups = _with_src(target.groups, [s.groups for s in sources])
+    groups = _all_groups(target, sources)
     level = F.col("level")
     holders = occurrences(groups.where(level == "signal").select("src", *KEY))
     trees = tree_occurrences(groups.where(level == "tree").select("src", "shot", "tree"))
     chosen = winners(holders, strategy)
 
-    def taken(rows: Sequence[DataFrame]) -> DataFrame:
-        return stacked(rows).join(chosen, [*KEY, "src"], "left_semi").drop("src")
+    def taken(rows: DataFrame) -> DataFrame:
+        return rows.join(chosen, [*KEY, "src"], "left_semi").drop("src")
 
     def kept(rows: DataFrame) -> DataFrame:
         if strategy == "skip":
             return rows
         return rows.join(chosen.select(*KEY), KEY, "left_anti").select(*rows.columns)
 
-    all_groups = conform(groups.drop("src").distinct(), GROUPS)
-    added = Store(taken([s.nodes for s in sources]), all_groups, taken([s.attrs for s in sources]))
     # A NULL signal joins nothing: an anti join keeps the target's shot and tree
     # attributes, a semi join drops the sources' ones.
-    store = Store(kept(target.nodes).unionByName(added.nodes), all_groups,
+    added = Store(taken(sources.nodes), _distinct(groups), taken(sources.attrs))
+    store = Store(kept(target.nodes).unionByName(added.nodes), added.groups,
                   kept(target.attrs).unionByName(added.attrs))
-    return Merge(store, added, merge_counts(holders, trees, len(sources), strategy))
+    return Merge(store, added, merge_counts(holders, trees, n_sources, strategy))
+
+
+def _all_groups(target: Store, sources: Store) -> DataFrame:
+    return target.groups.withColumn("src", F.lit(0)).unionByName(sources.groups)
+
+
+def _distinct(groups: DataFrame) -> DataFrame:
+    return conform(groups.drop("src").distinct(), GROUPS)
 
 
 def before(bound: Sequence[str], columns: Sequence[str] = KEY, inclusive: bool = False) -> Column:
@@ -165,37 +169,41 @@ def find_bounds(keys: DataFrame, n_sources: int) -> list[tuple[str, str, str] |
         held.unpersist()
 
 
-def cut_at(rows: DataFrame, bound: tuple[str, str, str] | None) -> DataFrame:
-    """Rows of a source that come before its first duplicate: a filter on literals."""
-    return rows if bound is None else rows.where(before(bound))
+def cut_at(rows: DataFrame, bounds: Sequence[tuple[str, str, str] | None]) -> DataFrame:
+    """Source rows that come before their source's first duplicate: a filter on literals."""
+    keep = F.lit(True)
+    for i, bound in enumerate(bounds, start=1):
+        if bound is not None:
+            keep = keep & ((F.col("src") != i) | before(bound))
+    return rows.where(keep)
 
 
-def cut_groups(groups: DataFrame, bound: tuple[str, str, str] | None) -> DataFrame:
+def cut_groups(groups: DataFrame, bounds: Sequence[tuple[str, str, str] | None]) -> DataFrame:
     """Group rows a source creates before it stops: the failing shot and tree included."""
-    if bound is None:
-        return groups
-    level = F.col("level")
-    return groups.where(
-        ((level == "shot") & before(bound[:1], KEY[:1], inclusive=True))
-        | ((level == "tree") & before(bound[:2], KEY[:2], inclusive=True))
-        | ((level == "signal") & before(bound)))
-
-
-def _merge_error(target: Store, sources: Sequence[Store]) -> Merge:
+    keep, level = F.lit(True), F.col("level")
+    for i, bound in enumerate(bounds, start=1):
+        if bound is not None:
+            keep = keep & (
+                (F.col("src") != i)
+                | ((level == "shot") & before(bound[:1], KEY[:1], inclusive=True))
+                | ((level == "tree") & before(bound[:2], KEY[:2], inclusive=True))
+                | ((level == "signal") & before(bound)))
+    return groups.where(keep)
+
+
+def _merge_error(target: Store, sources: Store, n_sources: int) -> Merge:
     """Each source is inserted up to its first duplicate; the next source goes on."""
-    keys = _with_src(target.signal_keys(), [s.signal_keys() for s in sources])
-    bounds = find_bounds(keys, len(sources))
-    cut = [Store(cut_at(s.nodes, b), cut_groups(s.groups, b), cut_at(s.attrs, b))
-           for s, b in zip(sources, bounds)]
-    groups = _with_src(target.groups, [c.groups for c in cut])
+    keys = _all_groups(target, sources).where(F.col("level") == "signal").select("src", *KEY)
+    bounds = find_bounds(keys, n_sources)
+    cut = cut_groups(sources.groups, bounds)
+    groups = target.groups.withColumn("src", F.lit(0)).unionByName(cut)
     trees = tree_occurrences(groups.where(F.col("level") == "tree").select("src", "shot", "tree"))
-    all_groups = conform(groups.drop("src").distinct(), GROUPS)
-    nodes = reduce(DataFrame.unionByName, [c.nodes for c in cut])
-    attrs = reduce(DataFrame.unionByName,
-                   [c.attrs.where(F.col("signal").isNotNull()) for c in cut])
-    added = Store(nodes, all_groups, attrs)
-    store = Store(target.nodes.unionByName(nodes), all_groups, target.attrs.unionByName(attrs))
-    inserted = groups.where((F.col("src") > 0) & (F.col("level") == "signal"))
+    signal_attrs = sources.attrs.where(F.col("signal").isNotNull())
+    added = Store(cut_at(sources.nodes, bounds).drop("src"), _distinct(groups),
+                  cut_at(signal_attrs, bounds).drop("src"))
+    store = Store(target.nodes.unionByName(added.nodes), added.groups,
+                  target.attrs.unionByName(added.attrs))
+    inserted = cut.where(F.col("level") == "signal")
     return Merge(store, added, error_counts(inserted, trees, bounds))
 
 

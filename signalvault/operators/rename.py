@@ -42,7 +42,7 @@ class Rename:
 
 def labels_of(store: Store, level: str) -> DataFrame:
     return store.at_level(level).select(
-        *SCOPES[level], F.col(level).alias("origin"), F.col(level).alias("current")).distinct()
+        *SCOPES[level], F.col(level).alias("origin"), F.col(level).alias("current"))
 
 
 def runnable(lines: DataFrame, level: str) -> DataFrame:

@@ -20,8 +20,7 @@ def header_blocks(lines: DataFrame, is_header: Callable[[Column], Column], *by:
     and nothing is shuffled. Gives by..., block (from 0), first_head and head
     (places from 0), header, items. Lines above the first header belong to no block.
     """
-    heads = F.filter(F.sequence(F.lit(0), F.size("lines") - 1),
-                     lambda i: is_header(F.get("lines", i)))
+    heads = F.filter(F.transform("lines", lambda x, i: F.when(is_header(x), i)), lambda i: i.isNotNull())
     blocks = F.transform(
         F.col("heads"),
         lambda head, k: F.struct(
@@ -30,8 +29,7 @@ def header_blocks(lines: DataFrame, is_header: Callable[[Column], Column], *by:
                     F.coalesce(F.get("heads", k + 1), F.size("lines")) - head - 1).alias("items")),
     )
     return (
-        lines.where(F.size("lines") > 0)
-        .select(*by, "lines", heads.alias("heads"))
+        lines.select(*by, "lines", heads.alias("heads"))
         .select(*by, F.get("heads", F.lit(0)).alias("first_head"),
                 F.posexplode(blocks).alias("block", "b"))
         .select(*by, "block", "first_head", "b.head", "b.header", "b.items")

@@ -18,8 +18,8 @@ _COUNTS = "CAST({} AS BIGINT) AS {}".format
 
 
 def _merged(strategy: str, spark: SparkSession, sf: str) -> mg.Merge:
-    target, *sources = t.event_stores(spark, sf)
-    return mg.merge(target, sources, strategy)
+    target, sources = t.target_and_stack(t.event_rows(spark, sf))
+    return mg.merge_stacked(target, sources, 2, strategy)
 
 
 # -- resulting content ------------------------------------------------------------
@@ -45,14 +45,13 @@ def upsert(spark: SparkSession, sf: str) -> DataFrame:
     return t.summary(_merged("upsert", spark, sf).store.nodes)
 
 
-def _error_stores(spark: SparkSession, sf: str) -> list[Store]:
+def _error_merge(spark: SparkSession, sf: str) -> mg.Merge:
     """Target: source-0 shots from '5' on. The third source shares no key with the others."""
     rows = t.event_rows(spark, sf)
-    high = F.col("shot") >= "5"
-    third = rows.where((F.col("src") == 0) & ~high).withColumn("tree", F.lit("extra"))
-    parts = [rows.where((F.col("src") == 0) & high), rows.where(F.col("src") == 1),
-             rows.where(F.col("src") == 2), third]
-    return [t.as_store(p) for p in parts]
+    third = (F.col("src") == 0) & (F.col("shot") < "5")
+    rows = rows.withColumns({"src": F.when(third, F.lit(3)).otherwise(F.col("src")),
+                             "tree": F.when(third, F.lit("extra")).otherwise(F.col("tree"))})
+    return mg.merge_stacked(*t.target_and_stack(rows), 3, "error")
 
 
 _ERROR = f"""{t.EVENTS},
@@ -77,8 +76,7 @@ _ERROR = f"""{t.EVENTS},
 @query("merge_error", f"""WITH {_ERROR} SELECT shot, tree, signal, count(*) AS n_nodes, max(event_id) AS last_id
  FROM t3 GROUP BY ALL""")
 def merge_error(spark: SparkSession, sf: str) -> DataFrame:
-    target, *sources = _error_stores(spark, sf)
-    return t.summary(mg.merge(target, sources, "error").store.nodes)
+    return t.summary(_error_merge(spark, sf).store.nodes)
 
 
 # -- counters ---------------------------------------------------------------------
@@ -118,8 +116,7 @@ def upsert_stats(spark: SparkSession, sf: str) -> DataFrame:
   (SELECT count(*) FROM (SELECT DISTINCT src, shot, tree, signal FROM t3 WHERE src > 0)) AS signals_added,
   CAST(0 AS BIGINT) AS signals_skipped, CAST(0 AS BIGINT) AS signals_overwritten""")
 def merge_error_stats(spark: SparkSession, sf: str) -> DataFrame:
-    target, *sources = _error_stores(spark, sf)
-    return mg.merge(target, sources, "error").stats
+    return _error_merge(spark, sf).stats
 
 
 # -- the parts of a merge ---------------------------------------------------------

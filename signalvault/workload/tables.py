@@ -163,10 +163,12 @@ def event_rows(spark: SparkSession, sf: str) -> DataFrame:
         "event_id", "value", "user_id", (k % 8).alias("k"))
 
 
-def as_nodes(rows: DataFrame, value: str = "value") -> DataFrame:
-    return conform(rows.withColumns({
+def as_nodes(rows: DataFrame, *more: str) -> DataFrame:
+    """Leaf rows as nodes, each event a scalar; ``more`` columns are kept in addition."""
+    nodes = rows.withColumns({
         "node": F.col("event_id").cast("string"), "seg": F.lit(0), "kind": F.lit("f64"),
-        "shape": F.array().cast("array<bigint>"), "f64": F.array(value)}), NODES)
+        "shape": F.array().cast("array<bigint>"), "f64": F.array("value")})
+    return conform(nodes, ", ".join([NODES, *[f"{c} int" for c in more]]))
 
 
 def as_store(rows: DataFrame) -> Store:
@@ -174,11 +176,23 @@ def as_store(rows: DataFrame) -> Store:
     return Store(as_nodes(rows), with_ancestors(rows), empty(rows.sparkSession, ATTRS))
 
 
+def as_stack(rows: DataFrame) -> Store:
+    """Leaf rows with ``src`` -> the sources as one store."""
+    return Store(as_nodes(rows, "src"), with_ancestors(rows, "src"),
+                 empty(rows.sparkSession, ATTRS + ", src int"))
+
+
 def event_stores(spark: SparkSession, sf: str) -> list[Store]:
+    """Target and two sources, each on its own."""
     rows = event_rows(spark, sf)
     return [as_store(rows.where(F.col("src") == i)) for i in range(3)]
 
 
+def target_and_stack(rows: DataFrame) -> tuple[Store, Store]:
+    """Leaf rows with ``src`` -> the target (0) and the sources together."""
+    return as_store(rows.where(F.col("src") == 0)), as_stack(rows.where(F.col("src") > 0))
+
+
 EVENTS = """ev AS (SELECT (day(ts) - 1) % 3 AS src, CAST(user_id AS VARCHAR) AS shot, event_type AS tree,
   'K' || (CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) % 8) AS signal,
   CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) % 8 AS k, event_id, value, user_id FROM events),
