@@ -153,16 +153,17 @@ def first_duplicates(holders: DataFrame, n_sources: int) -> list[tuple[str, str,
     return bounds
 
 
-def holders_with_sources(keys: DataFrame) -> DataFrame:
-    """Keys some source holds, with ``srcs``: at most one entry per source."""
+def contested(keys: DataFrame) -> DataFrame:
+    """Keys that could be a duplicate: a source holds them, and the target or another
+    source too. ``srcs`` has at most one entry per source."""
     source = F.when(F.col("src") > 0, F.col("src"))
     return keys.groupBy(*KEY).agg(
         (F.min("src") == 0).alias("in_target"), F.collect_set(source).alias("srcs"),
-    ).where(F.size("srcs") > 0)
+    ).where((F.size("srcs") > 1) | (F.col("in_target") & (F.size("srcs") > 0)))
 
 
 def find_bounds(keys: DataFrame, n_sources: int) -> list[tuple[str, str, str] | None]:
-    held = holders_with_sources(keys).persist(StorageLevel.MEMORY_AND_DISK)
+    held = contested(keys).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return first_duplicates(held, n_sources)
     finally:

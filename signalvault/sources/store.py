@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalvault.model import ATTRS, GROUPS, NODES, Store, conform, empty
+from signalvault.operators.merge import Merge, merge_stacked
 from signalvault.sources import files
 
 _SCHEMAS = {"nodes": NODES, "groups": GROUPS, "attrs": ATTRS}
@@ -110,3 +111,19 @@ def replace_trees(store: Store, root: str, trees: list[str]) -> int:
         "nodes": kept + _write(root, "nodes", version, nodes),
         "groups": _write(root, "groups", version, store.groups),
         "attrs": _write(root, "attrs", version, store.attrs)})
+
+
+def merge_into(root: str, sources: Store, n_sources: int, strategy: str = "skip") -> Merge:
+    """Merge stacked sources into the store at ``root`` and commit the result.
+
+    ``skip`` and ``error`` only add, so existing folders stay as they are. The other
+    strategies rewrite the trees the sources name; all others are not even read.
+    """
+    spark = sources.nodes.sparkSession
+    merged = merge_stacked(read_store(spark, root), sources, n_sources, strategy)
+    if strategy in ("skip", "error"):
+        append_store(merged.added, root)
+    else:
+        named = sources.groups.where(F.col("level") == "tree").select("tree").distinct()
+        replace_trees(merged.store, root, [row.tree for row in named.collect()])
+    return merged

@@ -238,11 +238,21 @@ def store_write(spark: SparkSession, sf: str) -> DataFrame:
 @query("merge_append", f"WITH {t.EVENTS}, {t.HOLDERS} {_SKIP}")
 def merge_append(spark: SparkSession, sf: str) -> DataFrame:
     """A ``skip`` merge on disk: only what the sources add is written."""
+    return t.summary(_merged_on_disk("skip", spark, sf).nodes)
+
+
+@query("merge_replace", f"WITH {t.EVENTS}, {t.HOLDERS} {_LAST}")
+def merge_replace(spark: SparkSession, sf: str) -> DataFrame:
+    """An ``overwrite`` merge on disk: the trees the sources name are rewritten."""
+    return t.summary(_merged_on_disk("overwrite", spark, sf).nodes)
+
+
+def _merged_on_disk(strategy: str, spark: SparkSession, sf: str) -> Store:
     root = scratch_path(spark, "store")
-    target, *sources = t.event_stores(spark, sf)
+    target, sources = t.target_and_stack(t.event_rows(spark, sf))
     st.write_store(target, root)
-    st.append_store(mg.merge(st.read_store(spark, root), sources).added, root)
-    return t.summary(st.read_store(spark, root).nodes)
+    st.merge_into(root, sources, 2, strategy)
+    return st.read_store(spark, root)
 
 
 # -- numbers ----------------------------------------------------------------------
