@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # Distinct positions one task ranks; the prefix sum sees one row per such bucket.
-BUCKET_WIDTH = 1 << 20
+BUCKET_WIDTH = 1 << 17
 
 
 def dense_ordinal(df: DataFrame, position: str, name: str = "ordinal",

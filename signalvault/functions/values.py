@@ -24,12 +24,11 @@ def is_close(a: Column, b: Column) -> Column:
 
 
 def arrays_close(a: Column, b: Column) -> Column:
-    """Element-wise tolerant equality; identical arrays take the compiled comparison."""
-    return (
-        F.when(F.size(a) != F.size(b), F.lit(False))
-        .when(a == b, F.lit(True))
-        .otherwise(F.forall(F.zip_with(a, b, is_close), lambda ok: ok))
-    )
+    """Element-wise tolerant equality; identical arrays are settled by one comparison.
+
+    Arrays of different length are unequal: the missing elements are NULL.
+    """
+    return F.coalesce((a == b) | F.forall(F.zip_with(a, b, is_close), lambda ok: ok), F.lit(False))
 
 
 def arrays_exact(a: Column, b: Column) -> Column:

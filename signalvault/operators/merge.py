@@ -215,14 +215,3 @@ def error_counts(inserted: DataFrame, trees: DataFrame, bounds: list) -> DataFra
         F.lit(sum(b is None for b in bounds)).cast("bigint").alias("files_processed"),
         new_trees.scalar().cast("bigint").alias("trees_added"), "signals_added",
         zero.alias("signals_skipped"), zero.alias("signals_overwritten"))
-
-
-def read_sources(reader, paths: Sequence[tuple[int, str]]) -> tuple[list[Store], list[tuple[int, str, str]]]:
-    """Open usable sources; one that cannot be read becomes an error entry, the rest go on."""
-    stores, errors = [], []
-    for ordinal, path in paths:
-        try:
-            stores.append(reader(path))
-        except Exception as problem:  # noqa: BLE001 - any unreadable source is skipped
-            errors.append((ordinal, path, str(problem).splitlines()[0]))
-    return stores, errors

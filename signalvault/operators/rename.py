@@ -170,6 +170,7 @@ def rename(store: Store, old: str, new: str, level: str = "tree", shot: str | No
     """Rename ``old`` to ``new``. Where ``new`` exists: equal data drops ``old``,
     differing data leaves both and is reported. Verdicts are computed here; the
     renamed store is lazy."""
+    shot, tree = shot or None, tree or None
     spark = store.nodes.sparkSession
     lines = spark.range(1, 2).select(
         F.col("id").alias("line_no"), F.lit(old).alias("old_name"), F.lit(new).alias("new_name"),
@@ -247,6 +248,19 @@ def rename_batch(store: Store, mapping: DataFrame, level: str = "tree", dry_run:
     return Rename(report(lines, judged, level), diffs, apply_labels(store, labels, level))
 
 
+def touched_trees(store: Store, result: Rename, level: str) -> DataFrame:
+    """Trees whose content a rename changed; ``store`` is the one it started from."""
+    acted = result.verdicts.where(F.col("verdict").isin(RENAMED, DEDUPLICATED))
+    if level == "tree":
+        trees = acted.select(F.explode(F.array("old_name", "new_name")).alias("tree"))
+    elif level == "signal":
+        trees = acted.select("tree")
+    else:
+        moved = acted.select(F.col("old_name").alias("shot"))
+        trees = store.at_level("tree").join(moved, "shot", "left_semi").select("tree")
+    return trees.distinct()
+
+
 def rename_stats(result: Rename) -> DataFrame:
     """One row: groups renamed or removed, and conflicts."""
     verdict = F.col("verdict")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from signalvault.fixed_values import FAILED
 from signalvault.functions.naming import transfer_line
 from signalvault.model import LEDGER, empty
+from signalvault.plans.outcomes import shot_outcomes
 from signalvault.sources import files
 
 
@@ -21,12 +22,14 @@ def read_ledger(spark: SparkSession, path: str, status: str | None = None) -> Da
 def new_entries(outcomes: DataFrame, ledger: DataFrame) -> DataFrame:
     """(shot, status) pairs not in the ledger yet, each once.
 
-    Both sides are reduced to distinct pairs before they meet, so a shot repeated
-    very often costs one row per task, not one hot join key.
+    The ledger is first reduced to the pairs in question. A small batch is then
+    broadcast into its scan, and a long ledger is not shuffled for it. Pairs are
+    distinct before they meet, so one repeated very often is no hot join key.
     """
     pair = ["shot", "status"]
-    return outcomes.select(*pair).distinct().join(
-        ledger.select(*pair).distinct(), pair, "left_anti")
+    fresh = outcomes.select(*pair).distinct()
+    known = ledger.select(*pair).join(fresh, pair, "left_semi").distinct()
+    return fresh.join(known, pair, "left_anti")
 
 
 def append_ledger(outcomes: DataFrame, path: str) -> None:
@@ -36,6 +39,11 @@ def append_ledger(outcomes: DataFrame, path: str) -> None:
     fresh.withColumn("ts", F.current_timestamp()).write.mode("append").parquet(path)
 
 
+def record_outcomes(outcomes: DataFrame, nodes: DataFrame, path: str) -> None:
+    """Roll chunk outcomes up per shot and enter the shots into the ledger."""
+    append_ledger(shot_outcomes(outcomes, nodes), path)
+
+
 def ledger_union(left: DataFrame, right: DataFrame) -> DataFrame:
     pair = ["shot", "status"]
     return left.select(*pair).unionByName(right.select(*pair)).distinct()

@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalvault.model import ATTRS, GROUPS, NODES, Store, conform, empty
-from signalvault.operators.merge import Merge, merge_stacked
+from signalvault.operators.merge import Merge, merge_stacked, stack
+from signalvault.operators.rename import Rename, rename, touched_trees
 from signalvault.sources import files
 
 _SCHEMAS = {"nodes": NODES, "groups": GROUPS, "attrs": ATTRS}
@@ -28,6 +29,18 @@ def versions(spark: SparkSession, root: str) -> list[int]:
     return [int(p.rsplit("-", 1)[1].removesuffix(".json")) for p in found]
 
 
+def open_store(spark: SparkSession, root: str) -> Store:
+    """The newest version of a store that has to exist."""
+    if not versions(spark, root):
+        raise FileNotFoundError(f"no store at {root}")
+    return read_store(spark, root)
+
+
+def compact_store(spark: SparkSession, root: str) -> int:
+    """Commit the content in few large files again, after many small appends."""
+    return write_store(read_store(spark, root), root)
+
+
 def _manifest(spark: SparkSession, root: str, version: int | None = None) -> tuple[int, dict]:
     known = versions(spark, root)
     if not known:
@@ -127,3 +140,37 @@ def merge_into(root: str, sources: Store, n_sources: int, strategy: str = "skip"
         named = sources.groups.where(F.col("level") == "tree").select("tree").distinct()
         replace_trees(merged.store, root, [row.tree for row in named.collect()])
     return merged
+
+
+def merge_paths(spark: SparkSession, root: str, paths: list[str], strategy: str = "skip"
+                ) -> tuple[Merge | None, list[tuple[int, str, str]]]:
+    """Merge the stores at ``paths``, in order, into the one at ``root``.
+
+    Missing sources, the target itself and sources that cannot be opened are left out
+    and returned with the reason; the others are merged.
+    """
+    good, skipped = files.usable_sources(spark, root, paths)
+    opened = []
+    for ordinal, path in good:
+        try:
+            opened.append(open_store(spark, path))
+        except Exception as problem:  # noqa: BLE001 - whatever makes a source unreadable
+            skipped.append((ordinal, path, str(problem).splitlines()[0]))
+    merged = merge_into(root, stack(opened), len(opened), strategy) if opened else None
+    return merged, sorted(skipped)
+
+
+def rename_in(spark: SparkSession, root: str, old: str, new: str, level: str = "tree",
+              shot: str | None = None, tree: str | None = None, dry_run: bool = False) -> Rename:
+    """Rename in the store at ``root`` and commit, rewriting the trees that changed."""
+    before = open_store(spark, root)
+    result = rename(before, old, new, level, shot, tree, dry_run)
+    if not dry_run:
+        commit_rename(before, result, root, level)
+    return result
+
+
+def commit_rename(before: Store, result: Rename, root: str, level: str) -> None:
+    trees = [row.tree for row in touched_trees(before, result, level).collect()]
+    if trees or level == "shot":
+        replace_trees(result.store, root, trees)

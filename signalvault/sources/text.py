@@ -35,7 +35,7 @@ def read_texts(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
 
 def lines_of(text: Column) -> Column:
     """Array of lines; a final line break ends the last line and starts none."""
-    return F.split(F.regexp_replace(text, r"\n\z", ""), "\n")
+    return F.split(F.regexp_replace(text, r"\r?\n\z", ""), r"\r?\n")
 
 
 def numbered_lines(texts: DataFrame, *by: str) -> DataFrame:

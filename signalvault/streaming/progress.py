@@ -9,14 +9,21 @@ from pyspark.sql.streaming import StreamingQuery
 from signalvault.sources.ledger import append_ledger
 
 
+SALTS = 32
+
+
 def progress_stream(outcomes: DataFrame) -> DataFrame:
-    """Running count per status over a stream of (shot, status), each pair once.
+    """Running count per status over a stream of (shot, status, ...), each pair once.
 
-    A shot may finish at any time, so there is no watermark; the state holds one
-    entry per (shot, status).
+    A shot may finish at any time, so there is no watermark; the state holds the
+    pairs seen. Streaming deduplication has no map-side step, so a pair repeated very
+    often is first deduplicated in up to SALTS places, told apart by the row's other
+    columns, and only then as a whole.
     """
+    salt = F.pmod(F.xxhash64(*outcomes.columns), F.lit(SALTS)).alias("_salt")
     return (
-        outcomes.select("shot", "status").dropDuplicates(["shot", "status"])
+        outcomes.select("shot", "status", salt)
+        .dropDuplicates(["shot", "status", "_salt"]).dropDuplicates(["shot", "status"])
         .groupBy("status").agg(F.count(F.lit(1)).alias("n_shots"))
     )
 

@@ -91,7 +91,7 @@ def _status_stream(spark: SparkSession, sf: str) -> DataFrame:
     schema = t.table(spark, sf, "events").schema
     return (
         spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-        .select(F.col("user_id").cast("string").alias("shot"), F.col("event_type").alias("status"))
+        .select(F.col("user_id").cast("string").alias("shot"), F.col("event_type").alias("status"), "event_id")
     )
 
 
