@@ -2,9 +2,9 @@
 
 # Line shapes of a signal catalog, a shot list and a rename mapping.
 TREE_HEADER = r"^  [a-zA-Z0-9_]+:$"
-SIGNAL_ITEM = r"^    - "
-SERVER_LINE = r"^server:"
-COMMENT_LINE = r"^\s*#"
+SIGNAL_ITEM = "    - "
+SERVER_LINE = "server:"
+COMMENT_MARK = "#"
 MAPPING_TOKENS = 2
 
 # Plan sizes.
@@ -15,11 +15,19 @@ BATCH_SIZE = 1000
 RTOL = 1e-9
 ATOL = 1e-9
 SHOWN_DIFFERENCES = 5
+ONLY_IN_FIRST = "Only in first"
+ONLY_IN_SECOND = "Only in second"
+SHAPE_MISMATCH = "Shape mismatch"
+NAN_POSITIONS = "NaN positions differ"
+DATA_VALUES = "Data values differ"
+ATTRIBUTE_KEYS = "Attribute keys differ"
 
 # File names and the transfer log.
 OUTPUT_SUFFIX = ".h5"
 CONFIG_SUFFIX = ".yaml"
 SCRATCH_PREFIX = "/cscratch/"
+CHUNK_LABEL = "config_%s_%s_chunk%d_%s_%s.yml"
+TRANSFER_LABEL = "Auto-transfer "
 LOG_TIME_FORMAT = "yyyy-MM-dd HH:mm:ss"
 LABEL_TIME_FORMAT = "yyyyMMdd-HHmmss"
 LOG_SEPARATOR = " | "

@@ -6,8 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from signalvault.fixed_values import (
-    CONFIG_SUFFIX, LABEL_TIME_FORMAT, LOG_SEPARATOR, LOG_TIME_FORMAT, OUTPUT_SUFFIX,
-    SCRATCH_PREFIX, TRANSFER_STATUS,
+    CHUNK_LABEL, CONFIG_SUFFIX, LABEL_TIME_FORMAT, LOG_SEPARATOR, LOG_TIME_FORMAT,
+    OUTPUT_SUFFIX, SCRATCH_PREFIX, TRANSFER_LABEL, TRANSFER_STATUS,
 )
 
 
@@ -38,12 +38,12 @@ def without_prefix(path: Column | str, prefix: str = SCRATCH_PREFIX) -> Column:
 def chunk_label(config: Column | str, shot: Column | str, chunk: Column | str,
                 job: Column | str, task: Column | str) -> Column:
     """Stable id of one fetch unit."""
-    return F.format_string("config_%s_%s_chunk%d_%s_%s.yml", base_name(config, CONFIG_SUFFIX),
+    return F.format_string(CHUNK_LABEL, base_name(config, CONFIG_SUFFIX),
                            _col(shot), _col(chunk), _col(job), _col(task))
 
 
 def transfer_label(filename: Column | str, ts: Column | str) -> Column:
-    return F.concat(F.lit("Auto-transfer "), _col(filename), F.lit(" "),
+    return F.concat(F.lit(TRANSFER_LABEL), _col(filename), F.lit(" "),
                     F.date_format(_col(ts), LABEL_TIME_FORMAT))
 
 

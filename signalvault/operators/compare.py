@@ -14,7 +14,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from signalvault.fixed_values import SHOWN_DIFFERENCES
+from signalvault.fixed_values import (
+    ATTRIBUTE_KEYS, DATA_VALUES, NAN_POSITIONS, ONLY_IN_FIRST, ONLY_IN_SECOND, SHAPE_MISMATCH,
+    SHOWN_DIFFERENCES,
+)
 from signalvault.functions.values import (
     as_doubles, attr_values_equal, nan_positions_equal, node_values_equal,
 )
@@ -22,14 +25,6 @@ from signalvault.functions.values import (
 LEAF = ["kind", "shape", "f64", "f32", "i64", "str", "bin"]
 ATTR = ["kind", "is_array", "f64", "i64", "str", "bin"]
 
-ONLY_FIRST = "Only in first"
-ONLY_SECOND = "Only in second"
-SHAPE = "Shape mismatch"
-NAN = "NaN positions differ"
-VALUES = "Data values differ"
-ATTR_KEYS = "Attribute keys differ"
-ATTR_VALUE = "Attribute differs"
-
 
 @dataclass(frozen=True)
 class Side:
@@ -49,8 +44,8 @@ def align(left: DataFrame, right: DataFrame, on: Sequence[str], payload: Sequenc
 
 
 def _one_sided() -> Column:
-    return (F.when(F.col("b").isNull(), F.lit(ONLY_FIRST))
-            .when(F.col("a").isNull(), F.lit(ONLY_SECOND)))
+    return (F.when(F.col("b").isNull(), F.lit(ONLY_IN_FIRST))
+            .when(F.col("a").isNull(), F.lit(ONLY_IN_SECOND)))
 
 
 def keys_only_in(first: DataFrame, second: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -66,10 +61,10 @@ def leaf_difference() -> Column:
     both_float = a["kind"].isin("f64", "f32")
     return (
         _one_sided()
-        .when(~a["shape"].eqNullSafe(b["shape"]), F.lit(SHAPE))
+        .when(~a["shape"].eqNullSafe(b["shape"]), F.lit(SHAPE_MISMATCH))
         .when(~node_values_equal("a", "b"), F.when(
             both_float & ~F.coalesce(nan_positions_equal(as_doubles("a"), as_doubles("b")),
-                                     F.lit(True)), F.lit(NAN)).otherwise(F.lit(VALUES)))
+                                     F.lit(True)), F.lit(NAN_POSITIONS)).otherwise(F.lit(DATA_VALUES)))
     )
 
 
@@ -86,8 +81,8 @@ def group_differences(left: DataFrame, right: DataFrame, unit: Sequence[str]) ->
 def attr_differences(left: DataFrame, right: DataFrame, unit: Sequence[str]) -> DataFrame:
     aligned = align(left, right, [*unit, "path", "name"], ATTR)
     found = (
-        F.when(F.col("a").isNull() | F.col("b").isNull(), F.lit(ATTR_KEYS))
-        .when(~attr_values_equal("a", "b"), F.concat(F.lit(f"{ATTR_VALUE}: "), F.col("name")))
+        F.when(F.col("a").isNull() | F.col("b").isNull(), F.lit(ATTRIBUTE_KEYS))
+        .when(~attr_values_equal("a", "b"), F.concat(F.lit("Attribute differs: "), F.col("name")))
     )
     return (aligned.select(*unit, "path", found.alias("difference"))
             .where(F.col("difference").isNotNull()))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from signalvault.fixed_values import SERVER_LINE, SIGNAL_ITEM, TREE_HEADER
 from signalvault.sources import files
-from signalvault.sources.text import lines_of, read_texts, strip
+from signalvault.sources.text import lines_of, read_texts, strip_blanks
 
 
 def header_blocks(lines: DataFrame, is_header: Callable[[Column], Column], *by: str) -> DataFrame:
@@ -43,25 +43,25 @@ def parse_catalog(texts: DataFrame, *by: str) -> DataFrame:
     headers and stray items before it: arithmetic, no ranking.
     """
     def is_header(line: Column) -> Column:
-        return line.rlike(TREE_HEADER)
+        return ~line.startswith(SIGNAL_ITEM) & line.rlike(TREE_HEADER)
 
     relevant = texts.select(*by, F.filter(
-        lines_of(F.col("text")), lambda x: is_header(x) | x.rlike(SIGNAL_ITEM)).alias("lines"))
+        lines_of(F.col("text")), lambda x: x.startswith(SIGNAL_ITEM) | x.rlike(TREE_HEADER)).alias("lines"))
     return (
         header_blocks(relevant, is_header, *by)
         .select(*by, "header", (F.col("head") - F.col("block") - F.col("first_head")).alias("before"),
                 F.posexplode("items").alias("pos", "item"))
         .select(*by, (F.col("before") + F.col("pos") + 1).cast("bigint").alias("ordinal"),
-                F.regexp_replace("header", r"^ +|:$", "").alias("tree"),
-                strip(F.regexp_replace("item", SIGNAL_ITEM, "")).alias("signal"))
+                F.btrim("header", F.lit(" :")).alias("tree"),
+                strip_blanks(F.substring("item", F.lit(len(SIGNAL_ITEM) + 1), F.length("item"))).alias("signal"))
     )
 
 
 def server_of(text: Column) -> Column:
     """What follows the first colon of the server line(s), white space normalised."""
-    found = F.filter(lines_of(text), lambda x: x.rlike(SERVER_LINE))
-    rest = F.array_join(F.transform(found, lambda x: F.regexp_replace(x, SERVER_LINE, "")), " ")
-    return F.regexp_replace(strip(rest), r"\s+", " ")
+    found = F.filter(lines_of(text), lambda x: x.startswith(SERVER_LINE))
+    rest = F.transform(found, lambda x: F.substring(x, F.lit(len(SERVER_LINE) + 1), F.length(x)))
+    return strip_blanks(F.regexp_replace(F.array_join(rest, " "), r"\s+", " "))
 
 
 def union_catalogs(catalogs: dict[str, DataFrame | None]) -> tuple[DataFrame, list[str]]:

@@ -7,17 +7,24 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from signalvault.fixed_values import COMMENT_LINE, MAPPING_TOKENS
+from signalvault.fixed_values import COMMENT_MARK, MAPPING_TOKENS
 from signalvault.session import cut_lineage
 from signalvault.sources import files
 
 # Up to this size a file is one row; a larger one is read in splits.
 WHOLE_FILE_BYTES = 32 << 20
 
-# Python-style white space, spelled for Java's regular expressions.
+# White space around the entries of lists and catalogs.
+BLANKS = " \t\n\x0b\f\r"
+
+# White space between and around the names of a mapping, Unicode's included.
 _SPACE = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
+def strip_blanks(text: Column) -> Column:
+    return F.btrim(text, F.lit(BLANKS))
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, rf"^{_SPACE}+|{_SPACE}+$", "")
 
@@ -33,9 +40,14 @@ def read_texts(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
         F.col("_metadata.file_path").alias("source"), F.col("value").alias("text"))
 
 
+def without_end(text: Column, end: str) -> Column:
+    return F.when(text.endswith(end), F.left(text, F.length(text) - len(end))).otherwise(text)
+
+
 def lines_of(text: Column) -> Column:
-    """Array of lines; a final line break ends the last line and starts none."""
-    return F.split(F.regexp_replace(text, r"\r?\n\z", ""), r"\r?\n")
+    """Array of lines; a final line break ends the last line and starts none. A carriage
+    return before a line break belongs to it."""
+    return F.transform(F.split(without_end(text, "\n"), "\n"), lambda x: without_end(x, "\r"))
 
 
 def numbered_lines(texts: DataFrame, *by: str) -> DataFrame:
@@ -74,9 +86,10 @@ def read_lines(spark: SparkSession, path: str, whole_bytes: int = WHOLE_FILE_BYT
 
 def shot_list(lines: DataFrame) -> DataFrame:
     """Requested shots of a list: no blanks, no comments; order and repeats stay."""
+    shot = F.col("shot")
     return (
-        lines.where((F.length(F.trim("line")) > 0) & ~F.col("line").rlike(COMMENT_LINE))
-        .withColumn("shot", strip(F.col("line"))).drop("line")
+        lines.withColumn("shot", strip_blanks(F.col("line"))).drop("line")
+        .where((shot != "") & ~shot.startswith(COMMENT_MARK))
     )
 
 
@@ -84,7 +97,7 @@ def mapping_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rename mapping -> (line_no, old_name, new_name) and the rejected lines."""
     kept = (
         lines.withColumn("line", strip(F.col("line")))
-        .where((F.col("line") != "") & ~F.col("line").startswith("#"))
+        .where((F.col("line") != "") & ~F.col("line").startswith(COMMENT_MARK))
         .withColumn("parts", tokens(F.col("line")))
     )
     extra = [c for c in lines.columns if c not in ("n", "line")]

@@ -122,8 +122,8 @@ def merge_error_stats(spark: SparkSession, sf: str) -> DataFrame:
 # -- the parts of a merge ---------------------------------------------------------
 
 @query("merge_precedence", f"""WITH {t.EVENTS}, {t.HOLDERS}
- SELECT shot, tree, signal, CASE WHEN in_target THEN 0 ELSE first_src END AS first_holder,
-  coalesce(last_src, 0) AS last_holder, n_src FROM hold""")
+ SELECT shot, tree, signal, CAST(CASE WHEN in_target THEN 0 ELSE first_src END AS INTEGER) AS first_holder,
+  CAST(coalesce(last_src, 0) AS INTEGER) AS last_holder, n_src FROM hold""")
 def merge_precedence(spark: SparkSession, sf: str) -> DataFrame:
     """First and last holder of every key over target and sources."""
     keys = t.event_rows(spark, sf).select("src", *KEY).distinct()
@@ -132,7 +132,7 @@ def merge_precedence(spark: SparkSession, sf: str) -> DataFrame:
         F.coalesce("last_src", F.lit(0)).alias("last_holder"), "n_src")
 
 
-@query("merge_lookup", f"""WITH {t.EVENTS} SELECT o.src, o.shot, o.tree, o.signal,
+@query("merge_lookup", f"""WITH {t.EVENTS} SELECT CAST(o.src AS INTEGER) AS src, o.shot, o.tree, o.signal,
  EXISTS (SELECT 1 FROM occ x WHERE x.src = 0 AND x.shot = o.shot AND x.tree = o.tree AND x.signal = o.signal) AS in_target
  FROM occ o WHERE o.src > 0""")
 def merge_lookup(spark: SparkSession, sf: str) -> DataFrame:
@@ -144,7 +144,7 @@ def merge_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return keys.join(have, KEY, "left").select("src", *KEY, F.coalesce("held", F.lit(False)).alias("in_target"))
 
 
-@query("sources_union", f"WITH {t.EVENTS} SELECT src, shot, tree, signal FROM occ WHERE src > 0")
+@query("sources_union", f"WITH {t.EVENTS} SELECT CAST(src AS INTEGER) AS src, shot, tree, signal FROM occ WHERE src > 0")
 def sources_union(spark: SparkSession, sf: str) -> DataFrame:
     _, *sources = t.event_stores(spark, sf)
     return mg.stacked([s.signal_keys() for s in sources])
@@ -205,7 +205,7 @@ def group_create(spark: SparkSession, sf: str) -> DataFrame:
 
 # -- stores on disk ---------------------------------------------------------------
 
-@query("store_scan", """SELECT CAST(label AS VARCHAR) AS shot, 'vectors' AS tree, 'v' || vec_id AS signal, 2 AS n_nodes,
+@query("store_scan", """SELECT CAST(label AS VARCHAR) AS shot, 'vectors' AS tree, 'v' || vec_id AS signal, CAST(2 AS BIGINT) AS n_nodes,
  CAST(2 * len(embedding) AS BIGINT) AS n_values FROM embeddings""")
 def store_scan(spark: SparkSession, sf: str) -> DataFrame:
     """Signals of a store in name order, with their leaves and sizes."""

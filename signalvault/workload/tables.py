@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalvault.model import ATTRS, NODES, Store, conform, empty, with_ancestors
-from signalvault.plans.acquisition import shots_range
 from signalvault.functions.ordinals import dense_ordinal
+from signalvault.plans.acquisition import shots_range
+from signalvault.session import cut_lineage
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -172,13 +173,14 @@ def as_nodes(rows: DataFrame, *more: str) -> DataFrame:
 
 
 def as_store(rows: DataFrame) -> Store:
-    """Leaf rows -> store. The groups need the key columns only."""
-    return Store(as_nodes(rows), with_ancestors(rows), empty(rows.sparkSession, ATTRS))
+    """Leaf rows -> store. The groups need the key columns only; as in any store they
+    are a written table, because every operator reads them several times."""
+    return Store(as_nodes(rows), cut_lineage(with_ancestors(rows)), empty(rows.sparkSession, ATTRS))
 
 
 def as_stack(rows: DataFrame) -> Store:
     """Leaf rows with ``src`` -> the sources as one store."""
-    return Store(as_nodes(rows, "src"), with_ancestors(rows, "src"),
+    return Store(as_nodes(rows, "src"), cut_lineage(with_ancestors(rows, "src")),
                  empty(rows.sparkSession, ATTRS + ", src int"))
 
 

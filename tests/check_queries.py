@@ -35,7 +35,7 @@ def compare(spark_frame, sql_frame):
         return f"columns {sorted(spark_frame.columns)} vs {sorted(sql_frame.columns)}"
     if len(spark_frame) != len(sql_frame):
         return f"rows {len(spark_frame)} vs {len(sql_frame)}"
-    kinds = {c: (spark_frame[c].dtype.kind, sql_frame[c].dtype.kind) for c in spark_frame.columns}
+    kinds = {c: (str(spark_frame[c].dtype), str(sql_frame[c].dtype)) for c in spark_frame.columns}
     odd = {c: k for c, k in kinds.items() if k[0] != k[1] and len(spark_frame)}
     if odd:
         return f"types {odd}"

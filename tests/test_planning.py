@@ -11,17 +11,17 @@ LIST = "# campaign\n200000\n200015\n\n200015\n  # indented\n 200032 \n200100"
 
 CATALOG = """trees:
     - stray above any header
-  d3d:
-    - \\D3D::TOP.A:ONE
-    - \\D3D::TOP.A:TWO
+  main:
+    - \\MAIN::TOP.A:ONE
+    - \\MAIN::TOP.A:TWO
   - wrong indent
-  ptdata:
+  points:
     - bare
     - bare
-  d3d:
-    - \\D3D::TOP.A:ONE
+  main:
+    - \\MAIN::TOP.A:ONE
   bad-header:
-   d3d2:
+   main2:
     - last
 
 server:   host.example:8000
@@ -59,16 +59,16 @@ def test_catalog(spark, folder):
     catalog, missing = cat.read_catalogs(spark, [path, f"{folder}/none.yaml"])
     rows = sorted(catalog.collect(), key=lambda r: r.ordinal)
     assert [(r.ordinal, r.tree, r.signal) for r in rows] == [
-        (1, "d3d", "\\D3D::TOP.A:ONE"), (2, "d3d", "\\D3D::TOP.A:TWO"), (3, "ptdata", "bare"),
-        (4, "ptdata", "bare"), (5, "d3d", "\\D3D::TOP.A:ONE"), (6, "d3d", "last")]
+        (1, "main", "\\MAIN::TOP.A:ONE"), (2, "main", "\\MAIN::TOP.A:TWO"), (3, "points", "bare"),
+        (4, "points", "bare"), (5, "main", "\\MAIN::TOP.A:ONE"), (6, "main", "last")]
     assert {r.server for r in rows} == {"host.example:8000"}
     assert missing == [f"{folder}/none.yaml"]
     with pytest.raises(FileNotFoundError):
         cat.read_catalogs(spark, [path, f"{folder}/none.yaml"], require_all=True)
     runs = plan.signals_by_run(plan.tree_runs(plan.chunked(catalog, 4)))
     got = {(r.chunk, r.run, r.tree): r.signals for r in runs.collect()}
-    assert got == {(1, 1, "d3d"): ["\\D3D::TOP.A:ONE", "\\D3D::TOP.A:TWO"], (1, 2, "ptdata"): ["bare", "bare"],
-                   (2, 1, "d3d"): ["\\D3D::TOP.A:ONE", "last"]}
+    assert got == {(1, 1, "main"): ["\\MAIN::TOP.A:ONE", "\\MAIN::TOP.A:TWO"], (1, 2, "points"): ["bare", "bare"],
+                   (2, 1, "main"): ["\\MAIN::TOP.A:ONE", "last"]}
 
 
 def test_catalog_without_header_or_text(spark):
