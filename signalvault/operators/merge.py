@@ -11,15 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from signalvault.model import GROUPS, KEY, Store, conform
-
-STATS = ("files_processed bigint, trees_added bigint, signals_added bigint, "
-         "signals_skipped bigint, signals_overwritten bigint")
-
+from signalvault.session import cut_lineage
 
 @dataclass(frozen=True)
 class Merge:
     store: Store          # the merged store
-    added: Store          # its part that comes from the sources
+    added: Store          # what the target lacked: rows taken from sources, new groups
     stats: DataFrame      # one row of counters
 
 
@@ -29,13 +26,13 @@ def stacked(frames: Sequence[DataFrame]) -> DataFrame:
                   [f.withColumn("src", F.lit(i)) for i, f in enumerate(frames, start=1)])
 
 
-def occurrences(keys: DataFrame) -> DataFrame:
+def occurrences(keys: DataFrame, by: Sequence[str] = KEY) -> DataFrame:
     """(src, key) rows, src 0 being the target -> one row per key with its holders.
 
     Only key columns are read. Partial aggregation reduces repeats before the shuffle.
     """
     source = F.when(F.col("src") > 0, F.col("src"))
-    return keys.groupBy(*KEY).agg(
+    return keys.groupBy(*by).agg(
         (F.min("src") == 0).alias("in_target"), F.min(source).alias("first_src"),
         F.max(source).alias("last_src"), F.count(source).alias("n_src"))
 
@@ -47,28 +44,22 @@ def winners(holders: DataFrame, strategy: str) -> DataFrame:
     return holders.where(F.col("n_src") > 0).select(*KEY, F.col("last_src").alias("src"))
 
 
-def merge_counts(holders: DataFrame, tree_holders: DataFrame, n_sources: int, strategy: str,
-                 ) -> DataFrame:
-    """The five counters as one row."""
-    occ, new = F.col("n_src"), F.count_if(~F.col("in_target") & (F.col("n_src") > 0))
-    total = F.coalesce(F.sum(occ), F.lit(0))
-    zero = F.lit(0)
+def merge_counts(held: DataFrame, files: int, strategy: str) -> DataFrame:
+    """The five counters as one row, from the held groups of all levels in one pass."""
+    signal, lacking = F.col("level") == "signal", ~F.col("in_target")
+    total = F.coalesce(F.sum(F.when(signal, F.col("n_src"))), F.lit(0))
+    new, zero = F.count_if(signal & lacking), F.lit(0)
     added, skipped, over = {
         "skip": (new, total - new, zero),
         "overwrite": (total, zero, total - new),
         "upsert": (new, zero, total - new),
+        "error": (total, zero, zero),
     }[strategy]
-    trees = tree_holders.agg(F.count_if(~F.col("in_target")).alias("trees_added"))
-    return holders.agg(added.alias("signals_added"), skipped.alias("signals_skipped"),
-                       over.alias("signals_overwritten")).select(
-        F.lit(n_sources).cast("bigint").alias("files_processed"),
-        trees.scalar().cast("bigint").alias("trees_added"),
-        *[F.col(c).cast("bigint") for c in ("signals_added", "signals_skipped", "signals_overwritten")])
-
-
-def tree_occurrences(trees: DataFrame) -> DataFrame:
-    """(src, shot, tree) rows -> one row per tree with ``in_target``."""
-    return trees.groupBy("shot", "tree").agg((F.min("src") == 0).alias("in_target"))
+    return held.agg(
+        F.lit(files).cast("bigint").alias("files_processed"),
+        F.count_if((F.col("level") == "tree") & lacking).alias("trees_added"),
+        *[c.cast("bigint").alias(f"signals_{name}")
+          for c, name in ((added, "added"), (skipped, "skipped"), (over, "overwritten"))])
 
 
 def stack(sources: Sequence[Store]) -> Store:
@@ -96,11 +87,8 @@ def merge_stacked(target: Store, sources: Store, n_sources: int, strategy: str =
         return _merge_error(target, sources, n_sources)
     if strategy not in ("skip", "overwrite", "upsert"):
         raise ValueError(f"unknown strategy {strategy!r}")
-    groups = _all_groups(target, sources)
-    level = F.col("level")
-    holders = occurrences(groups.where(level == "signal").select("src", *KEY))
-    trees = tree_occurrences(groups.where(level == "tree").select("src", "shot", "tree"))
-    chosen = winners(holders, strategy)
+    held = hold(target.groups, sources.groups)
+    chosen = winners(held.where(F.col("level") == "signal"), strategy)
 
     def taken(rows: DataFrame) -> DataFrame:
         return rows.join(chosen, [*KEY, "src"], "left_semi").drop("src")
@@ -112,18 +100,22 @@ def merge_stacked(target: Store, sources: Store, n_sources: int, strategy: str =
 
     # A NULL signal joins nothing: an anti join keeps the target's shot and tree
     # attributes, a semi join drops the sources' ones.
-    added = Store(taken(sources.nodes), _distinct(groups), taken(sources.attrs))
-    store = Store(kept(target.nodes).unionByName(added.nodes), added.groups,
-                  kept(target.attrs).unionByName(added.attrs))
-    return Merge(store, added, merge_counts(holders, trees, n_sources, strategy))
+    nodes, attrs = taken(sources.nodes), taken(sources.attrs)
+    return Merge(
+        Store(kept(target.nodes).unionByName(nodes), conform(held, GROUPS),
+              kept(target.attrs).unionByName(attrs)),
+        Store(nodes, new_groups(held), attrs), merge_counts(held, n_sources, strategy))
 
 
-def _all_groups(target: Store, sources: Store) -> DataFrame:
-    return target.groups.withColumn("src", F.lit(0)).unionByName(sources.groups)
+def hold(target_groups: DataFrame, source_groups: DataFrame) -> DataFrame:
+    """Every group once, with its holders. Key columns only, written down once: content,
+    groups, attributes and counters of a merge all come from it."""
+    groups = target_groups.withColumn("src", F.lit(0)).unionByName(source_groups)
+    return cut_lineage(occurrences(groups, [*KEY, "level"]))
 
 
-def _distinct(groups: DataFrame) -> DataFrame:
-    return conform(groups.drop("src").distinct(), GROUPS)
+def new_groups(held: DataFrame) -> DataFrame:
+    return conform(held.where(~F.col("in_target")), GROUPS)
 
 
 def before(bound: Sequence[str], columns: Sequence[str] = KEY, inclusive: bool = False) -> Column:
@@ -194,24 +186,13 @@ def cut_groups(groups: DataFrame, bounds: Sequence[tuple[str, str, str] | None])
 
 def _merge_error(target: Store, sources: Store, n_sources: int) -> Merge:
     """Each source is inserted up to its first duplicate; the next source goes on."""
-    keys = _all_groups(target, sources).where(F.col("level") == "signal").select("src", *KEY)
+    keys = target.signal_keys().withColumn("src", F.lit(0)).unionByName(
+        sources.at_level("signal").select("src", *KEY))
     bounds = find_bounds(keys, n_sources)
-    cut = cut_groups(sources.groups, bounds)
-    groups = target.groups.withColumn("src", F.lit(0)).unionByName(cut)
-    trees = tree_occurrences(groups.where(F.col("level") == "tree").select("src", "shot", "tree"))
-    signal_attrs = sources.attrs.where(F.col("signal").isNotNull())
-    added = Store(cut_at(sources.nodes, bounds).drop("src"), _distinct(groups),
-                  cut_at(signal_attrs, bounds).drop("src"))
-    store = Store(target.nodes.unionByName(added.nodes), added.groups,
-                  target.attrs.unionByName(added.attrs))
-    inserted = cut.where(F.col("level") == "signal")
-    return Merge(store, added, error_counts(inserted, trees, bounds))
-
-
-def error_counts(inserted: DataFrame, trees: DataFrame, bounds: list) -> DataFrame:
-    new_trees = trees.agg(F.count_if(~F.col("in_target")).alias("trees_added"))
-    zero = F.lit(0).cast("bigint")
-    return inserted.agg(F.count(F.lit(1)).alias("signals_added")).select(
-        F.lit(sum(b is None for b in bounds)).cast("bigint").alias("files_processed"),
-        new_trees.scalar().cast("bigint").alias("trees_added"), "signals_added",
-        zero.alias("signals_skipped"), zero.alias("signals_overwritten"))
+    held = hold(target.groups, cut_groups(sources.groups, bounds))
+    nodes = cut_at(sources.nodes, bounds).drop("src")
+    attrs = cut_at(sources.attrs.where(F.col("signal").isNotNull()), bounds).drop("src")
+    complete = sum(bound is None for bound in bounds)
+    return Merge(
+        Store(target.nodes.unionByName(nodes), conform(held, GROUPS), target.attrs.unionByName(attrs)),
+        Store(nodes, new_groups(held), attrs), merge_counts(held, complete, "error"))

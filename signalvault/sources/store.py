@@ -92,26 +92,30 @@ def write_store(store: Store, root: str) -> int:
 def append_store(store: Store, root: str) -> int:
     """Commit the current version plus new rows; existing folders are not rewritten.
 
-    The caller appends keys the store lacks (a ``skip`` merge, the next fetched
-    chunks); groups that exist already are left out here.
+    The caller appends keys the store lacks (the next fetched chunks); groups that
+    exist already are left out here.
     """
-    spark = store.nodes.sparkSession
-    version, manifest = _manifest(spark, root)
-    known = read_store(spark, root).groups
+    known = read_store(store.nodes.sparkSession, root).groups
     columns = ["shot", "tree", "signal", "level"]
     fresh = store.groups.select(*columns).distinct().alias("n").join(
         known.alias("k"),
         [F.col(f"n.{c}").eqNullSafe(F.col(f"k.{c}")) for c in columns], "left_anti")
+    return _append(Store(store.nodes, fresh, store.attrs), root)
+
+
+def _append(added: Store, root: str) -> int:
+    spark = added.nodes.sparkSession
+    version, manifest = _manifest(spark, root)
     version += 1
-    added = {"nodes": store.nodes, "groups": fresh, "attrs": store.attrs}
     return _commit(spark, root, version, {
-        name: manifest[name] + _write(root, name, version, added[name]) for name in _SCHEMAS})
+        name: manifest[name] + _write(root, name, version, getattr(added, name)) for name in _SCHEMAS})
 
 
-def replace_trees(store: Store, root: str, trees: list[str]) -> int:
+def replace_trees(store: Store, root: str, trees: list[str], new_groups: DataFrame | None = None) -> int:
     """Commit ``store`` as a new version, rewriting nodes of the named trees only.
 
-    ``trees`` names every tree whose nodes changed, emptied ones included.
+    ``trees`` names every tree whose nodes changed, emptied ones included. Groups are
+    rewritten too, unless ``new_groups`` says that only these came in addition.
     """
     spark = store.nodes.sparkSession
     version, manifest = _manifest(spark, root)
@@ -120,9 +124,10 @@ def replace_trees(store: Store, root: str, trees: list[str]) -> int:
     changed = {f"tree={escape(t)}" for t in trees}
     kept = [p for p in manifest["nodes"] if p.rsplit("/", 1)[1] not in changed]
     nodes = store.nodes.where(F.col("tree").isin(*trees))
+    groups = (_write(root, "groups", version, store.groups) if new_groups is None
+              else manifest["groups"] + _write(root, "groups", version, new_groups))
     return _commit(spark, root, version, {
-        "nodes": kept + _write(root, "nodes", version, nodes),
-        "groups": _write(root, "groups", version, store.groups),
+        "nodes": kept + _write(root, "nodes", version, nodes), "groups": groups,
         "attrs": _write(root, "attrs", version, store.attrs)})
 
 
@@ -135,10 +140,10 @@ def merge_into(root: str, sources: Store, n_sources: int, strategy: str = "skip"
     spark = sources.nodes.sparkSession
     merged = merge_stacked(read_store(spark, root), sources, n_sources, strategy)
     if strategy in ("skip", "error"):
-        append_store(merged.added, root)
+        _append(merged.added, root)
     else:
-        named = sources.groups.where(F.col("level") == "tree").select("tree").distinct()
-        replace_trees(merged.store, root, [row.tree for row in named.collect()])
+        named = sources.at_level("tree").select("tree").distinct()
+        replace_trees(merged.store, root, [row.tree for row in named.collect()], merged.added.groups)
     return merged
 
 
