@@ -232,17 +232,16 @@ def rename_batch(store: Store, mapping: DataFrame, level: str = "tree", dry_run:
     if level == "tree" and not remaining.where(F.col("shot").isNull()).isEmpty():
         scope = []
     done, found = [], []
-    while not remaining.isEmpty():
-        ready = cut_lineage(ready_lines(remaining, scope))
+    while True:
+        ready = ready_lines(remaining, scope)
         judged, diffs = judge(store, candidates(labels, ready, level), level)
-        labels = cut_lineage(relabel(labels, judged, level))
-        remaining = cut_lineage(remaining.join(ready, "line_no", "left_anti"))
+        labels = relabel(labels, judged, level)
         done.append(judged)
         found.append(diffs)
-    if not done:
-        spark = store.nodes.sparkSession
-        return Rename(report(lines, empty(spark, VERDICTS), level),
-                      empty(spark, "line_no bigint, path string, difference string"), store)
+        remaining = cut_lineage(remaining.join(ready, "line_no", "left_anti"))
+        if remaining.isEmpty():
+            break
+        labels = cut_lineage(labels)
     judged = reduce(DataFrame.unionByName, done)
     diffs = reduce(DataFrame.unionByName, found)
     return Rename(report(lines, judged, level), diffs, apply_labels(store, labels, level))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalvault.model import ATTRS, NODES, Store, conform, empty
+from signalvault.model import NODES, Store, conform
 from signalvault.operators import compare as cmp
 from signalvault.operators import rename as rn
 from signalvault.session import scratch_path

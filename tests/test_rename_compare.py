@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from helpers import attr, keys_of, node, store
 from signalvault.functions.values import is_close
 from signalvault.operators.compare import first_differences
+from signalvault.model import Store
 from signalvault.operators.rename import mapping_of, rename, rename_batch, rename_stats
+from signalvault.session import cut_lineage
 
 NAN, INF = math.nan, math.inf
 
@@ -187,7 +189,7 @@ def sequential(s, pairs, level="tree"):
     for old, new in pairs:
         step = rename(s, old, new, level=level)
         total += rename_stats(step).first().renamed
-        s = step.store
+        s = Store(*[cut_lineage(df) for df in (step.store.nodes, step.store.groups, step.store.attrs)])
     return s, total
 
 

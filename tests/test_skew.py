@@ -3,7 +3,6 @@
 import pytest
 from pyspark.sql import functions as F
 
-from helpers import node, store
 from signalvault.functions.ordinals import dense_ordinal
 from signalvault.model import NODES, Store, conform, empty, ATTRS, with_ancestors
 from signalvault.operators.compare import LEAF, align
