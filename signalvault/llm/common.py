@@ -2,13 +2,33 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once an application, for clusters where it is not installed."""
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        _SHIPPED.add(context.applicationId)
+        top = Path(__file__).resolve().parents[1]
+        archive = Path(tempfile.mkdtemp(prefix="spark-")) / f"{top.name}.zip"
+        with zipfile.ZipFile(archive, "w") as out:
+            for file in sorted(top.rglob("*.py")):
+                out.write(file, file.relative_to(top.parent))
+        context.addPyFile(str(archive))
+
 
 SLICE_BYTES = 2 << 20
 """Text bytes that are worked on at once; a longer text is a slice of its own."""
@@ -172,6 +192,13 @@ def text_bytes(documents: DataFrame, text: str = "text") -> tuple[int, int]:
     return int(row[0]), int(row[1])
 
 
+def with_column(documents: DataFrame, name: str, kind: str) -> StructType:
+    """The columns of ``documents`` and a new one behind them."""
+    if name.lower() in [c.lower() for c in documents.columns]:
+        raise ValueError(f"documents already has a column {name}")
+    return StructType([*documents.schema.fields, *StructType.fromDDL(f"{name} {kind}").fields])
+
+
 def power_of_two(x: float) -> int:
     """The smallest power of two that is not below ``x``."""
     return 1 << max(0, int(np.ceil(np.log2(max(1.0, x)))))
