@@ -10,10 +10,10 @@ partner at least once, and the T - 1 long ones are only probed by binary search
    those has no partner and goes no further, which removes most of a corpus before any list is built.
 2. Equal sets become one representative.
 3. The short lists are merged by an aggregate over (list, document). First each document meets only the first one
-   of its lists (a pass linear in the lists); the links found join most groups of copies. Then, in lists that
-   still hold several components, all pairs of different components meet. Nothing is capped: every pair not yet
-   known to be connected is met.
-4. Candidates are probed: the overlap of the two sorted sets is counted by binary search.
+   of its lists (a pass linear in the lists) and its overlap is probed; the links found join most groups of copies.
+4. Sets whose lists still hold several components go, once, to the tasks of their family, which run the whole
+   T-occurrence search there (``t_occurrence``). Nothing is capped: every pair not known to be connected is met, and
+   no pair that fails becomes a row.
 5. Components of the links.
 
 A shingle so common that even its group of all sets would be large is found in a bounded sample
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signalvault.llm.common import (Words, block_number, flat, mix, power_of_two, shingles, slices, text_bytes,
+from signalvault.llm.common import (Words, block_number, flat, mix, power_of_two, ragged, shingles, slices, text_bytes,
                                     text_column)
 from signalvault.llm.components import components
 from signalvault.session import cut_lineage
@@ -221,6 +221,89 @@ def _probe(pairs: DataFrame, sets: DataFrame, bound: Fraction) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ka", "kb").mapInArrow(probe, "a long, b long")
 
 
+def t_occurrence(rep: np.ndarray, n: np.ndarray, component: np.ndarray, side: np.ndarray, keys: list[np.ndarray],
+                 bound: Fraction) -> list[tuple[int, int]]:
+    """Links that join different components among the given sets; ``side`` 0 and 1 meet each other, 2 meets all.
+
+    Each set searches the inverted lists of the others: its shortest lists are merged, the candidates they yield
+    are probed in its long lists by binary search, a few lists at a time, and leave as soon as the overlap their
+    sizes require is out of reach. Pairs already connected are skipped.
+    """
+    top, bottom = bound.numerator, bound.denominator
+    count = len(rep)
+    owner = np.repeat(np.arange(count), [len(k) for k in keys])
+    number = np.unique(np.concatenate(keys), return_inverse=True)[1] if len(owner) else owner
+    place = np.sort(number * count + owner)  # every inverted list, one after another
+    bounds = np.searchsorted(place, np.arange(int(number.max()) + 2 if len(owner) else 1) * count)
+    docs = place % count
+    length = np.diff(bounds)
+    own = np.split(number, np.cumsum([len(k) for k in keys])[:-1])
+    root = np.searchsorted(np.unique(component), component)
+
+    links = []
+    for q in range(count):
+        lists = own[q][np.argsort(length[own[q]], kind="stable")]
+        need = -(-int(n[q]) * top // bottom)
+        short = max(0, len(lists) - need + 1)
+        if not short:
+            continue
+        hits = np.bincount(docs[ragged(bounds[lists[:short]], length[lists[:short]])], minlength=count)
+        fits = (hits > 0) & (root != root[q]) & (n * bottom >= n[q] * top) & (n[q] * bottom >= n * top)
+        fits[:q + 1] = False
+        if side[q] != 2:
+            fits &= side != side[q]
+        found = np.flatnonzero(fits)
+        overlap = hits[found]
+        required = -(-(n[found] + n[q]) * top // (top + bottom))
+        for start in range(short, len(lists), 16):
+            left = len(lists) - start
+            reach = overlap + left >= required
+            found, overlap, required = found[reach], overlap[reach], required[reach]
+            if not len(found):
+                break
+            probe = (lists[start:start + 16, None] * count + found[None, :]).ravel()
+            at = np.minimum(np.searchsorted(place, probe), len(place) - 1)
+            overlap = overlap + (place[at] == probe).reshape(-1, len(found)).sum(axis=0)
+        for c in found[overlap >= required].tolist():
+            if root[c] != root[q]:
+                links.append((int(rep[q]), int(rep[c])))
+                root[root == root[c]] = root[q]
+    return links
+
+
+FAMILY = 1024
+"""Sets of a block: two blocks at most meet in one task."""
+
+
+def _search_families(rest: DataFrame, sets: DataFrame, bound: Fraction) -> DataFrame:
+    """Links between different components of sets that meet in the lists of ``rest`` (rep, first set of the list,
+    component). Sets that lists connect are a family; a family of more than FAMILY sets is dealt into blocks, every
+    two of which meet in a task, small families share one."""
+    near = components(rest.select(F.col("rep").alias("a"), F.col("first").alias("b"))).withColumnRenamed("component", "family")
+    members = cut_lineage(rest.groupBy("rep").agg(F.min("component").alias("component"))
+                          .join(near, F.col("rep") == F.col("node")).select("rep", "component", "family"))
+    sizes = members.groupBy("family").agg(F.count(F.lit(1)).alias("members"))
+    total = members.count()
+    tasks = max(1, total // FAMILY)
+    blocks = F.ceil(F.col("members") / FAMILY).cast("int")
+    member = F.pmod(F.xxhash64("rep"), F.col("blocks").cast("long")).cast("int")
+    dealt = members.join(sizes, "family").withColumn("blocks", blocks).withColumn("mine", member) \
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
+        .select("rep", "component",
+                F.when(F.col("blocks") > 1, F.col("family")).otherwise(-1 - F.pmod(F.xxhash64("family"), F.lit(tasks))).alias("family"),
+                F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"),
+                F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1).alias("side"))
+
+    def search(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("n", "ascending"), ("rep", "ascending")])
+        keys = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("keys")]
+        rep, n, component, side = (group.column(c).to_numpy() for c in ("rep", "n", "component", "side"))
+        found = t_occurrence(rep, n, component, side, keys, bound)
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    return cut_lineage(dealt.join(sets, "rep").groupBy("family", "i", "j").applyInArrow(search, "a long, b long"))
+
+
 def ngram_classes(documents: DataFrame, width: int = 4, bound: tuple[int, int] = (85, 100)) -> DataFrame:
     """One row per row of ``documents``: doc_id, n_shingles, component_id.
 
@@ -246,14 +329,10 @@ def ngram_classes(documents: DataFrame, width: int = 4, bound: tuple[int, int] =
     first = components(links)
     labelled = cut_lineage(lists.join(first, lists.rep == first.node, "left")
                            .select("key", "rep", "n", F.coalesce("component", "rep").alias("component")))
-    open_lists = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    rest = cut_lineage(labelled.join(open_lists, "key"))
-    x, y = rest.alias("x"), rest.alias("y")
-    fits = (F.col("x.n") * bottom >= F.col("y.n") * top) & (F.col("y.n") * bottom >= F.col("x.n") * top)
-    others = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep"))
-                    & (F.col("x.component") != F.col("y.component")) & fits) \
-        .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-    more = cut_lineage(_probe(cut_lineage(others), sets, limit))
+    open_lists = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("rep").alias("first")) \
+        .where("low < high").select("key", "first")
+    rest = cut_lineage(labelled.join(open_lists, "key").select("rep", "first", "component").distinct())
+    more = _search_families(rest, sets, limit)
     final = components(links.union(more)) if more.limit(1).count() else first
     classes = cut_lineage(reps.join(final, reps.rep == final.node, "left")
                           .select("d1", "d2", "n", F.coalesce("component", "rep").alias("component_id")))
