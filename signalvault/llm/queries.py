@@ -11,6 +11,7 @@ from signalvault.llm.common import ship
 from signalvault.llm.ngram_join import ngram_classes
 from signalvault.llm.secret_scan import BASE, scan_secrets
 from signalvault.llm.sentencepiece_bpe import round_trip
+from signalvault.llm.substring_dedup import remove_repeats
 from signalvault.llm.token_files import read_tokens, write_tokens
 from signalvault.session import scratch_path
 
@@ -67,3 +68,9 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op5_substring_dedup")
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = remove_repeats(table(spark, sf_dir, "documents"), 35)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
