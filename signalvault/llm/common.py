@@ -37,6 +37,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 _BREAK = np.zeros(256, bool)
 _BREAK[[0x20, *range(0x09, 0x0E)]] = True
 
+_NO_LETTER = np.ones(256, bool)
+_NO_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
+
 _random = np.random.default_rng(20240229)
 _CODE = _random.integers(0, 2**64, 256, dtype=np.uint64)
 _CODE_LOWER = _CODE.copy()
@@ -107,12 +110,15 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = S
 
 
 class Words:
-    """Where the words of a slice lie: byte ``starts`` and ``ends``, ``row`` of each, ``counts`` of each row."""
+    """Where the words of a slice lie: byte ``starts`` and ``ends``, ``row`` of each, ``counts`` of each row.
+
+    With ``letters`` a word is a run of letters (all that is not ASCII counts as one), else what white space parts.
+    """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray) -> None:
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, letters: bool = False) -> None:
         self.data, self.offsets = data, offsets
         letter = np.ones(len(data) + 1, bool)
-        np.logical_not(_BREAK[data], out=letter[:-1])
+        np.logical_not((_NO_LETTER if letters else _BREAK)[data], out=letter[:-1])
         letter[-1] = False
         before = np.empty(len(data) + 1, bool)
         before[0] = False
@@ -134,6 +140,11 @@ class Words:
         code = _CODE_LOWER if lower else _CODE
         return range_hash(code[self.data], self.starts, self.ends)
 
+    def prefix_hashes(self, widths: tuple[int, ...]) -> list[np.ndarray]:
+        """Of the lowered words and, before that, of their first bytes; one array for each width."""
+        code = _CODE_LOWER[self.data]
+        return [range_hash(code, self.starts, np.minimum(self.starts + w, self.ends)) for w in widths]
+
 
 def shingles(words: Words, width: int, lower: bool) -> tuple[np.ndarray, np.ndarray]:
     """Distinct hashes of ``width`` consecutive words, sorted in each row, and the row bounds.

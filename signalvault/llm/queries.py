@@ -13,6 +13,7 @@ from signalvault.llm.secret_scan import BASE, scan_secrets
 from signalvault.llm.sentencepiece_bpe import round_trip
 from signalvault.llm.substring_dedup import remove_repeats
 from signalvault.llm.token_files import read_tokens, write_tokens
+from signalvault.llm.toxicity import fit, score_toxicity
 from signalvault.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +75,17 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = remove_repeats(table(spark, sf_dir, "documents"), 35)
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def held_out(doc_id):
+    """Rows whose labels are never learned from."""
+    return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
+
+
+@query("op6_toxicity")
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = fit(documents, table(spark, sf_dir, "labels"), train=lambda doc_id: ~held_out(doc_id))
+    scored = score_toxicity(documents.select("doc_id", "text"), model)
+    return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), F.col("toxicity.score").alias("score"),
+                         (F.col("toxicity.score") >= 0.5).cast("int").alias("predicted"), F.size("toxicity.passages").alias("n_passages"))
