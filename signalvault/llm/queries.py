@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalvault.llm.common import ship
+from signalvault.llm.mixing import mix
 from signalvault.llm.ngram_join import ngram_classes
 from signalvault.llm.secret_scan import BASE, scan_secrets
 from signalvault.llm.sentencepiece_bpe import round_trip
@@ -89,3 +90,47 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = score_toxicity(documents.select("doc_id", "text"), model)
     return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), F.col("toxicity.score").alias("score"),
                          (F.col("toxicity.score") >= 0.5).cast("int").alias("predicted"), F.size("toxicity.passages").alias("n_passages"))
+
+
+OP3_SQL = r"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+         ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 15))::BIGINT AS hash
+  FROM documents),
+sources AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+         [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight
+  FROM sized GROUP BY source),
+levels AS (
+  SELECT *, 3.0::DOUBLE * source_size AS most,
+         (sum(source_size) OVER () - coalesce(sum(3.0::DOUBLE * source_size) OVER (ORDER BY 3.0::DOUBLE * source_size / weight, encode(source) NULLS LAST
+             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+         / sum(weight) OVER (ORDER BY 3.0::DOUBLE * source_size / weight, encode(source) NULLS LAST
+             ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM sources),
+targets AS (
+  SELECT source, source_size,
+         coalesce(least(most, weight * (SELECT level FROM levels WHERE most >= level * weight
+                                        ORDER BY most / weight, encode(source) NULLS LAST LIMIT 1)), most) AS target
+  FROM levels),
+steps AS (
+  SELECT s.doc_id, s.source, s.size, s.hash, t.source_size, t.target, floor(t.target / nullif(t.source_size, 0)) AS whole,
+         coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.hash RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+         sum(s.size) OVER (PARTITION BY s.source, s.hash) AS tied
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
+chosen AS (
+  SELECT *, coalesce(whole < 3 AND before + tied <= target - whole * source_size, false) AS inside FROM steps),
+rests AS (
+  SELECT *, target - whole * source_size - sum(CASE WHEN inside THEN size ELSE 0 END) OVER (PARTITION BY source) AS rest FROM chosen),
+fills AS (
+  SELECT source AS fill_source, arg_min(hash, {'gap': abs(rest - size), 'hash': hash}) AS extra
+  FROM rests WHERE NOT inside AND whole < 3 AND abs(rest - size) < rest GROUP BY source)
+SELECT doc_id, size, source_size, target,
+       CAST(size * (coalesce(whole, 0) + CASE WHEN inside OR coalesce(whole < 3 AND hash = extra, false) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM rests LEFT JOIN fills ON source IS NOT DISTINCT FROM fill_source
+"""
+
+
+@query("op3_mixing", OP3_SQL)
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
