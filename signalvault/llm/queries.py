@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from signalvault.llm.common import ship
 from signalvault.llm.mixing import mix
+from signalvault.llm.nearest import nearest
 from signalvault.llm.ngram_join import ngram_classes
 from signalvault.llm.secret_scan import BASE, scan_secrets
 from signalvault.llm.sentencepiece_bpe import round_trip
@@ -134,3 +135,8 @@ FROM rests LEFT JOIN fills ON source IS NOT DISTINCT FROM fill_source
 @query("op3_mixing", OP3_SQL)
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op10_nearest")
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 100 == 0, k=10)
