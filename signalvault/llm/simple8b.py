@@ -25,12 +25,15 @@ def pack(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     row = block + int(COUNTS.max())  # zeros behind each block stand for values past its end
     table = np.zeros((blocks, row), np.uint64)
-    table.ravel()[np.arange(n) + np.arange(n) // block * (row - block)] = values
+    full = n // block
+    table[:full, :block] = values[:full * block].reshape(full, block)
+    table[full:, :n - full * block] = values[full * block:]
     values = table.ravel()
-    high = (values >> np.uint64(32)).astype(np.uint32)
-    width = np.frexp((values & np.uint64(0xFFFFFFFF)).astype(np.float64))[1].astype(np.uint8)
-    if high.any():
-        width = np.where(high, np.frexp(high.astype(np.float64))[1] + 32, width).astype(np.uint8)
+    if int(values.max()) < 1 << 24:
+        width = np.frexp(values.astype(np.float32))[1].astype(np.uint8)
+    else:
+        low, high = (values & np.uint64(0xFFFFFFFF)).astype(np.float64), (values >> np.uint64(32)).astype(np.float64)
+        width = np.where(high > 0, np.frexp(high)[1] + 32, np.frexp(low)[1]).astype(np.uint8)
     widest, reach = {1: width}, 1
     while reach < COUNTS.max():
         last = widest[reach]

@@ -20,23 +20,31 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from signalvault.llm import simple8b
-from signalvault.llm.common import slices, text_bytes, text_column
+from signalvault.llm.common import flat, slices, text_bytes, text_column
 from signalvault.llm.units import UnitCache
 
-SEGMENT = 1 << 16
+SEGMENT = 1 << 18
 PART_BYTES = 24 << 20
 _SEGMENTS = "part int, seq int, n_ids long, doc_ids array<long>, doc_tokens array<int>, block_starts array<int>, words binary"
 _INNER = re.compile(r"(?<=\s) | (?=\s)")
 _BOUNDARY = re.compile(r"(?<=\S)(?= \S)")
+_ALONE = "\0 "
+"""Before units that are encoded as they stand; the other units stand for a space and their characters."""
+_ODD = np.zeros(256, bool)
+_ODD[[0x09, *range(0x0B, 0x0E), *range(0x1C, 0x20), 0xC2, 0xE1, 0xE2, 0xE3]] = True
+"""Bytes without which a text has no white space but spaces and line feeds."""
 
 
-def byte_units(text: str) -> list[str]:
+def byte_units(text: str, odd: bool = True) -> list[str]:
     """Parts of a text that byte-level BPE encodes independently: no token of its pattern crosses from a character
     that is no space to a single space with such a character behind it."""
-    if _INNER.search(text):
-        return _BOUNDARY.split(text)
+    if _INNER.search(text) if odd else "  " in text or " \n" in text or "\n " in text:
+        return [_ALONE + u for u in _BOUNDARY.split(text)]
     parts = text.split(" ")
-    return [parts[0], *[" " + p for p in parts[1:]]]
+    parts[0] = _ALONE + parts[0]
+    if not parts[-1]:
+        parts[-1] = _ALONE + " "
+    return parts
 
 
 class ByteEncoder:
@@ -60,19 +68,19 @@ class ByteEncoder:
         return cls(path)
 
     def _encode(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Units that begin with a space follow each other in one text, as they do in a document; the bytes of the
-        ids tell where each unit ends. The others are encoded one by one."""
-        led = np.array([u.startswith(" ") and not u[1:2].isspace() and not u[-1].isspace() for u in units])
-        text = "".join(u for u, x in zip(units, led) if x)
-        alone = [u for u, x in zip(units, led) if not x]
-        size = np.fromiter((len(u.encode()) for u, x in zip(units, led) if x), np.int64)
-        joined = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids if text else [], np.uint32)
-        ends = np.searchsorted(np.cumsum(self.width[joined]), np.cumsum(size)) + 1
+        """Units that stand for a space and more follow each other in one text, as they do in a document; the bytes
+        of the ids tell where each unit ends. The others are encoded one by one."""
+        led = np.array([not u.startswith(_ALONE) for u in units])
+        text = " ".join([u for u in units if not u.startswith(_ALONE)])
+        data = np.frombuffer(text.encode(), np.uint8)
+        ends = np.append(np.flatnonzero(data == 0x20) + 1, len(data) + 1)
+        joined = np.array(self.library.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids if led.any() else [], np.uint32)
         counts = np.zeros(len(units), np.int64)
-        counts[led] = np.diff(np.concatenate([[0], ends]))
-        if not alone:
+        if led.any():
+            counts[led] = np.diff(np.concatenate([[0], np.searchsorted(np.cumsum(self.width[joined]), ends) + 1]))
+        if led.all():
             return joined, counts
-        ids = [x.ids for x in self.library.encode_batch_fast(alone, add_special_tokens=False)]
+        ids = [x.ids for x in self.library.encode_batch_fast([u[len(_ALONE):] for u in units if u.startswith(_ALONE)], add_special_tokens=False)]
         counts[~led] = [len(x) for x in ids]
         flat = np.zeros(int(counts.sum()), np.uint32)
         mine = np.repeat(led, counts)
@@ -80,15 +88,17 @@ class ByteEncoder:
         flat[~mine] = [i for x in ids for i in x]
         return flat, counts
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and how many each has."""
+        data, offsets = flat(column)
+        odd = np.diff(np.concatenate([[0], np.cumsum(_ODD[data])])[offsets]) > 0
         units: list[str] = []
         ends = [0]
-        for text in texts:
-            units += byte_units(text)
+        for text, strange in zip(column.to_pylist(), odd.tolist()):
+            units += byte_units(text, strange)
             ends.append(len(units))
-        flat, lengths = self.cache.ids(units)
-        return flat, np.diff(np.concatenate([[0], np.cumsum(lengths)])[ends])
+        ids, lengths = self.cache.ids(units)
+        return ids, np.diff(np.concatenate([[0], np.cumsum(lengths)])[ends])
 
 
 def write_tokens(documents: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
@@ -112,8 +122,8 @@ def write_tokens(documents: DataFrame, path: str, tokenizer: str, end_id: int) -
                                               ["part", "seq", "n_ids", "doc_ids", "doc_tokens", "block_starts", "words"])
 
         for batch in slices(batches):
-            flat, lengths = encoder.encode(text_column(batch.column("text")).to_pylist())
-            flat = np.insert(flat, np.cumsum(lengths), np.uint32(end_id))
+            coded, lengths = encoder.encode(text_column(batch.column("text")))
+            coded = np.insert(coded, np.cumsum(lengths), np.uint32(end_id))
             lengths = lengths + 1
             ends = np.cumsum(lengths)
             ids, start = batch.column("doc_id").to_pylist(), 0
@@ -121,7 +131,7 @@ def write_tokens(documents: DataFrame, path: str, tokenizer: str, end_id: int) -
                 begin = ends[start] - lengths[start]
                 stop = max(start + 1, int(np.searchsorted(ends, begin + max(1, SEGMENT - total), "right")))
                 docs += ids[start:stop]
-                counts.append(lengths[start:stop]), held.append(flat[begin:ends[stop - 1]])
+                counts.append(lengths[start:stop]), held.append(coded[begin:ends[stop - 1]])
                 total += int(ends[stop - 1] - begin)
                 start = stop
                 if total >= SEGMENT or start < len(ids):

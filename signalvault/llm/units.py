@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from itertools import islice
 
 import numpy as np
 
@@ -10,13 +11,11 @@ from signalvault.llm.common import ragged
 
 
 class UnitCache:
-    """Ids per unit; forgets everything when it holds more than ``limit`` units, so its memory is bounded."""
+    """Ids per unit. When it holds more than ``limit`` units it keeps the half it met first, which has the frequent
+    ones, so its memory is bounded."""
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 500_000) -> None:
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 800_000) -> None:
         self.encode, self.limit = encode, limit
-        self._clear()
-
-    def _clear(self) -> None:
         self.number: dict[str, int] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
         self.bounds = np.zeros(1 << 14, np.int64)
@@ -37,7 +36,9 @@ class UnitCache:
     def ids(self, units: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and how many each unit has."""
         if len(self.number) > self.limit:
-            self._clear()
+            kept = self.limit // 2
+            self.number = dict(islice(self.number.items(), kept))
+            self.used = int(self.bounds[kept])
         fresh = set(units).difference(self.number)
         if fresh:
             self._add(list(fresh))
