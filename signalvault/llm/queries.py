@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalvault.llm.common import ship
+from signalvault.llm.media_chunks import media_columns
 from signalvault.llm.mixing import mix
 from signalvault.llm.nearest import nearest
 from signalvault.llm.ngram_join import ngram_classes
@@ -140,3 +141,8 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_nearest")
 def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 100 == 0, k=10)
+
+
+@query("op4_media_chunks")
+def op4_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_columns(table(spark, sf_dir, "documents"), scratch_path(spark, "media"))
