@@ -12,6 +12,7 @@ from signalvault.llm.media_chunks import media_columns
 from signalvault.llm.mixing import mix
 from signalvault.llm.nearest import nearest
 from signalvault.llm.ngram_join import ngram_classes
+from signalvault.llm.quotation_links import conversations
 from signalvault.llm.secret_scan import BASE, scan_secrets
 from signalvault.llm.sentencepiece_bpe import round_trip
 from signalvault.llm.substring_dedup import remove_repeats
@@ -146,3 +147,35 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_media_chunks")
 def op4_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(table(spark, sf_dir, "documents"), scratch_path(spark, "media"))
+
+
+OP9_SQL = """
+WITH turns AS (
+  SELECT conv_id, conv_id * 100000 + turn AS message_id, turn, role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS position,
+         min(turn) OVER (PARTITION BY conv_id) AS first_turn,
+         lag(conv_id * 100000 + turn) OVER (PARTITION BY conv_id ORDER BY turn) AS reply_to
+  FROM conversations)
+SELECT conv_id * 100000 + first_turn AS conversation_id, position, CAST(position - 1 AS INTEGER) AS depth, message_id, reply_to, role, trim(text) AS text
+FROM turns
+"""
+
+
+def quoting_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turns of ``conversations`` as messages that quote the two turns before them, their conversation forgotten."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+
+    def earlier(back: int) -> DataFrame:
+        return turns.select("conv_id", (F.col("turn") + back).alias("turn"), F.col("text").alias(f"text{back}"))
+
+    def quote(name: str, signs: str):
+        return F.concat(F.lit(signs), F.regexp_replace(F.col(name), "\n", f"\n{signs}"))
+
+    return turns.join(earlier(1), ["conv_id", "turn"], "left").join(earlier(2), ["conv_id", "turn"], "left").select(
+        (F.col("conv_id") * 100000 + F.col("turn")).alias("message_id"), "role",
+        F.concat_ws("\n", quote("text2", "> > "), quote("text1", "> "), F.col("text")).alias("text"))
+
+
+@query("op9_quotation_links", OP9_SQL)
+def op9_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations(quoting_messages(spark, sf_dir))
