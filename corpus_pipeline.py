@@ -1,14 +1,77 @@
-"""The corpus pipeline: documents pass the stages in order, each written and read again."""
+"""The corpus pipeline: documents pass the stages in order, each written and read again.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before kept; all but the last return the
+columns of ``docs``.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from signalvault.llm.common import free_name, ship
+from signalvault.llm.mixing import mixed
+from signalvault.llm.ngram_join import ngram_classes
+from signalvault.llm.secret_scan import scan_secrets
+from signalvault.llm.sentencepiece_bpe import encode_documents
+from signalvault.llm.toxicity import fit, score_toxicity
 from signalvault.session import cut_lineage
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+TOXIC = 0.5
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on ``labels``, scores TOXIC or more go."""
+    ship(spark)
+    model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    name = free_name(docs, "toxicity")
+    return score_toxicity(docs, model, name=name).where(F.col(name)["score"] < TOXIC).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by a Jaccard similarity of 0.8 or more on five-word shingles, the one of the least doc_id
+    stays. Rows that share a doc_id are one document; rows without one stay."""
+    ship(spark)
+    classes = cut_lineage(ngram_classes(docs, width=5, bound=(80, 100)))
+    kept = docs.join(classes.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    repeated = cut_lineage(classes.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"))
+    if not repeated.limit(1).count():
+        return kept
+    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).union(once)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by their kind; ``n_chars`` follows the text."""
+    ship(spark)
+    masked = scan_secrets(docs, mask=True)
+    if "n_chars" in docs.columns:
+        masked = masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return masked
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their source's target takes them."""
+    return mixed(docs)
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and ids with begin and end ids."""
+    ship(spark)
+    return encode_documents(docs.select("doc_id", "text"), PIECES).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("ngram_join", drop_near_copies),
+    ("secret_scan", mask_secrets),
+    ("mixing", mix_sources),
+    ("sentencepiece", encode_pieces),
+]
 
 ORACLE_SQL: str | None = None
 """SQL cannot state the classifier, the automaton or the tokenizer; tests hold each stage against a plain version."""

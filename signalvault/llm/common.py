@@ -203,11 +203,17 @@ def text_bytes(documents: DataFrame, text: str = "text") -> tuple[int, int]:
     return int(row[0]), int(row[1])
 
 
-def with_column(documents: DataFrame, name: str, kind: str) -> StructType:
-    """The columns of ``documents`` and a new one behind them."""
-    if name.lower() in [c.lower() for c in documents.columns]:
-        raise ValueError(f"documents already has a column {name}")
-    return StructType([*documents.schema.fields, *StructType.fromDDL(f"{name} {kind}").fields])
+def with_column(documents: DataFrame, name: str, kind: str) -> tuple[DataFrame, StructType]:
+    """``documents`` without a column ``name``, and the schema with a new one behind the others."""
+    rest = documents.drop(*[c for c in documents.columns if c.lower() == name.lower()])
+    return rest, StructType([*rest.schema.fields, *StructType.fromDDL(f"`{name}` {kind}").fields])
+
+
+def free_name(documents: DataFrame, name: str) -> str:
+    """``name``, with underscores in front where a column has it already."""
+    while name.lower() in [c.lower() for c in documents.columns]:
+        name = f"_{name}"
+    return name
 
 
 def power_of_two(x: float) -> int:

@@ -67,8 +67,33 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     Sizes are words of the text (null: 0). Rows of one doc_id, and rows whose doc_id is null, share a hash and are
     taken together. A source without words has target 0 and gives nothing.
     """
-    given = cut_lineage(documents.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count(F.col("text").cast("string")).alias("size"))
-                        .withColumn("hash", document_hash(F.col("doc_id"))))
+    given = cut_lineage(_sized(documents))
+    return _copied(given, thresholds(given, weights, most), most) \
+        .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def mixed(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
+    """The rows of the mix: all columns of ``documents``, each row as often as the mix takes it (see ``mix``)."""
+    limits = thresholds(cut_lineage(_sized(documents)), weights, most)
+    key = documents.select(F.struct("*").alias("document"), F.col("source").cast("string").alias("source"), document_hash(F.col("doc_id").cast("long")).alias("hash"))
+    return _copied(key, limits, most).where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("document.*")
+
+
+def _sized(documents: DataFrame) -> DataFrame:
+    return documents.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count(F.col("text").cast("string")).alias("size")) \
+        .withColumn("hash", document_hash(F.col("doc_id")))
+
+
+def _copied(rows: DataFrame, limits: DataFrame, most: int) -> DataFrame:
+    """``rows`` (source, hash, ...) with ``copies``; one row of ``limits`` a source, which Spark broadcasts while small."""
+    more = (F.col("hash") < F.col("threshold")) | F.coalesce(F.col("hash") == F.col("extra"), F.lit(False))
+    copies = F.col("whole") + F.when(F.col("whole") >= most, 0).when(more, 1).otherwise(0)
+    return rows.join(limits, _same("source", "s")).withColumn("copies", copies.cast("int"))
+
+
+def thresholds(given: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
+    """Per source: how often all of ``given`` (source, size, hash) is taken, the threshold below which once more, and
+    the hash of the one document that fills the rest."""
     sources = cut_lineage(targets(given.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most))
     rate = F.col("target") / F.col("source_size")
     whole = F.when(F.col("source_size") > 0, F.floor(rate)).otherwise(0)
@@ -98,8 +123,4 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     fill = given.join(limits.where(F.col("whole") < most).select("s", "threshold", "rest"), _same("source", "s")) \
         .where((F.col("hash") >= F.col("threshold")) & (gap < F.col("rest"))) \
         .groupBy("s").agg(F.min(F.struct(gap.alias("gap"), "hash"))["hash"].alias("extra"))
-    limits = cut_lineage(limits.join(fill.withColumnRenamed("s", "f"), _same("s", "f"), "left").drop("f", "rest"))
-    more = (F.col("hash") < F.col("threshold")) | F.coalesce(F.col("hash") == F.col("extra"), F.lit(False))
-    copies = F.col("whole") + F.when(F.col("whole") >= most, 0).when(more, 1).otherwise(0)
-    return given.join(limits, _same("source", "s")).withColumn("copies", copies.cast("int")) \
-        .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    return cut_lineage(limits.join(fill.withColumnRenamed("s", "f"), _same("s", "f"), "left").drop("f", "rest"))

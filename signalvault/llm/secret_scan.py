@@ -159,14 +159,18 @@ class Scanner:
         return out
 
 
-def scan_secrets(documents: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", mask: bool = False) -> DataFrame:
-    """All columns of ``documents`` and ``secrets``: (kind, start, end) in code points, by start, then rule order.
+def scan_secrets(documents: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", mask: bool = False,
+                 name: str = "secrets") -> DataFrame:
+    """All columns of ``documents`` and ``name`` (in place of one of that name): (kind, start, end) in code points, by
+    start, then rule order.
 
     A null text holds no secrets and stays null. With ``mask`` the spans are replaced in the text by ``[kind]``
     (of the first of overlapping spans) and no column is added.
     """
-    name = "secrets"
-    schema = documents.schema if mask else with_column(documents, name, "array<struct<kind:string,start:int,end:int>>")
+    if mask:
+        schema = documents.schema
+    else:
+        documents, schema = with_column(documents, name, "array<struct<kind:string,start:int,end:int>>")
     entry = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

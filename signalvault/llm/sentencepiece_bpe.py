@@ -230,10 +230,10 @@ def encode_texts(cache: UnitCache, texts: list[str]) -> tuple[np.ndarray, np.nda
     return flat, ends
 
 
-def encode_documents(documents: DataFrame, model: str, ends: bool = True, text: str = "text") -> DataFrame:
-    """All columns of ``documents`` and ``ids`` (array<int>); ``model`` is a path that every executor has."""
-    name = "ids"
-    schema = with_column(documents, name, "array<int>")
+def encode_documents(documents: DataFrame, model: str, ends: bool = True, text: str = "text", name: str = "ids") -> DataFrame:
+    """All columns of ``documents`` and ``name`` (array<int>, in place of one of that name); ``model`` is a path that
+    every executor has. Null and empty texts have the begin and end ids alone."""
+    documents, schema = with_column(documents, name, "array<int>")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = PieceModel.of(model)

@@ -216,11 +216,10 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def score_toxicity(documents: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame:
-    """All columns of ``documents`` and ``toxicity``: (score 0 to 1, passages as (start, end, score) in code points,
+def score_toxicity(documents: DataFrame, model: ToxicityModel, text: str = "text", name: str = "toxicity") -> DataFrame:
+    """All columns of ``documents`` and ``name`` (in place of one of that name): (score 0 to 1, passages as (start, end, score) in code points,
     score in nats beyond chance). Null and empty texts get the score of a text without findings."""
-    name = "toxicity"
-    schema = with_column(documents, name, "struct<score:double,passages:array<struct<start:int,end:int,score:double>>>")
+    documents, schema = with_column(documents, name, "struct<score:double,passages:array<struct<start:int,end:int,score:double>>>")
     entry = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())])
     whole = pa.struct([("score", pa.float64()), ("passages", pa.list_(entry))])
 
