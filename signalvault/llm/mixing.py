@@ -95,8 +95,7 @@ def thresholds(given: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     """Per source: how often all of ``given`` (source, size, hash) is taken, the threshold below which once more, and
     the hash of the one document that fills the rest."""
     sources = cut_lineage(targets(given.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most))
-    rate = F.col("target") / F.col("source_size")
-    whole = F.when(F.col("source_size") > 0, F.floor(rate)).otherwise(0)
+    whole = F.coalesce(F.floor(F.try_divide(F.col("target"), F.col("source_size").cast("double"))), F.lit(0))
     open_ = sources.withColumn("whole", whole.cast("int")) \
         .withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size")) \
         .select(F.col("source").alias("s"), "source_size", "target", "whole", "budget", F.lit(0).cast("long").alias("prefix"))

@@ -49,10 +49,10 @@ _REPLY = "block long, meta boolean, ids binary, a binary, b binary, c binary"
 _SETS = "row long, doc_id long, n long, d1 long, d2 long, hits long, keys binary, codes binary"
 
 
-def _text_sets(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _text_sets(batch: pa.RecordBatch, width: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     words = Words(*flat(text_column(batch.column("text"))))
     value, bounds = shingles(words, width, lower=True)
-    return batch.column("doc_id").to_numpy(zero_copy_only=False), value, bounds
+    return batch.column("doc_id"), value, bounds
 
 
 def _sum(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -94,7 +94,9 @@ def list_lengths(documents: DataFrame, width: int, bound: Fraction) -> DataFrame
             common = np.zeros(len(value), bool)
             if len(hot) and len(value):
                 common = hot[np.minimum(np.searchsorted(hot, value), len(hot) - 1)] == value
-            out = [(number % parts, number, True, np.concatenate(ids).tobytes(), np.diff(bounds).astype(np.uint32).tobytes(),
+            there = np.concatenate([x.is_valid().to_numpy(zero_copy_only=False) for x in ids])
+            named = np.concatenate([x.fill_null(0).to_numpy() for x in ids])
+            out = [(number % parts, number, True, named.tobytes() + there.tobytes(), np.diff(bounds).astype(np.uint32).tobytes(),
                     digests[0].tobytes() + digests[1].tobytes(), doc[common].tobytes() + value[common].tobytes())]
             value, doc = value[~common], doc[~common]
             order = np.argsort(value)
@@ -111,7 +113,7 @@ def list_lengths(documents: DataFrame, width: int, bound: Fraction) -> DataFrame
 
         for part in slices(batches):
             doc, value, bounds = _text_sets(part, width)
-            held.append(value), ids.append(doc.astype(np.int64)), sizes.append(np.diff(bounds))
+            held.append(value), ids.append(doc), sizes.append(np.diff(bounds))
             total += len(value)
             if total >= BLOCK_SHINGLES:
                 yield block()
@@ -154,7 +156,8 @@ def list_lengths(documents: DataFrame, width: int, bound: Fraction) -> DataFrame
         """Rows of one block of documents from the replies of all groups."""
         rows = group.to_pylist()
         meta = next(r for r in rows if r["meta"])
-        ids, n = np.frombuffer(meta["ids"], np.int64), np.frombuffer(meta["a"], np.uint32).astype(np.int64)
+        n = np.frombuffer(meta["a"], np.uint32).astype(np.int64)
+        ids, named = np.frombuffer(meta["ids"], np.int64, len(n)), np.frombuffer(meta["ids"], bool, len(n), 8 * len(n))
         digest = np.frombuffer(meta["b"], np.int64).reshape(2, -1)
         there = len(meta["c"]) // 12
         doc = [np.frombuffer(meta["c"], np.uint32, there)]
@@ -173,7 +176,7 @@ def list_lengths(documents: DataFrame, width: int, bound: Fraction) -> DataFrame
         doc, key, code = doc[order], key[order], code[order]
         cut = np.searchsorted(doc, np.arange(len(ids) + 1)).tolist()
         return pa.Table.from_arrays([
-            pa.array((np.int64(meta["block"]) << 24) + np.arange(len(ids))), pa.array(ids), pa.array(n), pa.array(digest[0]), pa.array(digest[1]), pa.array(hits),
+            pa.array((np.int64(meta["block"]) << 24) + np.arange(len(ids))), pa.array(ids, mask=~named), pa.array(n), pa.array(digest[0]), pa.array(digest[1]), pa.array(hits),
             pa.array([key[a:b].tobytes() if ok else None for a, b, ok in zip(cut, cut[1:], alive)], pa.binary()),
             pa.array([code[a:b].tobytes() if ok else None for a, b, ok in zip(cut, cut[1:], alive)], pa.binary())],
             ["row", "doc_id", "n", "d1", "d2", "hits", "keys", "codes"])
@@ -321,7 +324,7 @@ def ngram_classes(documents: DataFrame, width: int = 4, bound: tuple[int, int] =
     sets = cut_lineage(alive.select("row", "keys").join(reps, "row").select("rep", "n", "keys"))
     lists = cut_lineage(_postings(sets, limit))
     # a list holds partners of like size only; the first of each list and size band leads it
-    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(bottom / top)))
+    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(bottom / top))) if top < bottom else F.col("n")
     banded = lists.withColumn("band", band)
     leaders = banded.groupBy("key", "band").agg(F.min(F.struct("n", "rep")).alias("lead"), F.count(F.lit(1)).alias("length")).where("length > 1")
     pairs = banded.join(leaders, ["key", "band"]).where("rep <> lead.rep").select(F.col("lead.rep").alias("a"), F.col("rep").alias("b")).distinct()

@@ -149,14 +149,15 @@ def op4_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(table(spark, sf_dir, "documents"), scratch_path(spark, "media"))
 
 
-OP9_SQL = """
+OP9_SQL = r"""
 WITH turns AS (
   SELECT conv_id, conv_id * 100000 + turn AS message_id, turn, role, coalesce(text, '') AS text,
          row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS position,
          min(turn) OVER (PARTITION BY conv_id) AS first_turn,
-         lag(conv_id * 100000 + turn) OVER (PARTITION BY conv_id ORDER BY turn) AS reply_to
+         CAST(lag(conv_id * 100000 + turn) OVER (PARTITION BY conv_id ORDER BY turn) AS VARCHAR) AS reply_to
   FROM conversations)
-SELECT conv_id * 100000 + first_turn AS conversation_id, position, CAST(position - 1 AS INTEGER) AS depth, message_id, reply_to, role, trim(text) AS text
+SELECT conv_id * 100000 + first_turn AS conversation_id, position, CAST(position - 1 AS INTEGER) AS depth, message_id, reply_to, role,
+       regexp_replace(text, '^\s+|\s+$', '', 'g') AS text
 FROM turns
 """
 
@@ -178,4 +179,4 @@ def quoting_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op9_quotation_links", OP9_SQL)
 def op9_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return conversations(quoting_messages(spark, sf_dir))
+    return conversations(quoting_messages(spark, sf_dir)).withColumn("reply_to", F.col("reply_to").cast("string"))

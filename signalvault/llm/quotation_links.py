@@ -95,6 +95,6 @@ def conversations(messages: DataFrame) -> DataFrame:
     within = F.row_number().over(Window.partitionBy("up", "depth", "span").orderBy("message_id"))
     order = placed.withColumn("within", within).join(counts, ["up", "depth", "span"])
     line = F.split(F.regexp_replace("text", "\r\n?", "\n"), "\n")
-    own = F.trim(F.array_join(F.filter(line, lambda x: (line_level(x) == 0) & ~x.rlike(ATTRIBUTION)), "\n"))
+    own = F.regexp_replace(F.array_join(F.filter(line, lambda x: (line_level(x) == 0) & ~x.rlike(ATTRIBUTION)), "\n"), r"^\s+|\s+$", "")
     return order.join(given, "message_id").join(links, "message_id", "left").select(
         F.col("up").alias("conversation_id"), (F.col("base") + F.col("within")).alias("position"), "depth", "message_id", "reply_to", "role", own.alias("text"))

@@ -226,7 +226,7 @@ def encode_texts(cache: UnitCache, texts: list[str]) -> tuple[np.ndarray, np.nda
         counts.append(len(own))
         units += own
     flat, lengths = cache.ids(units)
-    ends = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(counts)])]
+    ends = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])]
     return flat, ends
 
 

@@ -25,13 +25,13 @@ from signalvault.llm.common import (Words, block_number, flat, power_of_two, rag
                                     text_column)
 
 PREFIX = 8
-BLOCK_WORDS = 1 << 20
+BLOCK_WORDS = 1 << 19
 GROUP_BYTES = 16 << 20
 """Text bytes whose suffixes make one subtree."""
 SAMPLE_ROWS = 4096
 HOT_SHARE = 1 / 128
-_INSIDE = np.uint32(0xFFFFFFFF)
-"""Place of a path that its block has several times."""
+_INSIDE = 0
+"""Place of a path that its block has several times; other places count from 1."""
 
 _SENT = "pid long, block long, meta boolean, n_words long, paths binary, places binary"
 _REPLY = "block long, n_words long, places binary"
@@ -53,6 +53,19 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple
         yield block_number(count), held
 
 
+def _spread(values: np.ndarray, width: int) -> bytes:
+    """The low ``width`` bytes of sorted or small integers, high bytes first and together, so that they compress."""
+    return np.ascontiguousarray(values.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - width:].T).tobytes()
+
+
+def _gathered(data: bytes, count: int) -> np.ndarray:
+    """The integers that ``_spread`` wrote."""
+    width = len(data) // count if count else 8
+    out = np.zeros((count, 8), np.uint8)
+    out[:, 8 - width:] = np.frombuffer(data, np.uint8).reshape(width, count).T
+    return out.view(">u8").ravel().astype(np.uint64)
+
+
 def _windows(words: Words, length: int, prefix: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First word, prefix hash and path of every window."""
     h, row = words.hashes(), words.row
@@ -99,11 +112,12 @@ def _send(length: int, parts: int, frequent: np.ndarray) -> Callable:
             first = np.flatnonzero(new)
             several = np.diff(np.append(first, len(path))) > 1
             inside = np.repeat(several, np.diff(np.append(first, len(path))))
-            place = np.where(several, _INSIDE, start[first])
+            place = np.where(several, _INSIDE, start[first].astype(np.int64) + 1)
+            width = (base.bit_length() + 7) // 8
             path, pid = path[first], pid[first]
             out = [(number % parts, number, True, base, None, start[inside].tobytes())]
             cut = np.searchsorted(pid, np.arange(parts + 1)).tolist()
-            out += [(p, number, False, base, path[a:b].tobytes(), place[a:b].tobytes()) for p, (a, b) in enumerate(zip(cut, cut[1:])) if a < b]
+            out += [(p, number, False, base, _spread(path[a:b], 8), _spread(place[a:b], width)) for p, (a, b) in enumerate(zip(cut, cut[1:])) if a < b]
             kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], ["pid", "block", "meta", "n_words", "paths", "places"])
 
@@ -116,7 +130,7 @@ def _subtree(group: pa.Table) -> pa.Table:
     sent = [r for r in rows if not r["meta"]]
     out = [(r["block"], r["n_words"], r["places"]) for r in rows if r["meta"]]
     if sent:
-        path = np.concatenate([np.frombuffer(r["paths"], np.uint64) for r in sent])
+        path = np.concatenate([_gathered(r["paths"], len(r["paths"]) // 8) for r in sent])
         order = np.argsort(path)
         path = path[order]
         same = path[1:] == path[:-1]
@@ -127,11 +141,11 @@ def _subtree(group: pa.Table) -> pa.Table:
         leaf[order[shared]] = True
         start = 0
         for r in sent:
-            place = np.frombuffer(r["places"], np.uint32)
+            place = _gathered(r["places"], len(r["paths"]) // 8)
             mine = place[leaf[start:start + len(place)] & (place != _INSIDE)]
             start += len(place)
             if len(mine):
-                out.append((r["block"], r["n_words"], mine.tobytes()))
+                out.append((r["block"], r["n_words"], (mine - np.uint64(1)).astype(np.uint32).tobytes()))
     kinds = [pa.int64(), pa.int64(), pa.binary()]
     return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else ([], [], []), kinds)], ["block", "n_words", "places"])
 
@@ -139,7 +153,7 @@ def _subtree(group: pa.Table) -> pa.Table:
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import zstandard
 
-    packer = zstandard.ZstdCompressor(level=1)
+    packer = zstandard.ZstdCompressor(level=3)
     for number, held in _blocks(batches):
         ids = [i for part, _ in held for i in part.column("doc_id").to_pylist()]
         sizes = np.concatenate([np.diff(w.offsets) for _, w in held]).astype(np.uint32)
