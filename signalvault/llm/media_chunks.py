@@ -30,6 +30,11 @@ LEAST, MEAN_BITS, MOST = 1024, 12, 16384
 DIGEST = 16
 """Bytes of sha256 that name a chunk."""
 RATE = 8000
+SLICE = 1 << 20
+ROWS = 100
+"""Media that a task has unpacked at once."""
+ROW_GROUP = 8 << 20
+"""Bytes of the store that a writer holds before it compresses them."""
 
 _GEAR = np.random.default_rng(77).integers(0, 2**32, 256, dtype=np.uint32)
 _CHUNK = "struct<digest:binary,size:int>"
@@ -88,7 +93,7 @@ def _chunked(payloads: list[bytes]) -> list[list[int]]:
 
 def _catalog(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = [pa.binary(), pa.list_(pa.struct([("digest", pa.binary()), ("size", pa.int32())]))]
-    for part in slices(batches):
+    for part in slices(batches, limit=SLICE):
         payloads, sizes = _payloads(part)
         ids, lists = [], []
         for payload, ends in zip(payloads, _chunked(payloads)):
@@ -102,7 +107,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import zstandard
 
     packer = zstandard.ZstdCompressor(level=3)
-    for part in slices(batches):
+    for part in slices(batches, limit=SLICE):
         media = {hashlib.sha256(p).digest(): p for p in _payloads(part)[0]}
         yield pa.RecordBatch.from_arrays([pa.array(list(media), pa.binary()), pa.array([packer.compress(p) for p in media.values()], pa.binary())], ["media_id", "packed"])
 
@@ -113,9 +118,9 @@ def _hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     kinds = [pa.binary(), pa.binary(), pa.list_(pa.struct([("digest", pa.binary()), ("size", pa.int32()), ("own", pa.bool_()), ("shared", pa.bool_())])), pa.binary()]
     for batch in batches:
-        for start in range(0, batch.num_rows, 500):
+        for start in range(0, batch.num_rows, ROWS):
             out = []
-            for row in batch.slice(start, 500).to_pylist():
+            for row in batch.slice(start, ROWS).to_pylist():
                 payload, at, held = zstandard.decompress(row["packed"]), 0, []
                 for chunk in row["recipe"]:
                     if chunk["own"]:
@@ -143,7 +148,7 @@ def write_store(documents: DataFrame, known: DataFrame, path: str) -> None:
         .select("media_id", F.transform("chunks", lambda c: F.struct(c.digest.alias("digest"), c.size.alias("size"), c.own.alias("own"), c.shared.alias("shared"))).alias("recipe"))
     packed = documents.select(F.col("text").cast("string")).mapInArrow(_pack, "media_id binary, packed binary").dropDuplicates(["media_id"])
     packed.join(plans, "media_id").select("media_id", "packed", "recipe").mapInArrow(_hold, _STORE) \
-        .write.option("compression", "zstd").parquet(path)
+        .write.option("compression", "zstd").option("parquet.block.size", str(ROW_GROUP)).parquet(path)
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
@@ -152,9 +157,9 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     lends, borrows = F.exists("recipe", lambda c: c.own & c.shared), F.exists("recipe", lambda c: ~c.own)
 
     def lend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for part in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             out = []
-            for row in batch.to_pylist():
+            for row in part.to_pylist():
                 at = 0
                 for chunk in row["recipe"]:
                     if chunk["own"]:
@@ -173,8 +178,8 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
         kinds = [pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         names = ["media_id", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                out = [_described(row) for row in batch.slice(start, 500).to_pylist()]
+            for start in range(0, batch.num_rows, ROWS):
+                out = [_described(row) for row in batch.slice(start, ROWS).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 7, kinds)], names)
 
     return full.unionByName(rest.select(*full.columns)).mapInArrow(describe, _FEATURES)
