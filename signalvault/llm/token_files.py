@@ -29,7 +29,8 @@ _SEGMENTS = "part int, seq int, n_ids long, doc_ids array<long>, doc_tokens arra
 _INNER = re.compile(r"(?<=\s) | (?=\s)")
 _BOUNDARY = re.compile(r"(?<=\S)(?= \S)")
 _ALONE = "\0 "
-"""Before units that are encoded as they stand; the other units stand for a space and their characters."""
+"""Before units that are encoded as they stand; the others begin with a line feed or stand for a space and their
+characters, and have no other white space."""
 _ODD = np.zeros(256, bool)
 _ODD[[0x09, *range(0x0B, 0x0E), *range(0x1C, 0x20), 0xC2, 0xE1, 0xE2, 0xE3]] = True
 """Bytes without which a text has no white space but spaces and line feeds."""
@@ -37,10 +38,13 @@ _ODD[[0x09, *range(0x0B, 0x0E), *range(0x1C, 0x20), 0xC2, 0xE1, 0xE2, 0xE3]] = T
 
 def byte_units(text: str, odd: bool = True) -> list[str]:
     """Parts of a text that byte-level BPE encodes independently: no token of its pattern crosses from a character
-    that is no space to a single space with such a character behind it."""
-    if _INNER.search(text) if odd else "  " in text or " \n" in text or "\n " in text:
+    that is no space to a single space, or a single line feed, with such a character behind it."""
+    if odd or "  " in text or " \n" in text or "\n " in text or "\n\n" in text:
+        if odd and not _INNER.search(text):
+            parts = text.split(" ")
+            return [_ALONE + parts[0], *[_ALONE + " " + p for p in parts[1:]]]
         return [_ALONE + u for u in _BOUNDARY.split(text)]
-    parts = text.split(" ")
+    parts = text.replace("\n", " \n").split(" ")
     parts[0] = _ALONE + parts[0]
     if not parts[-1]:
         parts[-1] = _ALONE + " "
@@ -68,13 +72,13 @@ class ByteEncoder:
         return cls(path)
 
     def _encode(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Units that stand for a space and more follow each other in one text, as they do in a document; the bytes
-        of the ids tell where each unit ends. The others are encoded one by one."""
+        """Units that begin with a space or line feed follow each other in one text, as they do in a document; the
+        bytes of the ids tell where each unit ends. The others are encoded one by one."""
         led = np.array([not u.startswith(_ALONE) for u in units])
-        text = " ".join([u for u in units if not u.startswith(_ALONE)])
+        text = (" " + " ".join([u for u in units if not u.startswith(_ALONE)])).replace(" \n", "\n")
         data = np.frombuffer(text.encode(), np.uint8)
-        ends = np.append(np.flatnonzero(data == 0x20) + 1, len(data) + 1)
-        joined = np.array(self.library.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids if led.any() else [], np.uint32)
+        ends = np.append(np.flatnonzero((data == 0x20) | (data == 0x0A))[1:], len(data))
+        joined = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids if led.any() else [], np.uint32)
         counts = np.zeros(len(units), np.int64)
         if led.any():
             counts[led] = np.diff(np.concatenate([[0], np.searchsorted(np.cumsum(self.width[joined]), ends) + 1]))
