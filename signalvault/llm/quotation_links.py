@@ -80,13 +80,14 @@ def conversations(messages: DataFrame) -> DataFrame:
     at = given.select("message_id").join(links, "message_id", "left") \
         .select("message_id", F.coalesce("reply_to", "message_id").alias("up"), F.when(F.col("reply_to").isNull(), 0).otherwise(1).alias("depth"))
     at = cut_lineage(at)
-    while True:
-        above = at.select(F.col("message_id").alias("up"), F.col("up").alias("top"), F.col("depth").alias("more"))
-        doubled = cut_lineage(at.join(above, "up").select("message_id", F.col("top").alias("up"), (F.col("depth") + F.col("more")).alias("depth"),
-                                                          (F.col("top") != F.col("up")).alias("moved")))
-        at = doubled.select("message_id", "up", "depth")
-        if not doubled.where("moved").limit(1).count():
-            break
+    settled, open_ = at.where("depth = 0"), at.where("depth > 0")
+    while open_.limit(1).count():  # only messages that do not know their first message yet look further
+        above = settled.union(open_).select(F.col("message_id").alias("up"), F.col("up").alias("top"), F.col("depth").alias("more"))
+        doubled = cut_lineage(open_.join(above, "up").select("message_id", F.col("top").alias("up"), (F.col("depth") + F.col("more")).alias("depth"),
+                                                             (F.col("top") != F.col("up")).alias("moved")))
+        settled = settled.union(doubled.where(~F.col("moved")).drop("moved"))
+        open_ = doubled.where("moved").drop("moved")
+    at = cut_lineage(settled)
     bounds = given.agg(F.min("message_id"), F.max("message_id")).first()
     low, high = bounds[0] or 0, bounds[1] or 0
     placed = at.withColumn("span", F.floor((F.col("message_id") - low) / F.lit((high - low) // RANGES + 1)))
