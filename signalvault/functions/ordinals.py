@@ -7,30 +7,30 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Distinct positions one task ranks; the prefix sum sees one row per such bucket.
-BUCKET_WIDTH = 1 << 17
+from signalvault.session import cut_lineage
 
 
 def dense_ordinal(df: DataFrame, position: str, name: str = "ordinal",
-                  within: Sequence[str] = (), width: int = BUCKET_WIDTH) -> DataFrame:
-    """Number rows 1..n by the integer column ``position`` (unique inside ``within``).
+                  within: Sequence[str] = ()) -> DataFrame:
+    """Number rows 1..n by ``position`` (any orderable column, unique inside ``within``).
 
-    Positions fall into fixed-width buckets. Rows are ranked inside their bucket,
-    and each bucket starts where the counts of the lower buckets end. Buckets are a
-    function of the row alone, so a recomputed task gives the same numbers.
+    Rows are dealt by range into partitions of about equal size, whatever the spacing of
+    the positions, and written down with the partition they came to, so that a repeated
+    task numbers alike. A row's number is its rank in the partition plus the counts of
+    the partitions before; the sum over those has one row per partition.
     """
-    by = [*within, "_bucket"]
-    bucketed = df.withColumn("_bucket", F.floor(F.col(position) / width))
-    below = Window.partitionBy(*(within or [F.lit(0)])).orderBy("_bucket").rowsBetween(
+    by = [*within, "_part"]
+    placed = cut_lineage(df.repartitionByRange(*within, position).withColumn("_part", F.spark_partition_id()))
+    below = Window.partitionBy(*(within or [F.lit(0)])).orderBy("_part").rowsBetween(
         Window.unboundedPreceding, -1)
     starts = (
-        bucketed.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+        placed.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
         .select(*by, F.coalesce(F.sum("_n").over(below), F.lit(0)).alias("_start"))
     )
-    ranked = bucketed.withColumn(
+    ranked = placed.withColumn(
         "_rank", F.row_number().over(Window.partitionBy(*by).orderBy(position)))
     return (
         ranked.join(starts, by)
         .withColumn(name, F.col("_start") + F.col("_rank"))
-        .drop("_bucket", "_rank", "_start")
+        .drop("_part", "_rank", "_start").select(*df.columns, name)
     )

@@ -89,22 +89,44 @@ def split_segments(df: DataFrame, value: str, elements: int = SEGMENT_ELEMENTS)
     return df.select(*rest, F.explode(pieces).alias("p")).select(*rest, "p.seg", f"p.{value}")
 
 
+def bounded(nodes: DataFrame, elements: int = SEGMENT_ELEMENTS) -> DataFrame:
+    """Nodes whose rows hold at most ``elements`` values each; what writers write.
+
+    A whole leaf (segment 0) that is longer is cut into segments; a longer row that is a
+    segment already is an error, because its place in the leaf is not known.
+    """
+    arrays = ["f64", "f32", "i64", "str"]
+    length = F.greatest(F.lit(0), *[F.coalesce(F.size(c), F.lit(0)) for c in arrays])
+    over = length > elements
+    cut = F.when(over & (F.col("seg") != 0), F.raise_error(F.lit("a segment is longer than segments may be"))).otherwise(
+        F.sequence(F.lit(0), F.greatest(F.ceil(length / elements) - 1, F.lit(0)).cast("int")))
+    columns = nodes.columns
+    pieces = nodes.withColumn("_over", over).withColumn("_i", F.explode(cut))
+    part = {c: F.when(F.col("_over"), F.slice(c, F.col("_i") * elements + 1, elements)).otherwise(F.col(c)) for c in arrays}
+    part["seg"] = F.when(F.col("_over"), F.col("_i")).otherwise(F.col("seg"))
+    return pieces.select(*[part.get(c, F.col(c)).alias(c) for c in columns])
+
+
 def samples(store: Store, elements: int = SEGMENT_ELEMENTS) -> DataFrame:
     """Long view: one row per sample of every signal that has ``data`` and ``dim0``.
 
-    ``data`` meets ``dim0`` on (signal, segment), one bounded row each, and the
-    samples are unfolded after the shuffle.
+    ``data`` meets ``dim0`` on (signal, segment), one bounded row each, and the samples
+    are unfolded after the shuffle. Where one is longer the other is NULL, in whole
+    segments too, so the rows do not depend on the segment size.
     """
     values = F.coalesce("f64", F.transform("f32", lambda x: x.cast("double")),
                         F.transform("i64", lambda x: x.cast("double")))
+    nodes = store.nodes.where(F.col("node").isin("data", "dim0"))
 
     def column(node: str, name: str) -> DataFrame:
-        return store.nodes.where(F.col("node") == node).select(*KEY, "seg", values.alias(name))
+        return nodes.where(F.col("node") == node).select(*KEY, "seg", values.alias(name))
 
-    paired = column("dim0", "t").join(column("data", "v"), [*KEY, "seg"])
+    complete = nodes.groupBy(*KEY).agg(F.count_distinct("node").alias("n")).where(F.col("n") == 2).select(*KEY)
+    none = F.array().cast("array<double>")
+    paired = column("dim0", "t").join(column("data", "v"), [*KEY, "seg"], "full_outer").join(complete, KEY, "left_semi")
     return (
         paired
-        .select(*KEY, "seg", F.posexplode(F.arrays_zip("t", "v")).alias("pos", "p"))
+        .select(*KEY, "seg", F.posexplode(F.arrays_zip(F.coalesce("t", none).alias("t"), F.coalesce("v", none).alias("v"))).alias("pos", "p"))
         .select(*KEY, (F.col("seg").cast("bigint") * elements + F.col("pos")).alias("idx"),
                 F.col("p.t").alias("t"), F.col("p.v").alias("v"))
     )

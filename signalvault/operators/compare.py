@@ -18,6 +18,7 @@ from signalvault.fixed_values import (
     ATTRIBUTE_KEYS, DATA_VALUES, NAN_POSITIONS, ONLY_IN_FIRST, ONLY_IN_SECOND, SHAPE_MISMATCH,
     SHOWN_DIFFERENCES,
 )
+from signalvault.session import cut_lineage
 from signalvault.functions.values import (
     as_doubles, attr_values_equal, nan_positions_equal, node_values_equal,
 )
@@ -68,9 +69,24 @@ def leaf_difference() -> Column:
     )
 
 
+def leaf_digest() -> Column:
+    """128 hash bits of what a leaf row holds; rows of equal content have equal digests."""
+    content = [F.col(c) for c in LEAF]
+    return F.struct(F.xxhash64(*content).alias("x"), F.xxhash64(F.lit(1), *content).alias("y"))
+
+
 def leaf_differences(left: DataFrame, right: DataFrame, unit: Sequence[str]) -> DataFrame:
-    aligned = align(left, right, [*unit, "path", "seg"], LEAF)
-    return (aligned.select(*unit, "path", leaf_difference().alias("difference"))
+    """Leaves that differ. Keys and digests are aligned first; arrays are read again, and
+    joined, only for leaves that both sides have with different digests."""
+    on = [*unit, "path", "seg"]
+    aligned = cut_lineage(
+        align(left.select(*on, leaf_digest().alias("digest")), right.select(*on, leaf_digest().alias("digest")), on, ["digest"])
+        .select(*on, _one_sided().alias("difference"), F.col("a.digest").eqNullSafe(F.col("b.digest")).alias("same"))
+        .where(~F.col("same")))
+    odd = aligned.where(F.col("difference").isNull()).select(*on)
+    first, second = (side.join(odd, on, "left_semi") for side in (left, right))
+    differing = align(first, second, on, LEAF).select(*unit, "path", leaf_difference().alias("difference"))
+    return (aligned.select(*unit, "path", "difference").unionByName(differing)
             .where(F.col("difference").isNotNull()))
 
 
@@ -115,9 +131,11 @@ def first_differences(diffs: DataFrame, unit: Sequence[str], k: int = SHOWN_DIFF
     """Per unit the first ``k`` differences in path order and the number left out.
 
     Ranking is limited on the map side as well, so a unit with very many differences
-    sends at most ``k`` of them per task to the final ranking.
+    sends at most ``k`` of them per task to the final ranking. The differences are
+    written down, so ranking and counting do not compare twice.
     """
     by = list(unit)
+    diffs = cut_lineage(diffs)
     text = F.concat_ws(": ", "path", "difference")
     first = (
         diffs.select(*by, text.alias("text"))

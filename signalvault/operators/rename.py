@@ -56,19 +56,19 @@ def runnable(lines: DataFrame, level: str) -> DataFrame:
 def candidates(labels: DataFrame, lines: DataFrame, level: str) -> DataFrame:
     """Mapping lines met with the groups that bear the old name, and the bearer of the new one.
 
-    Equi-joins on names; a mapping is small, and Spark broadcasts it when it is.
+    Equi-joins only: lines that name a shot meet its groups by (shot, name), the others
+    by name. A mapping is small, and Spark broadcasts it when it is.
     """
     scope = SCOPES[level]
-    renames = lines.select("line_no", "old_name", "new_name",
-                           *[F.col(c).alias(f"only_{c}") for c in scope])
     have = labels.withColumnRenamed("current", "old_name")
-    on = ["old_name"]
+    plain = ["line_no", "old_name", "new_name"]
     if level == "signal":                      # both scope columns are required there
-        renames = renames.withColumnsRenamed({f"only_{c}": c for c in scope})
-        on += scope
-    found = have.join(renames, on)
-    if level == "tree":
-        found = found.where(F.col("only_shot").isNull() | (F.col("only_shot") == F.col("shot")))
+        found = have.join(lines.select(*plain, *scope), ["old_name", *scope])
+    elif level == "tree":
+        named = have.join(lines.where(F.col("shot").isNotNull()).select(*plain, "shot"), ["old_name", "shot"])
+        found = named.unionByName(have.join(lines.where(F.col("shot").isNull()).select(*plain), "old_name"))
+    else:
+        found = have.join(lines.select(*plain), "old_name")
     bearers = labels.select(*scope, F.col("current").alias("new_name"), F.col("origin").alias("new_origin"))
     return (
         found.select("line_no", *scope, "old_name", "new_name", "origin")
@@ -97,8 +97,8 @@ def _side(store: Store, pairs: DataFrame, origin: str, level: str) -> Side:
 def judge(store: Store, found: DataFrame, level: str) -> tuple[DataFrame, DataFrame]:
     """Verdict per (line, group), and the differences behind the conflicts.
 
-    Candidates and verdicts hold key columns only and are materialised: the arrays
-    are read and compared once, however often the verdicts are used. Without a
+    Candidates, verdicts and differences are written down: the arrays are read and
+    compared once, however often these are used. Without a
     collision no content is read at all.
     """
     unit = ["line_no", *SCOPES[level]]
@@ -109,8 +109,8 @@ def judge(store: Store, found: DataFrame, level: str) -> tuple[DataFrame, DataFr
             ["line_no bigint", *[f"{c} string" for c in SCOPES[level]], "path string", "difference string"]))
         judged = found.withColumns({"n_differences": F.lit(0).cast("bigint"), "verdict": F.lit(RENAMED)})
     else:
-        diffs = differences(_side(store, pairs, "origin", level),
-                            _side(store, pairs, "new_origin", level), unit)
+        diffs = cut_lineage(differences(_side(store, pairs, "origin", level),
+                                        _side(store, pairs, "new_origin", level), unit))
         judged = cut_lineage(verdicts(found, diffs, unit).withColumn(
             "verdict",
             F.when(F.col("new_origin").isNull(), RENAMED).when(F.col("is_equal"), DEDUPLICATED)
@@ -192,6 +192,12 @@ def _scoped(store: Store, level: str, old: str, new: str, shot: str | None, tree
     return Store(store.nodes.where(condition), store.groups.where(condition), store.attrs.where(condition))
 
 
+def _named(store: Store, level: str, names: DataFrame) -> Store:
+    """Content under the names of a mapping; other rows are left out before anything is shuffled for them."""
+    touched = names.select(F.col("current").alias(level))
+    return Store(*[rows.join(touched, level, "left_semi") for rows in (store.nodes, store.groups, store.attrs)])
+
+
 def mapping_of(lines: DataFrame) -> DataFrame:
     """Complete a mapping's columns; without shot / tree a line is not restricted."""
     return conform(lines, MAPPING)
@@ -223,8 +229,9 @@ def rename_batch(store: Store, mapping: DataFrame, level: str = "tree", dry_run:
     acting = runnable(lines, level)
     names = acting.select(F.explode(F.array("old_name", "new_name")).alias("current")).distinct()
     labels = labels_of(store, level).join(names, "current", "left_semi")
+    content = _named(store, level, names)
     if dry_run:
-        judged, diffs = judge(store, candidates(labels, acting, level), level)
+        judged, diffs = judge(content, candidates(labels, acting, level), level)
         return Rename(report(lines, judged, level), diffs, store)
     labels, remaining = cut_lineage(labels), cut_lineage(acting)
     # A tree line without a shot acts on all shots; then names tie across shots.
@@ -234,7 +241,7 @@ def rename_batch(store: Store, mapping: DataFrame, level: str = "tree", dry_run:
     done, found = [], []
     while True:
         ready = ready_lines(remaining, scope)
-        judged, diffs = judge(store, candidates(labels, ready, level), level)
+        judged, diffs = judge(content, candidates(labels, ready, level), level)
         labels = relabel(labels, judged, level)
         done.append(judged)
         found.append(diffs)

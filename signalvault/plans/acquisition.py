@@ -111,3 +111,14 @@ def signal_plan(shots: DataFrame, catalog: DataFrame, size: int = CHUNK_SIZE) ->
     units = chunk_plan(shots, catalog, size).drop("first_ordinal", "last_ordinal", "n_signals")
     entries = chunked(catalog, size).select("config_no", "config", "chunk", "ordinal", "tree", "signal")
     return units.join(entries, ["config_no", "config", "chunk"])
+
+
+def signal_totals(shots: DataFrame, catalog: DataFrame, size: int = CHUNK_SIZE) -> DataFrame:
+    """Per catalog signal the shots that fetch it: number, first and last.
+
+    Fetch units are counted per chunk first, so only as many rows meet the catalog as it has chunks.
+    """
+    units = chunk_plan(shots, catalog, size).groupBy("config_no", "config", "chunk").agg(
+        F.count(F.lit(1)).alias("n_shots"), F.min("shot_no").alias("first_shot"), F.max("shot_no").alias("last_shot"))
+    entries = chunked(catalog, size).select("config_no", "config", "chunk", "tree", "signal")
+    return entries.join(units, ["config_no", "config", "chunk"]).drop("config_no")

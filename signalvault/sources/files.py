@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -40,16 +42,33 @@ def read_small(spark: SparkSession, path: str) -> str:
 
 
 def write_new(spark: SparkSession, path: str, text: str) -> None:
-    """Create ``path`` whole or not at all; fails if it exists."""
+    """Create ``path`` whole or not at all; of several writers one succeeds, the others get FileExistsError.
+
+    The text goes to a draft of its own, and a rename that never overwrites claims the
+    name. That is atomic where the file system's rename is (HDFS, local disks).
+    """
+    jvm = spark._jvm
     fs, jpath = _handle(spark, path)
-    draft = spark._jvm.org.apache.hadoop.fs.Path(path + ".draft")
-    stream = fs.create(draft, True)
+    draft = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.draft")
+    stream = fs.create(draft, False)
     try:
         stream.write(bytearray(text.encode("utf-8")))
     finally:
         stream.close()
-    if fs.exists(jpath) or not fs.rename(draft, jpath):
-        raise FileExistsError(path)
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(jpath.toUri(), spark._jsc.hadoopConfiguration())
+    options = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+    try:
+        context.rename(fs.makeQualified(draft), fs.makeQualified(jpath), options)
+    except Exception as problem:
+        fs.delete(draft, False)
+        if fs.exists(jpath):
+            raise FileExistsError(path) from problem
+        raise
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, jpath = _handle(spark, path)
+    fs.delete(jpath, True)
 
 
 def usable_sources(spark: SparkSession, target: str, sources: list[str]

@@ -1,8 +1,9 @@
 """Versioned Parquet folders of a store.
 
 Every commit writes new folders and then one small manifest that lists the folders
-of the version; a reader takes the newest manifest. Folders are never changed, so a
-job may read the version it replaces, and a lost job leaves only unlisted folders.
+of the version; a reader takes the newest manifest. Folders are never changed and every
+attempt writes to folders of its own, so a job may read the version it replaces, a lost
+job leaves only unlisted folders, and of two writers one commits and the other fails.
 Node folders are per tree: a commit rewrites the trees it changes and lists the
 others again.
 """
@@ -10,13 +11,15 @@ others again.
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalvault.model import ATTRS, GROUPS, NODES, Store, conform, empty
+from signalvault.model import ATTRS, GROUPS, NODES, Store, bounded, conform, empty
 from signalvault.operators.merge import Merge, merge_stacked, stack
-from signalvault.operators.rename import Rename, rename, touched_trees
+from signalvault.operators.rename import DEDUPLICATED, RENAMED, Rename, rename, touched_trees
+from signalvault.session import cut_lineage
 from signalvault.sources import files
 
 _SCHEMAS = {"nodes": NODES, "groups": GROUPS, "attrs": ATTRS}
@@ -66,12 +69,12 @@ def read_store(spark: SparkSession, root: str, version: int | None = None) -> St
 
 def _write(root: str, name: str, version: int, df: DataFrame) -> list[str]:
     spark = df.sparkSession
-    folder = f"{name}/v={version}"
+    folder = f"{name}/v={version}-{uuid.uuid4().hex}"
     if name != "nodes":
-        df.write.mode("overwrite").parquet(f"{root}/{folder}")
+        df.write.mode("errorifexists").parquet(f"{root}/{folder}")
         return [folder]
-    (df.repartitionByRange(*_CLUSTER).sortWithinPartitions(*_CLUSTER)
-       .write.mode("overwrite").partitionBy("tree").parquet(f"{root}/{folder}"))
+    (bounded(df).repartitionByRange(*_CLUSTER).sortWithinPartitions(*_CLUSTER)
+       .write.mode("errorifexists").partitionBy("tree").parquet(f"{root}/{folder}"))
     return [f"{folder}/{p.rsplit('/', 1)[1]}"
             for p in files.matching(spark, f"{root}/{folder}/tree=*")]
 
@@ -90,17 +93,29 @@ def write_store(store: Store, root: str) -> int:
 
 
 def append_store(store: Store, root: str) -> int:
-    """Commit the current version plus new rows; existing folders are not rewritten.
+    """Commit the current version plus the rows it lacks; existing folders are not rewritten.
 
-    The caller appends keys the store lacks (the next fetched chunks); groups that
-    exist already are left out here.
+    A leaf segment, attribute or group that is there already stays as it is, so an
+    append may be repeated, and one that adds nothing makes no version. Only keys of the
+    shots in question are compared.
     """
-    known = read_store(store.nodes.sparkSession, root).groups
-    columns = ["shot", "tree", "signal", "level"]
-    fresh = store.groups.select(*columns).distinct().alias("n").join(
-        known.alias("k"),
-        [F.col(f"n.{c}").eqNullSafe(F.col(f"k.{c}")) for c in columns], "left_anti")
-    return _append(Store(store.nodes, fresh, store.attrs), root)
+    spark = store.nodes.sparkSession
+    version, _ = _manifest(spark, root)
+    known = read_store(spark, root)
+    shots = cut_lineage(store.groups.select("shot").unionByName(store.nodes.select("shot")).distinct())
+
+    def lacking(rows: DataFrame, there: DataFrame, columns: list[str]) -> DataFrame:
+        old = there.join(shots, "shot", "left_semi").select(*columns).alias("k")
+        new = rows.alias("n")
+        return new.join(old, [F.col(f"n.{c}").eqNullSafe(F.col(f"k.{c}")) for c in columns], "left_anti")
+
+    nodes = cut_lineage(lacking(bounded(conform(store.nodes, NODES)), known.nodes, ["shot", "tree", "signal", "node", "seg"]))
+    attrs = cut_lineage(lacking(conform(store.attrs, ATTRS), known.attrs, ["shot", "tree", "signal", "node", "name"]))
+    group = ["shot", "tree", "signal", "level"]
+    groups = cut_lineage(lacking(store.groups.select(*group).distinct(), known.groups, group))
+    if version and nodes.isEmpty() and attrs.isEmpty() and groups.isEmpty():
+        return version
+    return _append(Store(nodes, groups, attrs), root)
 
 
 def _append(added: Store, root: str) -> int:
@@ -176,6 +191,8 @@ def rename_in(spark: SparkSession, root: str, old: str, new: str, level: str = "
 
 
 def commit_rename(before: Store, result: Rename, root: str, level: str) -> None:
+    """Commit what a rename changed; a conflict or an unknown name makes no version."""
+    if result.verdicts.where(F.col("verdict").isin(RENAMED, DEDUPLICATED)).isEmpty():
+        return
     trees = [row.tree for row in touched_trees(before, result, level).collect()]
-    if trees or level == "shot":
-        replace_trees(result.store, root, trees)
+    replace_trees(result.store, root, trees)

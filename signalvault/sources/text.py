@@ -9,10 +9,6 @@ from pyspark.sql import functions as F
 
 from signalvault.fixed_values import COMMENT_MARK, MAPPING_TOKENS
 from signalvault.session import cut_lineage
-from signalvault.sources import files
-
-# Up to this size a file is one row; a larger one is read in splits.
-WHOLE_FILE_BYTES = 32 << 20
 
 # White space around the entries of lists and catalogs.
 BLANKS = " \t\n\x0b\f\r"
@@ -44,44 +40,56 @@ def without_end(text: Column, end: str) -> Column:
     return F.when(text.endswith(end), F.left(text, F.length(text) - len(end))).otherwise(text)
 
 
-def lines_of(text: Column) -> Column:
+def lines_of(text: Column, any_end: bool = False) -> Column:
     """Array of lines; a final line break ends the last line and starts none. A carriage
-    return before a line break belongs to it."""
+    return before a line break belongs to it; with ``any_end`` a lone one ends a line too."""
+    if any_end:
+        text = F.regexp_replace(text, "\r\n?", "\n")
     return F.transform(F.split(without_end(text, "\n"), "\n"), lambda x: without_end(x, "\r"))
 
 
-def numbered_lines(texts: DataFrame, *by: str) -> DataFrame:
+def numbered_lines(texts: DataFrame, *by: str, any_end: bool = False) -> DataFrame:
     """(by..., text) -> (by..., n, line), n from 1. Narrow: no shuffle."""
     return (
-        texts.select(*by, F.posexplode(lines_of(F.col("text"))).alias("pos", "line"))
+        texts.select(*by, F.posexplode(lines_of(F.col("text"), any_end)).alias("pos", "line"))
         .select(*by, (F.col("pos").cast("bigint") + 1).alias("n"), "line")
     )
 
 
-def read_lines(spark: SparkSession, path: str, whole_bytes: int = WHOLE_FILE_BYTES) -> DataFrame:
-    """A text file of any size as (source, n, line).
+def read_lines(spark: SparkSession, path: str, any_end: bool = False) -> DataFrame:
+    """A text file of any size as (source, n, line), the same way for every size.
 
-    A large file is read in splits. Each split numbers its own lines, and the line
-    counts of the earlier splits of the file (one small row per split) shift them.
-    The split reading is checkpointed, because splits may be cut differently when
-    the file is planned again.
+    Lines end at a line feed, and a carriage return before it belongs to it. A lone one
+    is text, as in shot lists, or ends a line too (``any_end``), as in mappings. A byte
+    order mark is dropped. Each split of a file numbers its own lines, and the line
+    counts of the earlier splits (one small row per split) shift them. The splits
+    are written down, because they may be cut differently when planned again.
     """
-    if files.size_of(spark, path) <= whole_bytes:
-        return numbered_lines(read_texts(spark, path), "source")
-    raw = cut_lineage(spark.read.text(path).select(
+    line = without_end(F.col("value"), "\r")
+    raw = cut_lineage(spark.read.option("lineSep", "\n").text(path).select(
         F.col("_metadata.file_path").alias("source"),
         F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("id"), F.col("value").alias("line")))
+        F.monotonically_increasing_id().alias("id"),
+        (F.split(line, "\r") if any_end else F.array(line)).alias("lines")))
+    count = F.size("lines").cast("bigint")
     below = Window.partitionBy("source").orderBy("block").rowsBetween(
         Window.unboundedPreceding, -1)
     starts = (
         raw.groupBy("source", "block")
-        .agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("lines"))
+        .agg(F.min("id").alias("first_id"), F.sum(count).alias("in_split"))
         .select("source", "block", "first_id",
-                F.coalesce(F.sum("lines").over(below), F.lit(0)).alias("before"))
+                F.coalesce(F.sum("in_split").over(below), F.lit(0)).alias("before"))
+    )
+    inside = F.col("id") - F.col("first_id")
+    if any_end:  # a window holds one split at most
+        above = Window.partitionBy("source", "block").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+        raw = raw.withColumn("above", F.coalesce(F.sum(count).over(above), F.lit(0)))
+        inside = F.col("above")
+    return (
+        raw.join(starts, ["source", "block"])
+        .select("source", (F.col("before") + inside + 1).alias("start"), F.posexplode("lines").alias("pos", "line"))
+        .select("source", (F.col("start") + F.col("pos")).alias("n"), "line")
     )
-    return raw.join(starts, ["source", "block"]).select(
-        "source", (F.col("before") + F.col("id") - F.col("first_id") + 1).alias("n"), "line")
 
 
 def shot_list(lines: DataFrame) -> DataFrame:

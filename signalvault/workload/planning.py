@@ -10,8 +10,10 @@ from signalvault.plans import acquisition as plan
 from signalvault.sources.catalog import (
     header_blocks, missing_config_outcomes, parse_catalog, server_of, union_catalogs,
 )
+from signalvault.session import scratch_path
 from signalvault.sources.files import usable_sources
-from signalvault.sources.text import lines_of, mapping_lines, numbered_lines, shot_list
+from signalvault.sources.ledger import append_ledger, read_ledger
+from signalvault.sources.text import lines_of, mapping_lines, numbered_lines, read_lines, shot_list
 from signalvault.workload import tables as t
 from signalvault.workload.registry import query
 
@@ -27,6 +29,15 @@ def shots_list(spark: SparkSession, sf: str) -> DataFrame:
     return shot_list(numbered_lines(t.list_texts(spark, sf), "doc_id"))
 
 
+@query("shots_list_file", rf"""WITH {t.LIST_LINES} SELECT trim(line) AS shot, count(*) AS n_lines FROM lst
+ WHERE trim(line) <> '' AND NOT regexp_matches(line, '^\s*#') GROUP BY ALL""")
+def shots_list_file(spark: SparkSession, sf: str) -> DataFrame:
+    """All lists written to one folder of text files and read back by splits."""
+    path = scratch_path(spark, "lists")
+    t.list_texts(spark, sf).select("text").write.text(path)
+    return shot_list(read_lines(spark, path)).groupBy("shot").agg(F.count(F.lit(1)).alias("n_lines"))
+
+
 @query("catalog_parse", f"WITH {t.CATALOG_LINES} SELECT doc_id, ordinal, tree, signal FROM parsed")
 def catalog_parse(spark: SparkSession, sf: str) -> DataFrame:
     return parse_catalog(t.catalog_texts(spark, sf), "doc_id")
@@ -59,23 +70,27 @@ def catalog_union(spark: SparkSession, sf: str) -> DataFrame:
 _MAPPING = r"""map AS (SELECT c_custkey, c_name, c_mktsegment, c_custkey % 6 AS m FROM customer)"""
 
 
-@query("mapping_read", f"""WITH {_MAPPING} SELECT c_custkey, c_name AS old_name, c_mktsegment AS new_name
+@query("mapping_read", f"""WITH {_MAPPING} SELECT c_custkey, CAST(1 AS BIGINT) AS line_no, c_name AS old_name, c_mktsegment AS new_name
  FROM map WHERE m IN (4, 5)""")
 def mapping_read(spark: SparkSession, sf: str) -> DataFrame:
-    good, _ = mapping_lines(numbered_lines(t.mapping_texts(spark, sf), "c_custkey"))
-    return good.drop("line_no")
+    good, _ = mapping_lines(numbered_lines(t.mapping_texts(spark, sf), "c_custkey", any_end=True))
+    return good
 
 
 @query("mapping_rejects", f"""WITH {_MAPPING} SELECT c_custkey, CASE m WHEN 2 THEN 1 ELSE 3 END AS n_tokens
  FROM map WHERE m IN (2, 3)""")
 def mapping_rejects(spark: SparkSession, sf: str) -> DataFrame:
-    _, bad = mapping_lines(numbered_lines(t.mapping_texts(spark, sf), "c_custkey"))
+    _, bad = mapping_lines(numbered_lines(t.mapping_texts(spark, sf), "c_custkey", any_end=True))
     return bad.select("c_custkey", "n_tokens")
 
 
 @query("ledger_read", f"WITH {t.ORDER_LEDGER} SELECT DISTINCT shot FROM led WHERE status = 'failed'")
 def ledger_read(spark: SparkSession, sf: str) -> DataFrame:
-    return t.order_ledger(spark, sf).where(F.col("status") == "failed").select("shot").distinct()
+    """A ledger is written, entered again, and its failed shots are read back."""
+    path = scratch_path(spark, "ledger")
+    for _ in range(2):
+        append_ledger(t.order_ledger(spark, sf), path)
+    return read_ledger(spark, path, "failed").select("shot")
 
 
 @query("sources_filter", """SELECT 3 AS src_ordinal, count(*) AS n_rows FROM lineitem
@@ -239,5 +254,4 @@ def fetch_plan(spark: SparkSession, sf: str) -> DataFrame:
 def fetch_plan_signals(spark: SparkSession, sf: str) -> DataFrame:
     """Every pending shot with every catalog signal, rolled up per signal."""
     shots = plan.pending(t.requested(spark, sf), t.completed(spark, sf)).select("shot_no", "shot")
-    return plan.signal_plan(shots, t.type_catalog(spark, sf)).groupBy("config", "chunk", "tree", "signal").agg(
-        F.count(F.lit(1)).alias("n_shots"), F.min("shot_no").alias("first_shot"), F.max("shot_no").alias("last_shot"))
+    return plan.signal_totals(shots, t.type_catalog(spark, sf))

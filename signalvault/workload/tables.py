@@ -60,11 +60,10 @@ def type_catalog(spark: SparkSession, sf: str) -> DataFrame:
     """Two catalogs as large as the domains of brand and type: 150 signals at most."""
     pairs = table(spark, sf, "part").select(F.col("p_brand").alias("tree"), F.col("p_type").alias("signal")).distinct()
     main = F.col("signal").isin("ECONOMY", "SMALL", "MEDIUM", "LARGE")
-    listed = pairs.groupBy(F.when(main, 1).otherwise(2).alias("config_no")).agg(
-        F.array_sort(F.collect_list(F.struct("tree", "signal"))).alias("entries"))
-    return listed.select("config_no", F.when(F.col("config_no") == 1, "main").otherwise("rest").alias("config"),
-                         F.posexplode("entries").alias("pos", "e")).select(
-        "config_no", "config", (F.col("pos") + 1).cast("bigint").alias("ordinal"), "e.tree", "e.signal")
+    numbered = dense_ordinal(pairs.select(F.when(main, 1).otherwise(2).alias("config_no"), "tree", "signal",
+                                          F.struct("tree", "signal").alias("place")), "place", within=["config_no"])
+    return numbered.select("config_no", F.when(F.col("config_no") == 1, "main").otherwise("rest").alias("config"),
+                           F.col("ordinal").cast("bigint").alias("ordinal"), "tree", "signal")
 
 
 PART_CATALOG = """cat AS (SELECT 'parts' AS config, row_number() OVER (ORDER BY p_partkey) AS ordinal,

@@ -1,7 +1,9 @@
 import math
 
+import pytest
+
 from helpers import node, store
-from signalvault.model import NODES, conform, samples, split_segments
+from signalvault.model import NODES, bounded, conform, samples, split_segments
 from signalvault.operators.convert import to_float32
 from signalvault.plans import outcomes as roll
 from signalvault.sources import catalog as cat
@@ -93,3 +95,15 @@ def test_segments_and_samples(spark):
     s = store(spark, [node("1", "t", "a", "x", 1)])
     long = samples(type(s)(cut, s.groups, s.attrs), 4).orderBy("idx").collect()
     assert [(r.idx, r.t, r.v) for r in long] == list(zip(range(10), times, values))
+
+
+@pytest.mark.parametrize("elements", [2, 1 << 20])
+def test_samples_do_not_depend_on_the_segment_size(spark, elements):
+    """``dim0`` ends early, in the last but one segment; a signal without it gives none."""
+    values, times = [float(i) for i in range(6)], [0.5, 1.0, 1.5]
+    wide = store(spark, [node("1", "t", "a", "data", values), node("1", "t", "a", "dim0", times),
+                         node("1", "t", "b", "data", values)])
+    s = type(wide)(bounded(wide.nodes, elements), wide.groups, wide.attrs)
+    assert s.nodes.where(f"size(f64) > {elements}").isEmpty()
+    got = [(r.signal, r.idx, r.t, r.v) for r in samples(s, elements).orderBy("idx").collect()]
+    assert got == [("a", i, times[i] if i < 3 else None, v) for i, v in enumerate(values)]

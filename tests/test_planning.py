@@ -47,7 +47,7 @@ def test_lines_read_in_splits_equal_lines_read_whole(spark, folder, end):
     keep = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "7001")
     try:
-        split = {r.n: r.line for r in text.read_lines(spark, path, whole_bytes=10).collect()}
+        split = {r.n: r.line for r in text.read_lines(spark, path).collect()}
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", keep)
     whole = {r.n: r.line for r in text.read_lines(spark, path).collect()}
@@ -95,13 +95,32 @@ def test_pending_and_batches(spark):
     assert sorted(r.shot for r in plan.pending(listed, done).collect()) == ["4", "4"]
 
 
-def test_dense_ordinal_over_many_buckets(spark):
-    rows = spark.range(1000).where("id % 3 != 0").select((F.col("id") * 7 - 500).alias("p"), (F.col("id") % 2).alias("g"))
-    got = dense_ordinal(rows, "p", "o", width=64).orderBy("p").collect()
+def test_dense_ordinal_for_any_positions(spark):
+    rows = spark.range(1000).where("id % 3 != 0").select((F.col("id") * 1_000_003 - 500).alias("p"), (F.col("id") % 2).alias("g"))
+    got = dense_ordinal(rows, "p", "o").orderBy("p").collect()
     assert [r.o for r in got] == list(range(1, len(got) + 1))
     for g in (0, 1):
-        part = [r.o for r in dense_ordinal(rows, "p", "o", ["g"], width=100).where(f"g = {g}").orderBy("p").collect()]
+        part = [r.o for r in dense_ordinal(rows, "p", "o", ["g"]).where(f"g = {g}").orderBy("p").collect()]
         assert part == list(range(1, len(part) + 1))
+    assert dense_ordinal(rows.limit(0), "p").count() == 0
+
+
+@pytest.mark.parametrize("split", ["7", "128m"])
+def test_line_ends(spark, folder, split):
+    """The same lines however the file is split: a lone carriage return is text in lists and an end in mappings."""
+    path = f"{folder}/ends.txt"
+    with open(path, "wb") as f:
+        f.write(b"\xef\xbb\xbf1\r2\n3\r\n\n4\r\r5\n6\r")
+    keep = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        lists = [r.line for r in text.read_lines(spark, path).orderBy("n").collect()]
+        mappings = [(r.n, r.line) for r in text.read_lines(spark, path, any_end=True).orderBy("n").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", keep)
+    assert lists == ["1\r2", "3", "", "4\r\r5", "6"]
+    assert mappings == list(enumerate(["1", "2", "3", "", "4", "", "5", "6"], start=1))
+
 
 
 def catalog_of(spark, sizes):

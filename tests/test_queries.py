@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as entry_points
 from check_queries import compare, connect
+from signalvault.workload import QUERIES
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -16,7 +17,7 @@ def duck():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", sorted(entry_points.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
     got = entry_points.queries()[name](spark, SF).toPandas()
     sql = entry_points.oracle_sql().get(name)

@@ -49,9 +49,9 @@ def test_leaves_of_a_hot_unit_are_spread(spark, plain_shuffles):
 
 
 def test_ordinals_are_ranked_in_many_tasks(spark, plain_shuffles):
-    numbered = dense_ordinal(spark.range(100_000).withColumnRenamed("id", "p"), "p", "o", width=1000).persist()
+    numbered = dense_ordinal(spark.range(100_000).withColumnRenamed("id", "p"), "p", "o").persist()
     assert numbered.agg(F.min("o"), F.max("o"), F.count_distinct("o")).first()[:] == (1, 100_000, 100_000)
-    assert numbered.where("o != p + 1").isEmpty() and largest_share(numbered) < 0.3
+    assert numbered.where("o != p + 1").isEmpty() and largest_share(numbered) < 0.5  # two of eight ranges may meet in a task
     numbered.unpersist()
 
 
