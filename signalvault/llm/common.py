@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import zipfile
 from collections.abc import Iterator
@@ -30,7 +31,7 @@ def ship(spark: SparkSession) -> None:
         context.addPyFile(str(archive))
 
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 """Text bytes that are worked on at once; a longer text is a slice of its own."""
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -107,6 +108,17 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = S
             end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + limit, "right")) - 1)
             yield batch.slice(start, end - start)
             start = end
+    give_back()
+
+
+def give_back() -> None:
+    """Returns what a task no longer needs to the system: Python workers live on for later tasks, and what they
+    hold is missing to the others of their executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 class Words:

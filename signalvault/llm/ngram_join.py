@@ -36,9 +36,9 @@ from signalvault.llm.common import (Words, block_number, flat, mix, power_of_two
 from signalvault.llm.components import components
 from signalvault.session import cut_lineage
 
-GROUP_BYTES = 16 << 20
+GROUP_BYTES = 8 << 20
 """Text bytes whose shingles meet in one group of the counting step."""
-BLOCK_SHINGLES = 1 << 20
+BLOCK_SHINGLES = 1 << 19
 HOT_SHARE = 1 / 64
 """Share of the sampled sets above which a shingle goes last uncounted."""
 SAMPLE_ROWS = 4096

@@ -71,7 +71,7 @@ class PieceModel:
         self.leads_space = np.array([plain[i] and p.startswith(SPACE) for i, p in enumerate(pieces)])
         self.is_control = np.array([library.is_control(i) for i in range(size)])
 
-        self.cache = UnitCache(self.encode_units)
+        self.cache = UnitCache(self.encode_units, limit=150_000)
 
     @classmethod
     @functools.cache

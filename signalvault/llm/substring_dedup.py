@@ -26,7 +26,7 @@ from signalvault.llm.common import (Words, block_number, flat, power_of_two, rag
 
 PREFIX = 8
 BLOCK_WORDS = 1 << 19
-GROUP_BYTES = 16 << 20
+GROUP_BYTES = 8 << 20
 """Text bytes whose suffixes make one subtree."""
 SAMPLE_ROWS = 4096
 HOT_SHARE = 1 / 128
