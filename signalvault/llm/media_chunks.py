@@ -6,7 +6,7 @@ digests find the chunks that several media have; each is stored once, with the f
 medium keeps an ordered list of its chunks. Reading joins the chunks a medium does not hold itself, puts the list
 together and verifies every digest.
 
-A medium is known by the sha256 of its payload, so equal payloads are one medium however many rows hold them.
+A medium is known by 128 bits of the sha256 of its payload, so equal payloads are one medium however many rows hold them.
 Bytes move only once before they are stored, compressed; on reading only chunks that others hold move.
 """
 
@@ -28,7 +28,7 @@ from signalvault.session import cut_lineage
 UNIT = 192
 LEAST, MEAN_BITS, MOST = 1024, 12, 16384
 DIGEST = 16
-"""Bytes of sha256 that name a chunk."""
+"""Bytes of sha256 that name a chunk or a medium."""
 RATE = 8000
 SLICE = 1 << 20
 ROWS = 100
@@ -42,6 +42,10 @@ _STORE = "media_id binary, header binary, recipe array<struct<digest:binary,size
 _FEATURES = "media_id binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
+def _name(data: bytes) -> bytes:
+    return hashlib.sha256(data).digest()[:DIGEST]
+
+
 def payload_of(text: bytes) -> bytes:
     """The text and spaces up to a positive multiple of UNIT."""
     return text.ljust(max(UNIT, -(-len(text) // UNIT) * UNIT), b" ")
@@ -97,8 +101,8 @@ def _catalog(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         payloads, sizes = _payloads(part)
         ids, lists = [], []
         for payload, ends in zip(payloads, _chunked(payloads)):
-            ids.append(hashlib.sha256(payload).digest())
-            lists.append([{"digest": hashlib.sha256(payload[a:b]).digest()[:DIGEST], "size": b - a} for a, b in zip([0, *ends], ends)])
+            ids.append(_name(payload))
+            lists.append([{"digest": _name(payload[a:b]), "size": b - a} for a, b in zip([0, *ends], ends)])
         yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes), *[pa.array(x, t) for x, t in zip((ids, lists), kinds)]],
                                          ["doc_id", "n_bytes", "media_id", "chunks"])
 
@@ -108,7 +112,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     packer = zstandard.ZstdCompressor(level=3)
     for part in slices(batches, limit=SLICE):
-        media = {hashlib.sha256(p).digest(): p for p in _payloads(part)[0]}
+        media = {_name(p): p for p in _payloads(part)[0]}
         yield pa.RecordBatch.from_arrays([pa.array(list(media), pa.binary()), pa.array([packer.compress(p) for p in media.values()], pa.binary())], ["media_id", "packed"])
 
 
@@ -195,7 +199,7 @@ def restore(row: dict) -> bytes:
             at += chunk["size"]
         else:
             data = borrowed.get(chunk["digest"], b"")
-        if len(data) != chunk["size"] or hashlib.sha256(data).digest()[:DIGEST] != chunk["digest"]:
+        if len(data) != chunk["size"] or _name(data) != chunk["digest"]:
             raise ValueError(f"chunk {chunk['digest'].hex()} of medium {row['media_id'].hex()} is missing or damaged")
         parts.append(data)
     return row["header"] + b"".join(parts)
@@ -204,7 +208,7 @@ def restore(row: dict) -> bytes:
 def _described(row: dict) -> tuple:
     media = restore(row)
     payload = media[44:]
-    if hashlib.sha256(payload).digest() != row["media_id"] or struct.unpack_from("<I", media, 40)[0] != len(payload):
+    if _name(payload) != row["media_id"] or struct.unpack_from("<I", media, 40)[0] != len(payload):
         raise ValueError(f"medium {row['media_id'].hex()} is not what was stored")
     return (row["media_id"], len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media),
             hashlib.sha256(media).hexdigest(), feature(payload))
@@ -227,5 +231,5 @@ def media_columns(documents: DataFrame, path: str) -> DataFrame:
     one medium; rows that share a doc_id, or have none, keep their own row."""
     known = cut_lineage(catalog(documents))
     write_store(documents, known, path)
-    described = cut_lineage(read_store(documents.sparkSession, path))
+    described = read_store(documents.sparkSession, path)
     return known.select("doc_id", "n_bytes", "media_id").join(described, "media_id").drop("media_id")
