@@ -20,11 +20,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from signalvault.llm import simple8b
-from signalvault.llm.common import flat, slices, text_bytes, text_column
+from signalvault.llm.common import flat, slices, text_column
 from signalvault.llm.units import UnitCache
 
 SEGMENT = 1 << 18
-PART_BYTES = 24 << 20
 _SEGMENTS = "part int, seq int, n_ids long, doc_ids array<long>, doc_tokens array<int>, block_starts array<int>, words binary"
 _INNER = re.compile(r"(?<=\s) | (?=\s)")
 _BOUNDARY = re.compile(r"(?<=\S)(?= \S)")
@@ -107,9 +106,8 @@ class ByteEncoder:
 
 def write_tokens(documents: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
     """Encodes all texts (null: empty), appends ``end_id`` to each and writes them in ascending doc_id order (null
-    first; rows of one doc_id in any order). The text is dealt by range once, before it is encoded; ids never are."""
-    _, size = text_bytes(documents)
-    parts = max(1, -(-size // PART_BYTES))
+    first; rows of one doc_id in any order). The text is dealt by range once, before it is encoded, into as many
+    parts as the session shuffles into; ids never are."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -145,7 +143,7 @@ def write_tokens(documents: DataFrame, path: str, tokenizer: str, end_id: int) -
             yield segment()
 
     documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")) \
-        .repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id") \
+        .repartitionByRange("doc_id").sortWithinPartitions("doc_id") \
         .mapInArrow(encode, _SEGMENTS).write.option("compression", "zstd").parquet(path)
 
 

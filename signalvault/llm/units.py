@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from itertools import islice
+from itertools import islice, repeat
 
 import numpy as np
 
@@ -39,10 +39,12 @@ class UnitCache:
             kept = self.limit // 2
             self.number = dict(islice(self.number.items(), kept))
             self.used = int(self.bounds[kept])
-        fresh = set(units).difference(self.number)
-        if fresh:
-            self._add(list(fresh))
-        at = np.fromiter(map(self.number.__getitem__, units), np.int64, len(units))
+        at = np.fromiter(map(self.number.get, units, repeat(-1)), np.int64, len(units))
+        fresh = np.flatnonzero(at < 0)
+        if len(fresh):
+            missing = [units[i] for i in fresh.tolist()]
+            self._add(list(dict.fromkeys(missing)))
+            at[fresh] = np.fromiter(map(self.number.__getitem__, missing), np.int64, len(missing))
         starts = self.bounds[at]
         lengths = self.bounds[at + 1] - starts
         return self.flat[ragged(starts, lengths)], lengths

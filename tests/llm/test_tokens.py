@@ -93,7 +93,6 @@ def test_round_trip(spark, documents, awkward):
 @pytest.mark.parametrize("segment", [5, 1 << 18])
 def test_token_files(spark, documents, awkward, folder, monkeypatch, segment):
     monkeypatch.setattr(token_files, "SEGMENT", segment)
-    monkeypatch.setattr(token_files, "PART_BYTES", 100_000)
     rows = [r for r in awkward if r[0] is not None]
     write_tokens(documents(rows[::-1]), folder + "/t", BYTES, 2)
     got = {(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in read_tokens(spark, folder + "/t").collect()}
