@@ -36,3 +36,4 @@ TRANSFER_STATUS = "TRANSFERRED_AND_DELETED"
 # Ledger states.
 COMPLETED = "completed"
 FAILED = "failed"
+CLEARED = "cleared"

@@ -56,6 +56,13 @@ def keys_only_in(first: DataFrame, second: DataFrame, on: Sequence[str]) -> Data
     return aligned.select(*on, _one_sided().alias("side")).where(F.col("side").isNotNull())
 
 
+def keys_equal(first: DataFrame, second: DataFrame, on: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """Per group ``by`` of the keys ``on``, over groups of either side: do both sides list the same keys?"""
+    odd = keys_only_in(first, second, on).select(*by).distinct().withColumn("odd", F.lit(True))
+    groups = first.select(*by).unionByName(second.select(*by)).distinct()
+    return groups.join(odd, list(by), "left").select(*by, F.col("odd").isNull().alias("same_keys"))
+
+
 def leaf_difference() -> Column:
     """What differs in an aligned leaf row, cheapest test first; NULL if nothing."""
     a, b = F.col("a"), F.col("b")

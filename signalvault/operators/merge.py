@@ -37,6 +37,19 @@ def occurrences(keys: DataFrame, by: Sequence[str] = KEY) -> DataFrame:
         F.max(source).alias("last_src"), F.count(source).alias("n_src"))
 
 
+def held_in(keys: DataFrame, target: DataFrame, by: Sequence[str] = KEY) -> DataFrame:
+    """``keys`` with ``in_target``: does the target hold the key?"""
+    have = target.select(*by).distinct().withColumn("held", F.lit(True))
+    return keys.join(have, list(by), "left").withColumn("in_target", F.coalesce("held", F.lit(False))).drop("held")
+
+
+def name_bounds(keys: DataFrame, within: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """First and last of ``names`` in name order per ``within``, by column and not by joined path."""
+    place = F.struct(*names)
+    found = keys.groupBy(*within).agg(F.min(place).alias("a"), F.max(place).alias("z"))
+    return found.select(*within, *[F.col(f"{side}.{n}").alias(f"{word}_{n}") for side, word in (("a", "first"), ("z", "last")) for n in names])
+
+
 def winners(holders: DataFrame, strategy: str) -> DataFrame:
     """Which source a key is taken from: (key, src); keys kept from the target are absent."""
     if strategy == "skip":

@@ -5,18 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalvault.fixed_values import FAILED
+from signalvault.fixed_values import CLEARED, FAILED
 from signalvault.functions.naming import transfer_line
 from signalvault.model import LEDGER, empty
 from signalvault.plans.outcomes import shot_outcomes
+from signalvault.session import cut_lineage
 from signalvault.sources import files
 
 
 def read_ledger(spark: SparkSession, path: str, status: str | None = None) -> DataFrame:
-    """Ledger rows; a ledger that does not exist yet is empty."""
-    ledger = (spark.read.schema(LEDGER).parquet(path) if files.exists(spark, path)
-              else empty(spark, LEDGER))
-    return ledger if status is None else ledger.where(F.col("status") == status)
+    """Ledger rows that stand, each (shot, status) once with its first time, even if two
+    jobs entered it; a ledger that does not exist yet is empty. A failure stands until
+    it is cleared (``clear_failed``); one entered after that stands again."""
+    if not files.exists(spark, path):
+        return empty(spark, LEDGER)
+    raw = spark.read.schema(LEDGER).parquet(path)
+    cleared = F.max(F.when(F.col("status") == CLEARED, F.col("ts")))
+    pair = raw.where(F.col("status") != CLEARED)
+    marks = raw.where(F.col("status") == CLEARED).groupBy("shot").agg(cleared.alias("cleared"))
+    standing = (
+        pair.join(marks, "shot", "left")
+        .where((F.col("status") != FAILED) | F.col("cleared").isNull() | (F.col("ts") > F.col("cleared")))
+        .groupBy("shot", "status").agg(F.min("ts").alias("ts"))
+    )
+    return standing if status is None else standing.where(F.col("status") == status)
+
+
+def clear_failed(spark: SparkSession, path: str, shots: DataFrame | None = None) -> None:
+    """Take failed shots (all, or those in ``shots``) off the ledger for a retry. Appends
+    markers; nothing is rewritten."""
+    failed = read_ledger(spark, path, FAILED).select("shot")
+    if shots is not None:
+        failed = failed.join(shots.select("shot").distinct(), "shot", "left_semi")
+    cut_lineage(failed.withColumns({"status": F.lit(CLEARED), "ts": F.current_timestamp()})) \
+        .write.mode("append").parquet(path)
 
 
 def new_entries(outcomes: DataFrame, ledger: DataFrame) -> DataFrame:

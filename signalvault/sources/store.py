@@ -16,11 +16,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalvault.model import ATTRS, GROUPS, NODES, Store, bounded, conform, empty
+from signalvault.model import ATTRS, GROUPS, KEY, NODES, Store, bounded, conform, empty
+from signalvault.operators.convert import to_float32
 from signalvault.operators.merge import Merge, merge_stacked, stack
-from signalvault.operators.rename import DEDUPLICATED, RENAMED, Rename, rename, touched_trees
+from signalvault.operators.rename import (
+    DEDUPLICATED, RENAMED, Rename, mapping_of, rename, rename_batch, rename_stats, touched_trees,
+)
 from signalvault.session import cut_lineage
 from signalvault.sources import files
+from signalvault.sources.text import mapping_lines, read_lines
 
 _SCHEMAS = {"nodes": NODES, "groups": GROUPS, "attrs": ATTRS}
 # All key columns take part, so even a shot holding a third of the rows is split.
@@ -166,18 +170,38 @@ def merge_paths(spark: SparkSession, root: str, paths: list[str], strategy: str
                 ) -> tuple[Merge | None, list[tuple[int, str, str]]]:
     """Merge the stores at ``paths``, in order, into the one at ``root``.
 
-    Missing sources, the target itself and sources that cannot be opened are left out
-    and returned with the reason; the others are merged.
+    Missing sources, the target itself and sources that cannot be opened, or turn out
+    to be damaged while they are merged, are left out and returned with the reason; the
+    others are merged. A merge that fails commits nothing.
     """
     good, skipped = files.usable_sources(spark, root, paths)
     opened = []
     for ordinal, path in good:
         try:
-            opened.append(open_store(spark, path))
+            opened.append((ordinal, path, open_store(spark, path)))
         except Exception as problem:  # noqa: BLE001 - whatever makes a source unreadable
             skipped.append((ordinal, path, str(problem).splitlines()[0]))
-    merged = merge_into(root, stack(opened), len(opened), strategy) if opened else None
-    return merged, sorted(skipped)
+    while opened:
+        try:
+            merged = merge_into(root, stack([source for _, _, source in opened]), len(opened), strategy)
+            return merged, sorted(skipped)
+        except Exception:  # noqa: BLE001 - sources that cannot be read through are looked for
+            damaged = [(ordinal, path, problem) for ordinal, path, source in opened if (problem := _damage(source))]
+            if not damaged:
+                raise
+            skipped += damaged
+            opened = [x for x in opened if x[0] not in {ordinal for ordinal, _, _ in damaged}]
+    return None, sorted(skipped)
+
+
+def _damage(store: Store) -> str | None:
+    """Why a store cannot be read through, if it cannot."""
+    try:
+        for rows in (store.nodes, store.groups, store.attrs):
+            rows.write.format("noop").mode("overwrite").save()
+    except Exception as problem:  # noqa: BLE001 - whatever makes a source unreadable
+        return str(problem).splitlines()[0]
+    return None
 
 
 def rename_in(spark: SparkSession, root: str, old: str, new: str, level: str = "tree",
@@ -190,6 +214,35 @@ def rename_in(spark: SparkSession, root: str, old: str, new: str, level: str = "
     return result
 
 
+def rename_file_in(spark: SparkSession, root: str, mapping: str, level: str = "tree", dry_run: bool = False
+                   ) -> tuple[Rename, DataFrame, DataFrame]:
+    """Apply a mapping file to the store at ``root`` and commit.
+
+    Returns the renames, the lines of the file that are no mapping (line_no, line,
+    n_tokens) and the totals (``rename_stats``).
+    """
+    good, bad = mapping_lines(read_lines(spark, mapping, any_end=True))
+    before = open_store(spark, root)
+    result = rename_batch(before, mapping_of(good.drop("source")), level, dry_run)
+    if not dry_run:
+        commit_rename(before, result, root, level)
+    return result, bad.drop("source"), rename_stats(result)
+
+
+def convert_in(spark: SparkSession, root: str) -> int:
+    """Commit the store at ``root`` with its float64 leaves as float32."""
+    store = open_store(spark, root)
+    return write_store(Store(conform(to_float32(store.nodes), NODES), store.groups, store.attrs), root)
+
+
+def scan_store(store: Store) -> DataFrame:
+    """Signals in name order with the number of their leaves and of the values in them."""
+    return store.nodes.where(F.col("signal").isNotNull()).groupBy(*KEY).agg(
+        F.count_distinct("node").alias("n_nodes"),
+        F.sum(F.when(F.col("seg") == 0, F.aggregate("shape", F.lit(1).cast("bigint"), lambda a, n: a * n))).alias("n_values")
+    ).orderBy(*KEY)
+
+
 def commit_rename(before: Store, result: Rename, root: str, level: str) -> None:
     """Commit what a rename changed; a conflict or an unknown name makes no version."""
     if result.verdicts.where(F.col("verdict").isin(RENAMED, DEDUPLICATED)).isEmpty():

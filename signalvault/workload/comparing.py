@@ -77,11 +77,13 @@ def compare_subtrees(spark: SparkSession, sf: str) -> DataFrame:
     return cmp.verdicts(units, _leaf_differences(spark, sf), ["unit"])
 
 
-@query("compare_verdict", f"""WITH {_VECTOR_SQL} SELECT result AS difference, count(*) AS n_leaves, count(DISTINCT unit) AS n_units
- FROM leaf WHERE result <> 'equal' GROUP BY ALL""")
+@query("compare_verdict", f"""WITH {_VECTOR_SQL} SELECT is_equal, count(*) AS n_units, CAST(sum(n) AS BIGINT) AS n_differences FROM
+ (SELECT unit, bool_and(result = 'equal') AS is_equal, count(*) FILTER (result <> 'equal') AS n FROM leaf GROUP BY unit) GROUP BY is_equal""")
 def compare_verdict(spark: SparkSession, sf: str) -> DataFrame:
-    return _leaf_differences(spark, sf).groupBy("difference").agg(
-        F.count(F.lit(1)).alias("n_leaves"), F.count_distinct("unit").alias("n_units"))
+    """How many units are equal and how many differ."""
+    units = _vectors(spark, sf, "first").select("unit").distinct()
+    return cmp.verdicts(units, _leaf_differences(spark, sf), ["unit"]).groupBy("is_equal").agg(
+        F.count(F.lit(1)).alias("n_units"), F.sum("n_differences").alias("n_differences"))
 
 
 @query("first_differences", f"""WITH {_VECTOR_SQL}, d AS (SELECT unit, vec_id || '/data: ' || result AS txt,
@@ -93,14 +95,14 @@ def first_differences(spark: SparkSession, sf: str) -> DataFrame:
         "shown", F.array_join("shown", "; "))
 
 
-@query("compare_align", f"""WITH {t.EVENTS}, a AS (SELECT shot, event_id FROM ev WHERE src = 0 AND signal <> 'K0'),
- b AS (SELECT shot, event_id FROM ev WHERE src = 0 AND signal <> 'K1')
+@query("compare_align", f"""WITH {t.EVENTS}, a AS (SELECT shot, event_id FROM ev WHERE signal <> 'K0'),
+ b AS (SELECT shot, event_id FROM ev WHERE signal <> 'K1')
  SELECT shot, count(*) FILTER (a.e IS NOT NULL AND b.e IS NOT NULL) AS both_sides,
   count(*) FILTER (b.e IS NULL) AS only_first, count(*) FILTER (a.e IS NULL) AS only_second
  FROM (SELECT *, event_id AS e FROM a) a FULL JOIN (SELECT *, event_id AS e FROM b) b USING (shot, event_id) GROUP BY shot""")
 def compare_align(spark: SparkSession, sf: str) -> DataFrame:
     """Alignment of two subtrees by relative path."""
-    nodes = t.as_nodes(t.event_rows(spark, sf).where(F.col("src") == 0)).withColumn(
+    nodes = t.as_nodes(t.event_rows(spark, sf)).withColumn(
         "path", F.concat_ws("/", "tree", "signal", "node"))
     first, second = (nodes.where(F.col("signal") != s) for s in ("K0", "K1"))
     aligned = cmp.align(first, second, ["shot", "path", "seg"], ["kind"])
@@ -268,6 +270,22 @@ def rename_batch(spark: SparkSession, sf: str) -> DataFrame:
         F.count(F.lit(1)).alias("n_nodes"), F.max(F.col("node").cast("bigint")).alias("last_id"))
 
 
+@query("rename_file", f"""WITH {_AFTER_TREE},
+ chained AS (SELECT shot, CASE tree WHEN 'click2' THEN 'click3' WHEN 'view' THEN 'sight' ELSE tree END AS tree, event_id FROM after)
+ SELECT shot, tree, count(*) AS n_nodes, max(event_id) AS last_id, CAST(2 AS BIGINT) AS n_rejected FROM chained GROUP BY ALL""")
+def rename_file(spark: SparkSession, sf: str) -> DataFrame:
+    """A mapping file with comments and bad lines, applied to a store on disk."""
+    root, mapping = scratch_path(spark, "store"), scratch_path(spark, "mapping")
+    st.write_store(_tree_store(spark, sf), root)
+    text = "# old new\rclick click2\r\nview sight\n\nonlyone\na b c\nclick2 click3\nnothing n"
+    spark.range(1).select(F.lit(text).alias("value")).coalesce(1).write.text(mapping)
+    _, rejected, _ = st.rename_file_in(spark, root, mapping)
+    lost = rejected.agg(F.count(F.lit(1)))
+    return st.read_store(spark, root).nodes.groupBy("shot", "tree").agg(
+        F.count(F.lit(1)).alias("n_nodes"), F.max(F.col("node").cast("bigint")).alias("last_id"),
+    ).withColumn("n_rejected", lost.scalar())
+
+
 @query("rename_shot", f"""WITH {t.EVENTS}, {_copied_sql('user_id', 'shot')}
  SELECT shot AS old_name, shot || 'n' AS new_name, verdict, n_differences FROM verdict""")
 def rename_shot(spark: SparkSession, sf: str) -> DataFrame:

@@ -57,6 +57,18 @@ def retry_list(spark: SparkSession, sf: str) -> DataFrame:
     return led.retry_list(t.order_ledger(spark, sf), later)
 
 
+@query("retry_cleared", f"""WITH {t.ORDER_LEDGER} SELECT status, count(DISTINCT shot) AS n_shots FROM led
+ WHERE status = 'completed' OR (CAST(shot AS BIGINT) % 3 = 0) OR (CAST(shot AS BIGINT) % 2 = 0 AND status = 'failed') GROUP BY status""")
+def retry_cleared(spark: SparkSession, sf: str) -> DataFrame:
+    """Failures of odd shots are cleared for a retry, in which every third shot fails again."""
+    path = scratch_path(spark, "ledger")
+    entries, number = t.order_ledger(spark, sf), F.col("shot").cast("bigint")
+    led.append_ledger(entries, path)
+    led.clear_failed(spark, path, entries.where(number % 2 == 1))
+    led.append_ledger(entries.where((number % 3 == 0) & (F.col("status") == "failed")), path)
+    return led.read_ledger(spark, path).groupBy("status").agg(F.count_distinct("shot").alias("n_shots"))
+
+
 @query("ledger_append", f"""WITH {t.OUTCOMES}, {_SHOTS}, {t.ORDER_LEDGER}, u AS (
   SELECT shot, status FROM sst UNION SELECT shot, status FROM led)
  SELECT status, count(*) AS n_rows, count(DISTINCT shot) AS n_shots, min(shot) AS first_shot, max(shot) AS last_shot

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from signalvault.model import KEY, Store, samples as sample_view
 from signalvault.operators import merge as mg
+from signalvault.operators import compare as cmp
 from signalvault.operators.compare import keys_only_in
 from signalvault.operators.convert import to_float32
 from signalvault.session import scratch_path
@@ -138,10 +139,8 @@ def merge_precedence(spark: SparkSession, sf: str) -> DataFrame:
 def merge_lookup(spark: SparkSession, sf: str) -> DataFrame:
     """For every source key: does the target hold it?"""
     target, *sources = t.event_stores(spark, sf)
-    keys = sources[0].signal_keys().withColumn("src", F.lit(1)).unionByName(
-        sources[1].signal_keys().withColumn("src", F.lit(2)))
-    have = target.signal_keys().withColumn("held", F.lit(True))
-    return keys.join(have, KEY, "left").select("src", *KEY, F.coalesce("held", F.lit(False)).alias("in_target"))
+    keys = mg.stacked([s.signal_keys() for s in sources])
+    return mg.held_in(keys, target.signal_keys()).select("src", *KEY, "in_target")
 
 
 @query("sources_union", f"WITH {t.EVENTS} SELECT CAST(src AS INTEGER) AS src, shot, tree, signal FROM occ WHERE src > 0")
@@ -165,10 +164,7 @@ def only_in(spark: SparkSession, sf: str) -> DataFrame:
 def keys_equal(spark: SparkSession, sf: str) -> DataFrame:
     """Per tree: do two sources list the same signals?"""
     _, first, second = t.event_stores(spark, sf)
-    odd = keys_only_in(first.signal_keys(), second.signal_keys(), KEY).select(
-        "shot", "tree").distinct().withColumn("odd", F.lit(True))
-    trees = first.at_level("tree").unionByName(second.at_level("tree")).select("shot", "tree").distinct()
-    return trees.join(odd, ["shot", "tree"], "left").select("shot", "tree", F.col("odd").isNull().alias("same_keys"))
+    return cmp.keys_equal(first.signal_keys(), second.signal_keys(), KEY, ["shot", "tree"])
 
 
 @query("name_order", f"""WITH {t.EVENTS}, f AS (SELECT DISTINCT shot, tree, signal FROM occ)
@@ -178,10 +174,7 @@ def keys_equal(spark: SparkSession, sf: str) -> DataFrame:
     "(tree, signal)).", "ts)."))
 def name_order(spark: SparkSession, sf: str) -> DataFrame:
     """First and last key of every shot in name order, by column and not by joined path."""
-    place = F.struct("tree", "signal")
-    return t.event_rows(spark, sf).groupBy("shot").agg(F.min(place).alias("a"), F.max(place).alias("z")).select(
-        "shot", F.col("a.tree").alias("first_tree"), F.col("a.signal").alias("first_signal"),
-        F.col("z.tree").alias("last_tree"), F.col("z.signal").alias("last_signal"))
+    return mg.name_bounds(t.event_rows(spark, sf), ["shot"], ["tree", "signal"])
 
 
 @query("group_create", f"""WITH {t.EVENTS}, a AS (SELECT DISTINCT shot, tree, signal FROM occ)
@@ -209,9 +202,9 @@ def group_create(spark: SparkSession, sf: str) -> DataFrame:
  CAST(2 * len(embedding) AS BIGINT) AS n_values FROM embeddings""")
 def store_scan(spark: SparkSession, sf: str) -> DataFrame:
     """Signals of a store in name order, with their leaves and sizes."""
-    nodes = t.vector_store(spark, sf).nodes
-    return nodes.groupBy(*KEY).agg(
-        F.count(F.lit(1)).alias("n_nodes"), F.sum(F.get("shape", F.lit(0))).alias("n_values")).orderBy(*KEY)
+    root = scratch_path(spark, "store")
+    st.write_store(t.vector_store(spark, sf), root)
+    return st.scan_store(st.read_store(spark, root))
 
 
 _PER_TREE = """SELECT tree, count(*) AS n_nodes, count(DISTINCT shot) AS n_shots, max(event_id) AS last_id FROM {}
@@ -269,6 +262,17 @@ def narrowed(spark: SparkSession, sf: str) -> DataFrame:
         (price.cast("double") != F.col("l_extendedprice")).alias("changed"), "kind")
 
 
+@query("convert_store", """SELECT CAST(label AS VARCHAR) AS shot, 'f32' AS kind, 2 * count(*) AS n_nodes,
+ CAST(2 * sum(len(embedding)) AS BIGINT) AS n_values FROM embeddings GROUP BY label""")
+def convert_store(spark: SparkSession, sf: str) -> DataFrame:
+    """A store on disk whose numbers are narrowed and committed."""
+    root = scratch_path(spark, "store")
+    st.write_store(t.vector_store(spark, sf), root)
+    st.convert_in(spark, root)
+    return st.read_store(spark, root).nodes.groupBy("shot", "kind").agg(
+        F.count(F.lit(1)).alias("n_nodes"), F.sum(F.size("f32")).cast("bigint").alias("n_values"))
+
+
 @query("samples", """SELECT CAST(label AS VARCHAR) AS shot, 'v' || vec_id AS signal, i - 1 AS idx, (i - 1) / 2 AS t,
  CAST(embedding[i] AS DOUBLE) AS v FROM (SELECT *, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)""")
 def samples(spark: SparkSession, sf: str) -> DataFrame:

@@ -1,14 +1,18 @@
 """The physical plans are the ones meant."""
 
 import os
+import re
 
 import pytest
 
 import __spark_entry__ as entry_points
 from helpers import node, store
 from signalvault.model import KEY
+from signalvault.operators.compare import leaf_differences, leaf_digest
 from signalvault.operators.merge import merge
+from signalvault.operators.rename import candidates, labels_of, mapping_of
 from signalvault.plans import acquisition as plan
+from signalvault.workload import QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -58,8 +62,7 @@ def test_key_ranking_reads_keys_only(spark, folder):
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_no_python_in_any_query(spark):
-    for name in ("fetch_plan", "batch_ids", "catalog_parse", "merge_skip", "compare_leaf", "first_differences",
-                 "shot_outcomes", "samples", "to_float32"):
+    for name in QUERIES:
         text = physical(entry_points.queries()[name](spark, SF))
         assert "Python" not in text and "Pandas" not in text, name
 
@@ -68,3 +71,19 @@ def test_no_python_in_any_query(spark):
 def test_first_differences_limits_on_the_map_side(spark):
     text = physical(entry_points.queries()["first_differences"](spark, SF))
     assert "row_number(), 5, Partial" in text
+
+
+def test_arrays_stay_out_of_the_first_alignment(spark, no_broadcast, folder):
+    s = store(spark, [node(str(i), "t", "a", "data", [1.0, float(i)]) for i in range(4)])
+    s.nodes.withColumn("path", s.nodes.node).write.parquet(f"{folder}/n")
+    leaves = spark.read.parquet(f"{folder}/n")
+    keys = leaves.select("shot", "path", "seg", leaf_digest().alias("digest"))
+    text = physical(keys.join(keys.withColumnRenamed("digest", "other"), ["shot", "path", "seg"], "full_outer"))
+    assert "f64" not in text[:text.index("Exchange")] and leaf_differences(leaves, leaves, ["shot"]).count() == 0
+
+
+def test_lines_with_a_shot_join_on_it(spark, no_broadcast):
+    s = store(spark, [node(str(i), "d3d", "a", "x", 1.0) for i in range(3)])
+    lines = mapping_of(spark.createDataFrame([(1, "d3d", "D3D", "1")], "line_no long, old_name string, new_name string, shot string"))
+    text = physical(candidates(labels_of(s, "tree"), lines, "tree"))
+    assert "OR" not in text and re.search(r"Join \[old_name#\d+, shot#\d+\]", text)
