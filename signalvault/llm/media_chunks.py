@@ -110,7 +110,7 @@ def _catalog(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import zstandard
 
-    packer = zstandard.ZstdCompressor(level=3)
+    packer = zstandard.ZstdCompressor(level=6)
     for part in slices(batches, limit=SLICE):
         media = {_name(p): p for p in _payloads(part)[0]}
         yield pa.RecordBatch.from_arrays([pa.array(list(media), pa.binary()), pa.array([packer.compress(p) for p in media.values()], pa.binary())], ["media_id", "packed"])
@@ -152,7 +152,7 @@ def write_store(documents: DataFrame, known: DataFrame, path: str) -> None:
         .select("media_id", F.transform("chunks", lambda c: F.struct(c.digest.alias("digest"), c.size.alias("size"), c.own.alias("own"), c.shared.alias("shared"))).alias("recipe"))
     packed = documents.select(F.col("text").cast("string")).mapInArrow(_pack, "media_id binary, packed binary").dropDuplicates(["media_id"])
     packed.join(plans, "media_id").select("media_id", "packed", "recipe").mapInArrow(_hold, _STORE) \
-        .write.option("compression", "zstd").option("parquet.block.size", str(ROW_GROUP)).parquet(path)
+        .write.option("compression", "zstd").option("parquet.block.size", str(ROW_GROUP)).option("parquet.compression.codec.zstd.level", "6").parquet(path)
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
