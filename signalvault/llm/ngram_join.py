@@ -46,7 +46,7 @@ HOT = 255
 
 _SENT = "pid long, block long, meta boolean, ids binary, a binary, b binary, c binary"
 _REPLY = "block long, meta boolean, ids binary, a binary, b binary, c binary"
-_SETS = "row long, doc_id long, n long, d1 long, d2 long, hits long, keys binary, codes binary"
+_SETS = "block long, place long, doc_id long, n long, d1 long, d2 long, hits long, keys binary, codes binary"
 
 
 def _text_sets(batch: pa.RecordBatch, width: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -77,7 +77,8 @@ def hot_shingles(documents: DataFrame, width: int, rows: int, sample_rows: int =
 
 
 def list_lengths(documents: DataFrame, width: int, bound: Fraction) -> DataFrame:
-    """Per row of ``documents``: n, set digest, and for sets that may have a partner the shared shingles in list order."""
+    """Per row of ``documents``: block and place in it (together its key), n, set digest, and for sets that may have a
+    partner the shared shingles in list order."""
     rows, size = text_bytes(documents)
     parts = max(8, power_of_two(size / GROUP_BYTES))
     bits = parts.bit_length() - 1
@@ -176,10 +177,10 @@ def list_lengths(documents: DataFrame, width: int, bound: Fraction) -> DataFrame
         doc, key, code = doc[order], key[order], code[order]
         cut = np.searchsorted(doc, np.arange(len(ids) + 1)).tolist()
         return pa.Table.from_arrays([
-            pa.array((np.int64(meta["block"]) << 24) + np.arange(len(ids))), pa.array(ids, mask=~named), pa.array(n), pa.array(digest[0]), pa.array(digest[1]), pa.array(hits),
+            pa.array(np.full(len(ids), meta["block"], np.int64)), pa.array(np.arange(len(ids))), pa.array(ids, mask=~named), pa.array(n), pa.array(digest[0]), pa.array(digest[1]), pa.array(hits),
             pa.array([key[a:b].tobytes() if ok else None for a, b, ok in zip(cut, cut[1:], alive)], pa.binary()),
             pa.array([code[a:b].tobytes() if ok else None for a, b, ok in zip(cut, cut[1:], alive)], pa.binary())],
-            ["row", "doc_id", "n", "d1", "d2", "hits", "keys", "codes"])
+            ["block", "place", "doc_id", "n", "d1", "d2", "hits", "keys", "codes"])
 
     given = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     replies = given.mapInArrow(send, _SENT).groupBy("pid").applyInArrow(measure, _REPLY)
@@ -319,9 +320,10 @@ def ngram_classes(documents: DataFrame, width: int = 4, bound: tuple[int, int] =
     top, bottom = limit.numerator, limit.denominator
     table = cut_lineage(list_lengths(documents, width, limit))
     alive = table.where("keys is not null and doc_id is not null")
-    reps = cut_lineage(alive.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.min("row").alias("row"),
-                                                            F.count(F.lit(1)).alias("copies")))
-    sets = cut_lineage(alive.select("row", "keys").join(reps, "row").select("rep", "n", "keys"))
+    reps = cut_lineage(alive.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.min(F.struct("block", "place")).alias("row"),
+                                                            F.count(F.lit(1)).alias("copies"))
+                       .select("d1", "d2", "n", "rep", "row.block", "row.place", "copies"))
+    sets = cut_lineage(alive.select("block", "place", "keys").join(reps, ["block", "place"]).select("rep", "n", "keys"))
     lists = cut_lineage(_postings(sets, limit))
     # a list holds partners of like size only; the first of each list and size band leads it
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(bottom / top))) if top < bottom else F.col("n")

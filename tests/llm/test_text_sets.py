@@ -83,6 +83,19 @@ def test_awkward_rows(spark, documents, awkward):
     assert ngram_classes(documents([])).count() == 0
 
 
+def test_rows_of_far_partitions_stay_apart(spark, monkeypatch):
+    def far(count):
+        from pyspark import TaskContext
+
+        return (TaskContext.get().partitionId() * 256 << 32) | count
+
+    monkeypatch.setattr(ngram_join, "block_number", far)
+    base = [" ".join(f"{name}{i}" for i in range(60)) for name in "ab"]
+    rows = [(2 * i + j, text + end) for i, text in enumerate(base) for j, end in enumerate(("", " more"))]  # two of each partition
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2), "doc_id long, text string")
+    assert sorted(map(tuple, ngram_classes(docs).collect())) == classes(rows, 4, 85, 100) == [(0, 57, 0), (1, 58, 0), (2, 57, 2), (3, 58, 2)]
+
+
 def test_search_finds_all_links():
     r = random.Random(3)
     for _ in range(30):
