@@ -199,6 +199,11 @@ def block_number(count: int) -> int:
     return ((context.partitionId() if context else 0) << 32) | count
 
 
+def block_group(number: int, parts: int) -> int:
+    """One of ``parts`` groups for a block; the same blocks of all tasks spread over all groups."""
+    return int(mix(np.array([number], np.uint64))[0] % np.uint64(parts))
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """start, start + 1, ... of each of many ranges, one after another."""
     total = int(lengths.sum())

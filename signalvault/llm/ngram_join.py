@@ -23,7 +23,7 @@ result, since a prefix is right under every order.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 
 import numpy as np
@@ -31,8 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signalvault.llm.common import (Words, block_number, flat, mix, power_of_two, ragged, shingles, slices, text_bytes,
-                                    text_column)
+from signalvault.llm.common import (Words, block_group, block_number, flat, mix, power_of_two, ragged, shingles, slices,
+                                    text_bytes, text_column)
 from signalvault.llm.components import components
 from signalvault.session import cut_lineage
 
@@ -76,13 +76,8 @@ def hot_shingles(documents: DataFrame, width: int, rows: int, sample_rows: int =
     return np.sort(np.array([r.h for r in found], np.int64).view(np.uint64))
 
 
-def list_lengths(documents: DataFrame, width: int, bound: Fraction) -> DataFrame:
-    """Per row of ``documents``: block and place in it (together its key), n, set digest, and for sets that may have a
-    partner the shared shingles in list order."""
-    rows, size = text_bytes(documents)
-    parts = max(8, power_of_two(size / GROUP_BYTES))
+def _send(width: int, parts: int, hot: np.ndarray) -> Callable:
     bits = parts.bit_length() - 1
-    hot = hot_shingles(documents, width, rows)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, held, ids, sizes, total = 0, [], [], [], 0
@@ -97,7 +92,7 @@ def list_lengths(documents: DataFrame, width: int, bound: Fraction) -> DataFrame
                 common = hot[np.minimum(np.searchsorted(hot, value), len(hot) - 1)] == value
             there = np.concatenate([x.is_valid().to_numpy(zero_copy_only=False) for x in ids])
             named = np.concatenate([x.fill_null(0).to_numpy() for x in ids])
-            out = [(number % parts, number, True, named.tobytes() + there.tobytes(), np.diff(bounds).astype(np.uint32).tobytes(),
+            out = [(block_group(number, parts), number, True, named.tobytes() + there.tobytes(), np.diff(bounds).astype(np.uint32).tobytes(),
                     digests[0].tobytes() + digests[1].tobytes(), doc[common].tobytes() + value[common].tobytes())]
             value, doc = value[~common], doc[~common]
             order = np.argsort(value)
@@ -122,6 +117,17 @@ def list_lengths(documents: DataFrame, width: int, bound: Fraction) -> DataFrame
         if ids:
             yield block()
 
+    return send
+
+
+def list_lengths(documents: DataFrame, width: int, bound: Fraction) -> DataFrame:
+    """Per row of ``documents``: block and place in it (together its key), n, set digest, and for sets that may have a
+    partner the shared shingles in list order."""
+    rows, size = text_bytes(documents)
+    parts = max(8, power_of_two(size / GROUP_BYTES))
+    bits = parts.bit_length() - 1
+    hot = hot_shingles(documents, width, rows)
+
     def measure(group: pa.Table) -> pa.Table:
         """Length codes of the lists of one hash range, for the blocks that sent them."""
         pid = group.column("pid")[0].as_py()
@@ -183,7 +189,7 @@ def list_lengths(documents: DataFrame, width: int, bound: Fraction) -> DataFrame
             ["block", "place", "doc_id", "n", "d1", "d2", "hits", "keys", "codes"])
 
     given = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    replies = given.mapInArrow(send, _SENT).groupBy("pid").applyInArrow(measure, _REPLY)
+    replies = given.mapInArrow(_send(width, parts, hot), _SENT).groupBy("pid").applyInArrow(measure, _REPLY)
     return replies.groupBy("block").applyInArrow(assemble, _SETS)
 
 

@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signalvault.llm.common import (Words, block_number, flat, power_of_two, ragged, range_hash, slices, text_bytes,
-                                    text_column)
+from signalvault.llm.common import (Words, block_group, block_number, flat, power_of_two, ragged, range_hash, slices,
+                                    text_bytes, text_column)
 
 PREFIX = 8
 BLOCK_WORDS = 1 << 19
@@ -115,7 +115,7 @@ def _send(length: int, parts: int, frequent: np.ndarray) -> Callable:
             place = np.where(several, _INSIDE, start[first].astype(np.int64) + 1)
             width = (base.bit_length() + 7) // 8
             path, pid = path[first], pid[first]
-            out = [(number % parts, number, True, base, None, start[inside].tobytes())]
+            out = [(block_group(number, parts), number, True, base, None, start[inside].tobytes())]
             cut = np.searchsorted(pid, np.arange(parts + 1)).tolist()
             out += [(p, number, False, base, _spread(path[a:b], 8), _spread(place[a:b], width)) for p, (a, b) in enumerate(zip(cut, cut[1:])) if a < b]
             kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.binary()]

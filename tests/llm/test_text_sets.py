@@ -96,6 +96,14 @@ def test_rows_of_far_partitions_stay_apart(spark, monkeypatch):
     assert sorted(map(tuple, ngram_classes(docs).collect())) == classes(rows, 4, 85, 100) == [(0, 57, 0), (1, 58, 0), (2, 57, 2), (3, 58, 2)]
 
 
+@pytest.mark.parametrize("send, kind", [(ngram_join._send(4, 8, np.zeros(0, np.uint64)), ngram_join._SENT),
+                                        (substring_dedup._send(35, 8, np.zeros(0, np.uint64)), substring_dedup._SENT)])
+def test_first_blocks_of_tasks_spread_over_groups(spark, send, kind):
+    docs = spark.createDataFrame(spark.sparkContext.parallelize([(i, f"text {i}") for i in range(64)], 64), "doc_id long, text string")
+    found = docs.mapInArrow(send, kind).where("meta").groupBy("pid").count().collect()
+    assert sum(r["count"] for r in found) == 64 and len(found) == 8 and max(r["count"] for r in found) <= 20
+
+
 def test_search_finds_all_links():
     r = random.Random(3)
     for _ in range(30):
