@@ -1,12 +1,16 @@
 """Chat formatting by quotation linking: messages that quote each other become conversations without quotes.
 
 1. Lines are parsed into nested quote levels (leading ``>`` signs). Lines of level 0 are the message's own, lines of
-   level 1 are what it replies to; deeper ones were quoted before. Lines are normalised (quote signs, case and white
-   space) and hashed.
-2. Every quoted line is joined to the latest earlier message that has it as a line of its own. The join is an as-of
+   level 1 are what it replies to, deeper ones were quoted before. Each level is normalised (quote signs, case, white
+   space and line breaks) and hashed as passages: all of the level, that with the level behind it, each paragraph,
+   each pair of lines and each line.
+2. Every quoted passage is joined to the latest earlier message that has it as one of its own. The join is an as-of
    join in two steps, inside ranges of message ids and across them, so a line that a third of all messages share is
    spread over many tasks and makes one row for each quotation, never a row for each pair.
-3. A message replies to the message that most of its quoted lines point to, of several the latest.
+3. A message replies to the one whose whole text the quoted level is, if possible one that quotes what the quotation
+   quotes; if there is none the quotation is partial, and paragraphs, pairs and lines vote, each with one over the number
+   of messages that have it; of equals the latest. Deeper levels count where level 1 finds nothing, or nothing
+   but passages that several messages have.
 4. Replies point to earlier messages, so they form trees; pointers are doubled until every message knows its root
    and its depth. Positions follow from counts by depth and id range.
 """
@@ -41,17 +45,50 @@ def quotation_levels(messages: DataFrame) -> DataFrame:
         .select("message_id", "place", "level", "line", F.struct(F.xxhash64("plain"), F.hash("plain"), F.length("plain")).alias("key"))
 
 
+_WHOLE, _BEHIND, _PARAGRAPH, _PAIR, _LINE = range(5)
+
+
+def _passages(messages: DataFrame) -> DataFrame:
+    """(message_id, level, key): distinct passages of every level; key holds their kind and hash."""
+    parsed = messages.select("message_id", F.split(F.regexp_replace("text", "\r\n?", "\n"), "\n").alias("lines")) \
+        .select("message_id", F.filter(F.transform("lines", lambda x, i: F.struct(
+            i.alias("place"), line_level(x).alias("level"), normalised(x).alias("plain"), x.rlike(ATTRIBUTION).alias("announces"))),
+            lambda r: (r.plain != "") & ~r.announces).alias("rows"))
+    levels = parsed.select("message_id", "rows", F.explode(F.array_distinct("rows.level")).alias("level")) \
+        .select("message_id", "level", F.filter("rows", lambda r: r.level == F.col("level")).alias("mine"),
+                F.filter("rows", lambda r: r.level == F.col("level") + 1).alias("behind"))
+
+    def before(i: Column) -> Column:
+        return F.get("mine", i - 1)
+
+    whole, behind = F.array_join("mine.plain", " "), F.array_join("behind.plain", " ")
+    runs = F.array_join(F.transform("mine", lambda r, i: F.concat(
+        F.when(i == 0, "").when(before(i).place + 1 == r.place, " ").otherwise("\n"), r.plain)), "")
+    pairs = F.filter(F.transform("mine", lambda r, i: F.concat(before(i).plain, F.lit("\n"), r.plain)), lambda x: x.isNotNull())
+
+    def named(kind: int, texts: Column) -> Column:
+        return F.transform(texts, lambda x: F.struct(F.lit(kind).alias("kind"), F.xxhash64(x).alias("h"), F.hash(x).alias("g"), F.length(x).alias("n")))
+
+    both = F.filter(F.array(F.when(behind != "", F.concat(whole, F.lit("\n"), behind))), lambda x: x.isNotNull())
+    keys = F.concat(named(_WHOLE, F.array(whole)), named(_BEHIND, both), named(_PARAGRAPH, F.split(runs, "\n")), named(_PAIR, pairs),
+                    named(_LINE, F.col("mine.plain")))
+    return levels.select("message_id", "level", F.explode(F.array_distinct(keys)).alias("key"))
+
+
 def _latest_before(own: DataFrame, quoted: DataFrame, span: Column) -> DataFrame:
-    """``quoted`` (message_id, key) with ``origin``, the largest smaller message_id of the key in ``own``."""
-    events = own.select("key", "message_id", F.lit(True).alias("origin")).distinct() \
-        .union(quoted.select("key", "message_id", F.lit(False)).distinct()).withColumn("span", span)
+    """``quoted`` (message_id, level, key) with ``origin``, the largest smaller message_id of the key in ``own``
+    (message_id, key), and ``owners``, how many have it."""
+    events = own.select("key", "message_id", F.lit(0).alias("level"), F.lit(True).alias("origin")) \
+        .union(quoted.select("key", "message_id", "level", F.lit(False))).withColumn("span", span)
     mine = F.when(F.col("origin"), F.col("message_id"))
     inside = Window.partitionBy("key", "span").orderBy("message_id").rangeBetween(Window.unboundedPreceding, -1)
     here = events.withColumn("near", F.max(mine).over(inside)).where(~F.col("origin"))
     across = Window.partitionBy("key").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
-    spans = events.groupBy("key", "span").agg(F.max(mine).alias("last"), F.max(~F.col("origin")).alias("asked")) \
-        .withColumn("far", F.max("last").over(across)).where("asked and far is not null").select("key", "span", "far")
-    return here.join(spans, ["key", "span"], "left").select("message_id", F.coalesce("near", "far").alias("origin")).where("origin is not null")
+    spans = events.groupBy("key", "span").agg(F.max(mine).alias("last"), F.max(~F.col("origin")).alias("asked"), F.count(mine).alias("here")) \
+        .withColumn("far", F.max("last").over(across)).withColumn("owners", F.sum("here").over(Window.partitionBy("key"))) \
+        .where("asked and owners > 0").select("key", "span", "far", "owners")
+    return here.join(spans, ["key", "span"]).select("message_id", "level", "key", F.coalesce("near", "far").alias("origin"), "owners") \
+        .where("origin is not null")
 
 
 def reply_links(messages: DataFrame) -> DataFrame:
@@ -59,10 +96,13 @@ def reply_links(messages: DataFrame) -> DataFrame:
     bounds = messages.agg(F.min("message_id"), F.max("message_id")).first()
     low, high = bounds[0] or 0, bounds[1] or 0
     span = F.floor((F.col("message_id") - low) / F.lit((high - low) // RANGES + 1))
-    lines = cut_lineage(quotation_levels(messages).where("level <= 1").select("message_id", "level", "key"))
-    found = _latest_before(lines.where("level = 0"), lines.where("level = 1"), span)
-    votes = found.groupBy("message_id", "origin").agg(F.count(F.lit(1)).alias("votes"))
-    return votes.groupBy("message_id").agg(F.max(F.struct("votes", "origin")).alias("best")).select("message_id", F.col("best.origin").alias("reply_to"))
+    passages = cut_lineage(_passages(messages))
+    found = _latest_before(passages.where("level = 0"), passages.where("level > 0"), span)
+    rank = F.when(F.col("key.kind") == _BEHIND, 2).when(F.col("key.kind") == _WHOLE, 1).otherwise(0)
+    votes = found.groupBy("message_id", "level", "origin").agg(
+        F.max(rank).alias("rank"), F.sum((F.lit(float(1 << 40)) / F.col("owners")).cast("long")).alias("votes"), F.min("owners").alias("owners"))
+    order = F.struct(((F.col("rank") > 0) | (F.col("owners") == 1)).alias("sure"), (-F.col("level")).alias("near"), "rank", "votes", "origin")
+    return votes.groupBy("message_id").agg(F.max(order).alias("best")).select("message_id", F.col("best.origin").alias("reply_to"))
 
 
 def conversations(messages: DataFrame) -> DataFrame:

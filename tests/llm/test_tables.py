@@ -125,6 +125,20 @@ def test_conversations(spark):
     assert [r.level for r in quotation_levels(table.where("message_id = 4")).orderBy("place").collect()] == [2, 1, 0]
 
 
+def test_threads_that_share_lines(spark):
+    rows = [(1, "u", "Hi all\nShip it Friday"), (2, "u", "Hi all\nLunch?"), (3, "a", "> Hi all\n> Ship it Friday\nyes"),
+            (10, "u", "Dear list\nthe build is red\n\nKind regards\nKim"), (11, "u", "Dear list\nnothing new\n\nKind regards\nKim"),
+            (12, "a", "> Dear list\n> the build is red\n> Kind regards\nfixed"),  # partial: one line tells
+            (20, "u", "one long line that a mail program\nwraps anew"), (21, "a", "> one long line that\n> a mail program wraps anew\nseen"),
+            (30, "a", ">> Hi all\n>> Lunch?\n> not in the table\ndeeper"),
+            (40, "u", "p\nq\nr"), (41, "u", "p\nx"), (42, "u", "q\ny"), (43, "u", "r\nz"), (44, "a", "> p\n> q\ntwo in a row"),
+            (50, "u", "start here"), (51, "a", "> start here\nok"), (52, "u", "begin"), (53, "a", "> begin\nok"), (54, "u", ">> start here\n> ok\nthanks"),
+            (60, "a", ">> Ship it Friday\n>> Hi all\n> Hi all\n> gone\nonly a greeting is shared")]
+    table = spark.createDataFrame(rows, "message_id long, role string, text string")
+    got = {r.message_id: r.reply_to for r in conversations(table).collect() if r.reply_to is not None}
+    assert got == {3: 1, 12: 10, 21: 20, 30: 2, 44: 40, 51: 50, 53: 52, 54: 51, 60: 1}
+
+
 def test_a_long_thread_and_a_common_line(spark):
     rows = [(0, "u", "start")]
     for i in range(1, 200):
