@@ -26,8 +26,6 @@ from signalvault.llm.common import Words, flat, slices, text_column, with_column
 
 MAX_LABELLED = 40_000
 """Labelled texts the model is fitted on, about; more are sampled by a hash of doc_id. Bounds what is broadcast."""
-MAX_FEATURES = 200_000
-"""Log-odds kept, those of most evidence first."""
 PREFIXES = (4, 6)
 STRENGTH = 4.0
 """Weight of the prior, in token occurrences."""
@@ -148,22 +146,23 @@ def fit(documents: DataFrame, labels: DataFrame, train=lambda doc_id: F.lit(True
     share = cut_lineage(table.where(F.col("bad") + F.col("good") >= MIN_TEXTS))
     sums = sample.where("part <> 3").agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count(F.lit(1))).first()
     n1, n0 = float(sums[0]) + 1.0, float(sums[1] - sums[0]) + 1.0
-    evidence = F.abs(F.col("bad") - (F.col("bad") + F.col("good")) * F.lit(n1 / (n1 + n0))) / F.sqrt(F.col("bad") + F.col("good"))
-    rows = share.orderBy(F.col("level") == 2, evidence.desc(), "h").limit(MAX_FEATURES).collect()
+    # the labelled sample bounds the forms; as columns they are small in the driver
+    rows = share.select("level", "h", "above", "bad", "good").toArrow().sort_by([("level", "ascending"), ("h", "ascending")])
+    rows = list(zip(*(rows.column(c).to_pylist() for c in rows.column_names)))
     odds: dict[int, float] = {}
     clean = all_clean = 0.0
-    for r in sorted(rows, key=lambda r: r.level):
-        parent = np.exp(odds.get(r.above, 0.0)) if r.level and r.above != r.h else 1.0
-        prior = STRENGTH * parent * n1 / (parent * n1 + n0)
-        ratio = np.log((r.bad + prior) / n1) - np.log((r.good + STRENGTH - prior) / n0)
-        if r.level and r.above == r.h:
+    for level, h, above, bad, good in rows:
+        if level and above == h:
             continue
-        odds[r.h] = float(np.clip(ratio, -3, 8))
-    for r in rows:
-        if r.level == 2:
-            value = odds.get(r.h, 0.0)
-            clean += r.good * (value if abs(value) >= LEAST_ODDS else 0.0)
-            all_clean += r.good
+        parent = np.exp(odds.get(above, 0.0)) if level else 1.0
+        prior = STRENGTH * parent * n1 / (parent * n1 + n0)
+        ratio = np.log((bad + prior) / n1) - np.log((good + STRENGTH - prior) / n0)
+        odds[h] = float(np.clip(ratio, -3, 8))
+    for level, h, _, _, good in rows:
+        if level == 2:
+            value = odds.get(h, 0.0)
+            clean += good * (value if abs(value) >= LEAST_ODDS else 0.0)
+            all_clean += good
     features = np.array(sorted(odds), np.int64).view(np.uint64)
     values = np.array([odds[int(h)] for h in features.view(np.int64)])
     order = np.argsort(features)

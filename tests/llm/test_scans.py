@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from signalvault.llm import media_chunks
+from signalvault.llm import media_chunks, toxicity
 from signalvault.llm.automaton import Automaton
 from signalvault.llm.common import Words, flat
 from signalvault.llm.media_chunks import cuts, gear, media_columns, payload_of
@@ -103,6 +103,13 @@ def test_toxicity_learns_stems(spark, documents, awkward):
     assert score_toxicity(documents([]), model).count() == 0
 
 
+def test_no_form_is_cut(spark, documents, monkeypatch):
+    docs, labels = labelled(spark, documents)
+    whole = fit(docs, labels)
+    monkeypatch.setattr(toxicity, "MAX_FEATURES", 5, raising=False)
+    assert len(whole.features) > 5 and np.array_equal(fit(docs, labels).features, whole.features)
+
+
 def test_one_class_or_no_labels_score_low(spark, documents):
     docs, labels = labelled(spark, documents, n=40)
     for few in (labels.where("toxic = 0"), labels.limit(0), labels.selectExpr("cast(null as long) doc_id", "toxic")):
