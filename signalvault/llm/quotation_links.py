@@ -25,7 +25,9 @@ from signalvault.session import cut_lineage
 RANGES = 1024
 _SIGNS = r"^(?:\s?>)+"
 ATTRIBUTION = r"^(?:On|Am|Le|El)\b.*\b(?:wrote|schrieb|écrit|escribió)\s?:\s*$"
-"""Lines that announce a quotation belong to nobody."""
+"""Lines that announce a quotation belong to nobody; they do so if the next line that is not blank is quoted deeper."""
+_ANNOUNCED = r"(?md)^(?:On|Am|Le|El)\b[^\n]*\b(?:wrote|schrieb|écrit|escribió)\s?:[^\S\n]*(?=\n(?:\s*\n)?\s?>)"
+"""The same in the own lines of a text."""
 
 
 def line_level(line: Column) -> Column:
@@ -37,11 +39,16 @@ def normalised(line: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(F.regexp_replace(line, _SIGNS, ""), r"\s+", " ")))
 
 
+def without_announcements(text: Column) -> Column:
+    """The text with line feeds only and without own lines that announce a quotation."""
+    return F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), _ANNOUNCED, "")
+
+
 def quotation_levels(messages: DataFrame) -> DataFrame:
     """(message_id, place, level, line, key) for every line that is not blank; key hashes the normalised line."""
-    lines = messages.select("message_id", F.posexplode(F.split(F.regexp_replace("text", "\r\n?", "\n"), "\n")).alias("place", "line"))
+    lines = messages.select("message_id", F.posexplode(F.split(without_announcements(F.col("text")), "\n")).alias("place", "line"))
     return lines.withColumn("level", line_level(F.col("line"))).withColumn("plain", normalised(F.col("line"))) \
-        .where((F.col("plain") != "") & ~F.col("line").rlike(ATTRIBUTION)) \
+        .where(F.col("plain") != "") \
         .select("message_id", "place", "level", "line", F.struct(F.xxhash64("plain"), F.hash("plain"), F.length("plain")).alias("key"))
 
 
@@ -50,10 +57,12 @@ _WHOLE, _BEHIND, _PARAGRAPH, _PAIR, _LINE = range(5)
 
 def _passages(messages: DataFrame) -> DataFrame:
     """(message_id, level, key): distinct passages of every level; key holds their kind and hash."""
-    parsed = messages.select("message_id", F.split(F.regexp_replace("text", "\r\n?", "\n"), "\n").alias("lines")) \
+    parsed = messages.select("message_id", F.split(without_announcements(F.col("text")), "\n").alias("lines")) \
         .select("message_id", F.filter(F.transform("lines", lambda x, i: F.struct(
-            i.alias("place"), line_level(x).alias("level"), normalised(x).alias("plain"), x.rlike(ATTRIBUTION).alias("announces"))),
-            lambda r: (r.plain != "") & ~r.announces).alias("rows"))
+            i.alias("place"), line_level(x).alias("level"), normalised(x).alias("plain"),
+            F.regexp_replace(x, _SIGNS + r"\s*", "").rlike(ATTRIBUTION).alias("announces"))),
+            lambda r: r.plain != "").alias("rows")) \
+        .select("message_id", F.filter("rows", lambda r, i: ~(r.announces & F.coalesce(F.get("rows", i + 1).level > r.level, F.lit(False)))).alias("rows"))
     levels = parsed.select("message_id", "rows", F.explode(F.array_distinct("rows.level")).alias("level")) \
         .select("message_id", "level", F.filter("rows", lambda r: r.level == F.col("level")).alias("mine"),
                 F.filter("rows", lambda r: r.level == F.col("level") + 1).alias("behind"))
@@ -135,7 +144,7 @@ def conversations(messages: DataFrame) -> DataFrame:
     counts = placed.groupBy("up", "depth", "span").agg(F.count(F.lit(1)).alias("n")).withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     within = F.row_number().over(Window.partitionBy("up", "depth", "span").orderBy("message_id"))
     order = placed.withColumn("within", within).join(counts, ["up", "depth", "span"])
-    line = F.split(F.regexp_replace("text", "\r\n?", "\n"), "\n")
-    own = F.regexp_replace(F.array_join(F.filter(line, lambda x: (line_level(x) == 0) & ~x.rlike(ATTRIBUTION)), "\n"), r"^\s+|\s+$", "")
+    line = F.split(without_announcements(F.col("text")), "\n")
+    own = F.regexp_replace(F.array_join(F.filter(line, lambda x: line_level(x) == 0), "\n"), r"^\s+|\s+$", "")
     return order.join(given, "message_id").join(links, "message_id", "left").select(
         F.col("up").alias("conversation_id"), (F.col("base") + F.col("within")).alias("position"), "depth", "message_id", "reply_to", "role", own.alias("text"))

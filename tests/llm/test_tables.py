@@ -139,6 +139,14 @@ def test_threads_that_share_lines(spark):
     assert got == {3: 1, 12: 10, 21: 20, 30: 2, 44: 40, 51: 50, 53: 52, 54: 51, 60: 1}
 
 
+def test_only_lines_before_quotations_announce_them(spark):
+    rows = [(1, "u", "On page 3 Smith wrote:\nunquoted words"), (2, "a", "On Monday u wrote:\n \n> On page 3 Smith wrote:\n> unquoted words\n\nSo\nOn page 4 too they wrote:"),
+            (3, "u", "On Tuesday a wrote:\n> On Monday u wrote:\n> > On page 3 Smith wrote:\n> > unquoted words\n> So\n> On page 4 too they wrote:\nyes")]
+    table = spark.createDataFrame(rows, "message_id long, role string, text string")
+    got = {r.message_id: (r.reply_to, r.text) for r in conversations(table).collect()}
+    assert got == {1: (None, rows[0][2]), 2: (1, "So\nOn page 4 too they wrote:"), 3: (2, "yes")}
+
+
 def test_a_long_thread_and_a_common_line(spark):
     rows = [(0, "u", "start")]
     for i in range(1, 200):
