@@ -15,6 +15,7 @@ from signalvault.llm.ngram_join import ngram_classes
 from signalvault.llm.quotation_links import conversations
 from signalvault.llm.secret_scan import BASE, scan_secrets
 from signalvault.llm.sentencepiece_bpe import round_trip
+from signalvault.llm.simhash import simhash_classes
 from signalvault.llm.substring_dedup import remove_repeats
 from signalvault.llm.token_files import read_tokens, write_tokens
 from signalvault.llm.toxicity import fit, score_toxicity
@@ -180,3 +181,8 @@ def quoting_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_quotation_links", OP9_SQL)
 def op9_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations(quoting_messages(spark, sf_dir)).withColumn("reply_to", F.col("reply_to").cast("string"))
+
+
+@query("op11_simhash")
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_classes(table(spark, sf_dir, "documents"), width=4, distance=4)
