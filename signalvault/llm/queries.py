@@ -19,6 +19,7 @@ from signalvault.llm.simhash import simhash_classes
 from signalvault.llm.substring_dedup import remove_repeats
 from signalvault.llm.token_files import read_tokens, write_tokens
 from signalvault.llm.toxicity import fit, score_toxicity
+from signalvault.llm.vector_codes import compress
 from signalvault.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -186,3 +187,43 @@ def op9_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_simhash")
 def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_classes(table(spark, sf_dir, "documents"), width=4, distance=4)
+
+
+def op12_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """Rounds as chained expressions: codebook ``b<r>``, nearest entries ``n<r>``."""
+    out = [f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, vec_id, label, list_transform(embedding, lambda v: CAST(floor(1024 * CAST(v AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0),
+pieces AS MATERIALIZED (
+  SELECT row, p, list_slice(x, CAST(p * len(x) // {parts} + 1 AS BIGINT), CAST((p + 1) * len(x) // {parts} AS BIGINT)) AS x
+  FROM kept, range({parts}) AS parts(p)),
+b0 AS MATERIALIZED (
+  SELECT p, e, pieces.x AS c
+  FROM (SELECT row, row_number() OVER (ORDER BY vec_id NULLS LAST, x) - 1 AS e FROM kept) JOIN pieces USING (row) WHERE e < {entries})"""]
+    for r in range(rounds + 1):
+        out.append(f"""n{r} AS MATERIALIZED (
+  SELECT row, p, pieces.x, min({{'d': list_sum(list_transform(list_zip(pieces.x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, 'e': e}}) AS near
+  FROM pieces JOIN b{r} USING (p) GROUP BY row, p, pieces.x)""")
+        if r < rounds:
+            out.append(f"""t{r} AS (
+  SELECT p, near.e AS e, i, CAST(floor(sum(x[i]) / count(*)) AS BIGINT) AS v
+  FROM n{r}, LATERAL (SELECT unnest(range(1, len(x) + 1)) AS i) GROUP BY p, near.e, i),
+b{r + 1} AS MATERIALIZED (
+  SELECT p, e, coalesce(m.c, b{r}.c) AS c FROM b{r} LEFT JOIN (SELECT p, e, list(v ORDER BY i) AS c FROM t{r} GROUP BY p, e) m USING (p, e))""")
+    out.append(f"""coded AS (
+  SELECT row, string_agg(lpad(to_hex(near.e), 2, '0'), '' ORDER BY p) AS code, CAST(sum(near.d) AS BIGINT) AS error FROM n{rounds} GROUP BY row),
+all_labels AS (SELECT label, CAST(sum(error) AS BIGINT) AS label_error FROM coded JOIN kept USING (row) GROUP BY label)
+SELECT vec_id, lower(code) AS code, error, label_error,
+       (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) FROM b{rounds}) AS codebooks_sha256
+FROM coded JOIN kept USING (row) JOIN all_labels ON kept.label IS NOT DISTINCT FROM all_labels.label""")
+    return ",\n".join(out[:-1]) + ",\n" + out[-1]
+
+
+@query("op12_vector_codes", op12_sql())
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = compress(table(spark, sf_dir, "embeddings"))
+    by_label = found.rows.groupBy(F.col("label").alias("of")).agg(F.sum("error").alias("label_error"))
+    return found.rows.join(by_label, F.col("label").eqNullSafe(F.col("of"))).select(
+        "vec_id", "code", "error", "label_error", F.lit(found.digest()).alias("codebooks_sha256"))
