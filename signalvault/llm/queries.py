@@ -19,6 +19,7 @@ from signalvault.llm.simhash import simhash_classes
 from signalvault.llm.substring_dedup import remove_repeats
 from signalvault.llm.token_files import read_tokens, write_tokens
 from signalvault.llm.toxicity import fit, score_toxicity
+from signalvault.llm.turn_repair import repair
 from signalvault.llm.vector_codes import compress
 from signalvault.session import scratch_path
 
@@ -227,3 +228,75 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     by_label = found.rows.groupBy(F.col("label").alias("of")).agg(F.sum("error").alias("label_error"))
     return found.rows.join(by_label, F.col("label").eqNullSafe(F.col("of"))).select(
         "vec_id", "code", "error", "label_error", F.lit(found.digest()).alias("codebooks_sha256"))
+
+
+def op13_sql() -> str:
+    """The cheapest and then least way to the end of each state, from the last turn back: cost, audit and lines."""
+    def add(cost: str, letter: str, line: str | None, state: int, of: str) -> str:
+        body = f"list_prepend({line}, {of}{state}.body)" if line else f"{of}{state}.body"
+        return f"{{'cost': {cost} + {of}{state}.cost, 'audit': '{letter}' || {of}{state}.audit, 'body': {body}}}"
+
+    after = {0: 2, 1: 2, 2: 3, 3: 2}
+    said = {2: "'user'", 3: "'assistant'"}
+    kept = {"s": {0: 1}, "u": {0: 2, 1: 2, 3: 2}, "a": {2: 3}}
+    read = []
+    for s in range(4):
+        ways = [f"[{add('3', 'D', None, s, 'g')}]",
+                f"CASE WHEN fixed THEN [] ELSE [{add('2 + late', 'R', said[after[s]] + chr(39).join([' || ', ':', ' || text']), after[s], 'g')}] END"]
+        for initial, to in kept.items():
+            if s in to:
+                ways.append(f"CASE WHEN fixed OR initial <> '{initial}' THEN [] ELSE [{add('late', 'K', 'role || chr(58) || text', to[s], 'g')}] END")
+        read.append(f"list_min({' || '.join(ways)}) AS h{s}")
+    first = [f"list_min([h{s}, {add('2', 'I', said[after[s]] + ' || chr(58)', after[s], 'h')}]) AS g{s}" for s in (2, 3)]
+    then = [f"list_min([h{s}, {add('2', 'I', said[after[s]] + ' || chr(58)', after[s], 'g')}]) AS g{s}" for s in (0, 1)]
+    done = "{'cost': 0::BIGINT, 'audit': '', 'body': []::VARCHAR[]}"
+    return f"""
+WITH RECURSIVE crc AS (
+  SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM range(256) AS bytes(i)),
+harmed AS MATERIALIZED (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(name) + 1), lambda i: ascii(name[i])::BIGINT)),
+                         lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS harm
+  FROM (SELECT *, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations), crc),
+turns AS MATERIALIZED (
+  SELECT conv_id, turn, CASE WHEN harm = 4 THEN 'user' ELSE role END AS role,
+         CASE harm WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, copy
+  FROM harmed, LATERAL (SELECT unnest(CASE WHEN harm = 3 THEN [0, 1] ELSE [0] END) AS copy) WHERE harm <> 0),
+placed AS MATERIALIZED (
+  SELECT *, left(role, 1) AS initial, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS place,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS time,
+         count(*) OVER (PARTITION BY conv_id) AS n
+  FROM turns),
+judged AS MATERIALIZED (
+  SELECT *, bare = '' AS blank, bare <> '' AND time > 1 AS again,
+         bare <> '' AND time = 1 AND right(bare, 1) NOT IN ('.', '!', '?') AS cut,
+         bare = '' OR time > 1 AS fixed, CAST(bare <> '' AND time = 1 AND right(bare, 1) NOT IN ('.', '!', '?') AS BIGINT) AS late,
+         place > 1 AND lag(initial) OVER (PARTITION BY conv_id ORDER BY place) || initial NOT IN ('su', 'ua', 'au') AS wrong
+  FROM placed),
+ways AS (
+  SELECT DISTINCT conv_id, n + 1 AS place, {done} AS g0, {{'cost': 4::BIGINT, 'audit': 'II', 'body': ['user:', 'assistant:']}} AS g1,
+         {{'cost': 2::BIGINT, 'audit': 'I', 'body': ['assistant:']}} AS g2, {done} AS g3
+  FROM judged
+  UNION ALL
+  SELECT conv_id, place, {', '.join(then)}, g2, g3
+  FROM (SELECT *, {', '.join(first)} FROM (
+    SELECT w.conv_id, j.place, {', '.join(read)}
+    FROM ways w JOIN judged j ON w.conv_id IS NOT DISTINCT FROM j.conv_id AND j.place = w.place - 1))),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+         count(*) FILTER (again) AS duplicate, count(*) FILTER (cut) AS truncated, count(*) FILTER (wrong) AS illegal
+  FROM judged GROUP BY conv_id)
+SELECT c.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(g0.cost, 0) AS cost, coalesce(g0.audit, '') AS audit,
+       sha256(coalesce(array_to_string(g0.body, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN counts ON c.conv_id IS NOT DISTINCT FROM counts.conv_id
+LEFT JOIN ways ON c.conv_id IS NOT DISTINCT FROM ways.conv_id AND ways.place = 1
+"""
+
+
+@query("op13_turn_repair", op13_sql())
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair(table(spark, sf_dir, "conversations"))
