@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,6 +25,10 @@ GROUPS = "shot string, tree string, signal string, level string"
 ATTRS = ("shot string, tree string, signal string, node string, name string, kind string, "
          "is_array boolean, f64 array<double>, i64 array<bigint>, str array<string>, bin binary")
 
+# Groups below a signal, at any depth: ``path`` and ``parent`` are relative to the signal, the parent of a
+# path of depth 1 is the empty path. Leaves name the group they lie in by their ``node``.
+PATHS = "shot string, tree string, signal string, path string, parent string, depth int"
+
 LEDGER = "shot string, status string, ts timestamp"
 
 SEGMENT_ELEMENTS = 1 << 20
@@ -34,6 +39,11 @@ class Store:
     nodes: DataFrame
     groups: DataFrame
     attrs: DataFrame
+    paths: DataFrame | None = None      # groups below signals, where there are any
+
+    @property
+    def nested(self) -> DataFrame:
+        return empty(self.nodes.sparkSession, PATHS) if self.paths is None else self.paths
 
     def at_level(self, level: str) -> DataFrame:
         return self.groups.where(F.col("level") == level)
@@ -46,6 +56,11 @@ def empty(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
+def each_table(store: Store, change: Callable[[DataFrame], DataFrame]) -> Store:
+    """``store`` with every table changed the same way."""
+    return Store(change(store.nodes), change(store.groups), change(store.attrs), None if store.paths is None else change(store.paths))
+
+
 def with_ancestors(keys: DataFrame, *by: str) -> DataFrame:
     """Signal keys -> group rows of the signals, their trees and their shots, each once (per ``by``)."""
     none = F.lit(None).cast("string")
@@ -60,6 +75,21 @@ def with_ancestors(keys: DataFrame, *by: str) -> DataFrame:
     )
 
 
+def nested_paths(rows: DataFrame, path: str, *by: str) -> DataFrame:
+    """PATHS rows (per ``by``) of the group ``path`` of each row and of all groups above it, below the signal, each once."""
+    steps = F.split(F.col(path), "/")
+    each = F.explode(F.transform(F.sequence(F.lit(1), F.size(steps)), lambda n: F.struct(
+        F.array_join(F.slice(steps, F.lit(1), n), "/").alias("path"),
+        F.array_join(F.slice(steps, F.lit(1), n - 1), "/").alias("parent"), n.alias("depth"))))
+    return rows.where(F.col(path) != "").select(*by, *KEY, each.alias("g")).select(*by, *KEY, "g.*").distinct()
+
+
+def paths_of_leaves(nodes: DataFrame) -> DataFrame:
+    """Groups below signals that leaves lie in, as their ``node`` tells."""
+    inner = nodes.where(F.col("node").contains("/")).select(*KEY, F.regexp_replace("node", "/[^/]*$", "").alias("of"))
+    return nested_paths(inner.distinct(), "of")
+
+
 def store_from_nodes(nodes: DataFrame, attrs: DataFrame | None = None) -> Store:
     nodes = conform(nodes, NODES)
     return Store(nodes, with_ancestors(nodes),

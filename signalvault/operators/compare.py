@@ -18,14 +18,13 @@ from signalvault.fixed_values import (
     ATTRIBUTE_KEYS, DATA_VALUES, NAN_POSITIONS, ONLY_IN_FIRST, ONLY_IN_SECOND, SHAPE_MISMATCH,
     SHOWN_DIFFERENCES,
 )
+from signalvault.functions.digests import ATTR, DIGEST, LANES, LEAF, has_digests, merkle
+from signalvault.model import KEY, Store
 from signalvault.session import cut_lineage
 from signalvault.functions.values import (
     as_doubles, attr_values_equal, nan_positions_equal, node_values_equal,
 )
 
-LEAF = ["kind", "shape", "f64", "f32", "i64", "str", "bin"]
-ATTR = ["kind", "is_array", "f64", "i64", "str", "bin"]
-
 
 @dataclass(frozen=True)
 class Side:
@@ -82,12 +81,17 @@ def leaf_digest() -> Column:
     return F.struct(F.xxhash64(*content).alias("x"), F.xxhash64(F.lit(1), *content).alias("y"))
 
 
+def _digest(rows: DataFrame) -> Column:
+    """The digest a stored row carries, or that of its content."""
+    return F.struct(*DIGEST) if has_digests(rows) else leaf_digest()
+
+
 def leaf_differences(left: DataFrame, right: DataFrame, unit: Sequence[str]) -> DataFrame:
     """Leaves that differ. Keys and digests are aligned first; arrays are read again, and
     joined, only for leaves that both sides have with different digests."""
     on = [*unit, "path", "seg"]
     aligned = cut_lineage(
-        align(left.select(*on, leaf_digest().alias("digest")), right.select(*on, leaf_digest().alias("digest")), on, ["digest"])
+        align(left.select(*on, _digest(left).alias("digest")), right.select(*on, _digest(right).alias("digest")), on, ["digest"])
         .select(*on, _one_sided().alias("difference"), F.col("a.digest").eqNullSafe(F.col("b.digest")).alias("same"))
         .where(~F.col("same")))
     odd = aligned.where(F.col("difference").isNull()).select(*on)
@@ -152,3 +156,75 @@ def first_differences(diffs: DataFrame, unit: Sequence[str], k: int = SHOWN_DIFF
     )
     return first.join(difference_counts(diffs, unit), by).select(
         *by, "shown", F.greatest(F.col("n_differences") - k, F.lit(0)).alias("n_more"))
+
+
+SCOPES = {"shot": [], "tree": ["shot"], "signal": ["shot", "tree"]}
+
+
+def side_of(store: Store, names: DataFrame, unit: Sequence[str], level: str, open_signals: DataFrame | None = None) -> Side:
+    """Content below the groups ``names`` (unit columns, scope and ``level``), as one side of a comparison.
+
+    ``open_signals`` (unit columns and the key below the unit) lists the signals worth a look: leaves, groups and
+    attributes of others are left out. What belongs to no signal stays.
+    """
+    below = KEY[KEY.index(level) + 1:]
+    digests = DIGEST if has_digests(store.nodes) else []
+
+    def pick(rows: DataFrame, path: Sequence[str], payload: Sequence[str]) -> DataFrame:
+        joined = rows.join(names, [*SCOPES[level], level])
+        if open_signals is not None:
+            inner = joined.where(F.col("signal").isNotNull()).join(open_signals, [*unit, *below], "left_semi")
+            joined = inner.select(*joined.columns).unionByName(joined.where(F.col("signal").isNull()))
+        return joined.select(*unit, F.concat_ws("/", *path).alias("path"), *payload)
+
+    groups = store.groups.select(*KEY, F.lit(None).cast("string").alias("inner"))
+    if store.paths is not None:
+        groups = groups.unionByName(store.paths.select(*KEY, F.col("path").alias("inner")))
+    return Side(pick(store.nodes, [*below, "node"], ["seg", *LEAF, *digests]), pick(groups, [*below, "inner"], []),
+                pick(store.attrs, [*below, "node"], ["name", *ATTR]))
+
+
+def _alike(first: DataFrame, second: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Rows of ``on`` with ``same``: do both sides have the digest LANES there, and the same one?"""
+    aligned = align(first.select(*on, F.struct(*LANES).alias("sums")), second.select(*on, F.struct(*LANES).alias("sums")), on, ["sums"])
+    return aligned.select(*on, F.coalesce(F.col("a.sums") == F.col("b.sums"), F.lit(False)).alias("same"))
+
+
+def unequal_units(first: Store, second: Store, left: DataFrame, right: DataFrame, unit: Sequence[str], level: str) -> DataFrame:
+    """Units whose subtrees have different digests. Only keys and digests are read."""
+    on = [*SCOPES[level], level]
+    sides = [merkle(s, level, name).join(names, on) for s, names, name in ((first, left, "first"), (second, right, "second"))]
+    return _alike(*sides, unit).where(~F.col("same")).select(*unit)
+
+
+def unequal_signals(first: Store, second: Store, left: DataFrame, right: DataFrame, unit: Sequence[str], level: str) -> DataFrame:
+    """(unit columns, key below the unit) of the signals whose digests differ or that one side lacks."""
+    below = KEY[KEY.index(level) + 1:]
+    on = [*SCOPES[level], level]
+    sides = [merkle(s, "signal", name).join(names, on) for s, names, name in ((first, left, "first"), (second, right, "second"))]
+    return _alike(*sides, [*unit, *below]).where(~F.col("same")).select(*unit, *below)
+
+
+def subtree_differences(first: Store, second: Store, left: DataFrame, right: DataFrame, unit: Sequence[str], level: str) -> DataFrame:
+    """All differences between the groups ``left`` of ``first`` and ``right`` of ``second``, which ``unit`` pairs.
+
+    Where both stores carry digests, the search goes down from the unit: units of equal digests are settled, then
+    signals, then segments, and arrays are read for the segments that are left. Otherwise content is hashed first.
+    """
+    only = None
+    if has_digests(first.nodes) and has_digests(second.nodes):
+        unequal = cut_lineage(unequal_units(first, second, left, right, unit, level))
+        if unequal.isEmpty():   # nothing but keys and digests is read
+            return unequal.select(*unit, F.lit("").alias("path"), F.lit("").alias("difference"))
+        left, right = (names.join(unequal, list(unit), "left_semi").select(*names.columns) for names in (left, right))
+        only = cut_lineage(unequal_signals(first, second, left, right, unit, level))
+    return differences(side_of(first, left, unit, level, only), side_of(second, right, unit, level, only), unit)
+
+
+def compare_stores(first: Store, second: Store, level: str = "tree") -> tuple[DataFrame, DataFrame]:
+    """Verdicts (key of the level, n_differences, is_equal) and differences of all groups of ``level`` that both stores
+    have under the same name."""
+    on = [*SCOPES[level], level]
+    both = cut_lineage(first.at_level(level).select(*on).join(second.at_level(level).select(*on), on, "left_semi"))
+    diffs = cut_lineage(subtree_differences(first, second, both, both, on, level))
+    return verdicts(both, diffs, on), diffs

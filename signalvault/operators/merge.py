@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -10,7 +10,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from signalvault.model import GROUPS, KEY, Store, conform
+from signalvault.model import GROUPS, KEY, NODES, Store, conform
 from signalvault.session import cut_lineage
 
 @dataclass(frozen=True)
@@ -18,6 +18,7 @@ class Merge:
     store: Store          # the merged store
     added: Store          # what the target lacked: rows taken from sources, new groups
     stats: DataFrame      # one row of counters
+    replaced: DataFrame | None = None   # signal keys of the target that a source's rows replace
 
 
 def stacked(frames: Sequence[DataFrame]) -> DataFrame:
@@ -77,7 +78,9 @@ def merge_counts(held: DataFrame, files: int, strategy: str) -> DataFrame:
 
 def stack(sources: Sequence[Store]) -> Store:
     """Sources in order as one store whose tables have a ``src`` column, from 1."""
-    return Store(*[stacked([getattr(s, name) for s in sources]) for name in ("nodes", "groups", "attrs")])
+    names = ["nodes", "groups", "attrs"] + (["paths"] if any(s.paths is not None for s in sources) else [])
+    tables = [[getattr(s, "nested" if name == "paths" else name) for s in sources] for name in names]
+    return Store(*[stacked([conform(t, NODES) for t in ts] if name == "nodes" else ts) for name, ts in zip(names, tables)])
 
 
 def merge(target: Store, sources: Sequence[Store], strategy: str = "skip") -> Merge:
@@ -100,6 +103,7 @@ def merge_stacked(target: Store, sources: Store, n_sources: int, strategy: str =
         return _merge_error(target, sources, n_sources)
     if strategy not in ("skip", "overwrite", "upsert"):
         raise ValueError(f"unknown strategy {strategy!r}")
+    target = Store(conform(target.nodes, NODES), target.groups, target.attrs, target.paths)
     held = hold(target.groups, sources.groups)
     chosen = winners(held.where(F.col("level") == "signal"), strategy)
 
@@ -114,10 +118,22 @@ def merge_stacked(target: Store, sources: Store, n_sources: int, strategy: str =
     # A NULL signal joins nothing: an anti join keeps the target's shot and tree
     # attributes, a semi join drops the sources' ones.
     nodes, attrs = taken(sources.nodes), taken(sources.attrs)
+    paths = None if sources.paths is None else taken(sources.paths)
+    replaced = None
+    if strategy != "skip":
+        replaced = held.where((F.col("level") == "signal") & F.col("in_target") & (F.col("n_src") > 0)).select(*KEY)
     return Merge(
         Store(kept(target.nodes).unionByName(nodes), conform(held, GROUPS),
-              kept(target.attrs).unionByName(attrs)),
-        Store(nodes, new_groups(held), attrs), merge_counts(held, n_sources, strategy))
+              kept(target.attrs).unionByName(attrs), _with_paths(target, kept, paths)),
+        Store(nodes, new_groups(held), attrs, paths), merge_counts(held, n_sources, strategy), replaced)
+
+
+def _with_paths(target: Store, kept: Callable[[DataFrame], DataFrame], paths: DataFrame | None) -> DataFrame | None:
+    """Groups below signals: those of the target that stay, and those that come."""
+    if target.paths is None and paths is None:
+        return None
+    left = kept(target.nested)
+    return left if paths is None else left.unionByName(paths)
 
 
 def hold(target_groups: DataFrame, source_groups: DataFrame) -> DataFrame:
@@ -203,9 +219,12 @@ def _merge_error(target: Store, sources: Store, n_sources: int) -> Merge:
         sources.at_level("signal").select("src", *KEY))
     bounds = find_bounds(keys, n_sources)
     held = hold(target.groups, cut_groups(sources.groups, bounds))
+    target = Store(conform(target.nodes, NODES), target.groups, target.attrs, target.paths)
     nodes = cut_at(sources.nodes, bounds).drop("src")
+    paths = None if sources.paths is None else cut_at(sources.paths, bounds).drop("src")
     attrs = cut_at(sources.attrs.where(F.col("signal").isNotNull()), bounds).drop("src")
     complete = sum(bound is None for bound in bounds)
     return Merge(
-        Store(target.nodes.unionByName(nodes), conform(held, GROUPS), target.attrs.unionByName(attrs)),
-        Store(nodes, new_groups(held), attrs), merge_counts(held, complete, "error"))
+        Store(target.nodes.unionByName(nodes), conform(held, GROUPS), target.attrs.unionByName(attrs),
+              _with_paths(target, lambda rows: rows, paths)),
+        Store(nodes, new_groups(held), attrs, paths), merge_counts(held, complete, "error"))

@@ -15,12 +15,10 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signalvault.model import GROUPS, KEY, Store, conform, empty
-from signalvault.operators.compare import LEAF, Side, differences, verdicts
+from signalvault.model import GROUPS, Store, conform, each_table, empty
+from signalvault.operators.compare import SCOPES, subtree_differences, verdicts
 from signalvault.session import cut_lineage
 
-SCOPES = {"shot": [], "tree": ["shot"], "signal": ["shot", "tree"]}
-
 RENAMED = "renamed"
 DEDUPLICATED = "deduplicated"
 CONFLICT = "conflict"
@@ -38,6 +36,7 @@ class Rename:
     verdicts: DataFrame
     differences: DataFrame
     store: Store
+    labels: DataFrame | None = None     # (scope, origin, current) of the groups in question, after the renames
 
 
 def labels_of(store: Store, level: str) -> DataFrame:
@@ -76,24 +75,6 @@ def candidates(labels: DataFrame, lines: DataFrame, level: str) -> DataFrame:
     )
 
 
-def _side(store: Store, pairs: DataFrame, origin: str, level: str) -> Side:
-    """Content of one side of the colliding pairs; unit columns are line_no and the scope."""
-    scope = SCOPES[level]
-    unit = ["line_no", *scope]
-    names = pairs.select(*unit, F.col(origin).alias(level))
-    below = KEY[len(scope) + 1:]
-
-    def pick(rows: DataFrame, path: Sequence[str], payload: Sequence[str]) -> DataFrame:
-        joined = rows.join(names, [*scope, level])
-        return joined.select(*unit, F.concat_ws("/", *path).alias("path"), *payload)
-
-    return Side(
-        pick(store.nodes, [*below, "node"], ["seg", *LEAF]),
-        pick(store.groups, below, []),
-        pick(store.attrs, [*below, "node"], ["name", "kind", "is_array", "f64", "i64", "str", "bin"]),
-    )
-
-
 def judge(store: Store, found: DataFrame, level: str) -> tuple[DataFrame, DataFrame]:
     """Verdict per (line, group), and the differences behind the conflicts.
 
@@ -109,8 +90,8 @@ def judge(store: Store, found: DataFrame, level: str) -> tuple[DataFrame, DataFr
             ["line_no bigint", *[f"{c} string" for c in SCOPES[level]], "path string", "difference string"]))
         judged = found.withColumns({"n_differences": F.lit(0).cast("bigint"), "verdict": F.lit(RENAMED)})
     else:
-        diffs = cut_lineage(differences(_side(store, pairs, "origin", level),
-                                        _side(store, pairs, "new_origin", level), unit))
+        old, new = (pairs.select(*unit, F.col(c).alias(level)) for c in ("origin", "new_origin"))
+        diffs = cut_lineage(subtree_differences(store, store, old, new, unit, level))
         judged = cut_lineage(verdicts(found, diffs, unit).withColumn(
             "verdict",
             F.when(F.col("new_origin").isNull(), RENAMED).when(F.col("is_equal"), DEDUPLICATED)
@@ -150,7 +131,8 @@ def apply_labels(store: Store, labels: DataFrame, level: str, names: Sequence[st
         ).select(*[F.coalesce("to", level).alias(c) if c == level else F.col(c) for c in columns])
         return moved if rest is None else rest.unionByName(moved)
 
-    return Store(renamed(store.nodes), conform(renamed(store.groups), GROUPS), renamed(store.attrs))
+    return Store(renamed(store.nodes), conform(renamed(store.groups), GROUPS), renamed(store.attrs),
+                 None if store.paths is None else renamed(store.paths))
 
 
 def report(lines: DataFrame, judged: DataFrame, level: str) -> DataFrame:
@@ -178,8 +160,10 @@ def rename(store: Store, old: str, new: str, level: str = "tree", shot: str | No
     subject = _scoped(store, level, old, new, shot, tree)
     labels = labels_of(subject, level)
     judged, diffs = judge(subject, candidates(labels, runnable(lines, level), level), level)
-    result = store if dry_run else apply_labels(store, relabel(labels, judged, level), level, [old])
-    return Rename(report(lines, judged, level), diffs, result)
+    if dry_run:
+        return Rename(report(lines, judged, level), diffs, store)
+    labels = relabel(labels, judged, level)
+    return Rename(report(lines, judged, level), diffs, apply_labels(store, labels, level, [old]), labels)
 
 
 def _scoped(store: Store, level: str, old: str, new: str, shot: str | None, tree: str | None) -> Store:
@@ -189,13 +173,13 @@ def _scoped(store: Store, level: str, old: str, new: str, shot: str | None, tree
         condition = condition & (F.col("shot") == shot)
     if level == "signal" and tree is not None:
         condition = condition & (F.col("tree") == tree)
-    return Store(store.nodes.where(condition), store.groups.where(condition), store.attrs.where(condition))
+    return each_table(store, lambda rows: rows.where(condition))
 
 
 def _named(store: Store, level: str, names: DataFrame) -> Store:
     """Content under the names of a mapping; other rows are left out before anything is shuffled for them."""
     touched = names.select(F.col("current").alias(level))
-    return Store(*[rows.join(touched, level, "left_semi") for rows in (store.nodes, store.groups, store.attrs)])
+    return each_table(store, lambda rows: rows.join(touched, level, "left_semi").select(*rows.columns))
 
 
 def mapping_of(lines: DataFrame) -> DataFrame:
@@ -251,7 +235,7 @@ def rename_batch(store: Store, mapping: DataFrame, level: str = "tree", dry_run:
         labels = cut_lineage(labels)
     judged = reduce(DataFrame.unionByName, done)
     diffs = reduce(DataFrame.unionByName, found)
-    return Rename(report(lines, judged, level), diffs, apply_labels(store, labels, level))
+    return Rename(report(lines, judged, level), diffs, apply_labels(store, labels, level), labels)
 
 
 def touched_trees(store: Store, result: Rename, level: str) -> DataFrame:

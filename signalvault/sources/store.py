@@ -4,31 +4,56 @@ Every commit writes new folders and then one small manifest that lists the folde
 of the version; a reader takes the newest manifest. Folders are never changed and every
 attempt writes to folders of its own, so a job may read the version it replaces, a lost
 job leaves only unlisted folders, and of two writers one commits and the other fails.
-Node folders are per tree: a commit rewrites the trees it changes and lists the
-others again.
+
+Rows lie in a bucket by their shot, leaves below it in one folder per tree. A change of
+a few groups does not rewrite the folders they lie in: it adds rows under the new names and
+a table of deleted keys. A deleted key hides its rows in all older commits; only folders of
+buckets that have younger deleted keys are joined with them on reading. ``fold_deletes``
+rewrites those buckets, ``compact_store`` the whole store. Leaves are stored with the digest
+of their content (``functions.digests``).
 """
 
 from __future__ import annotations
 
 import json
+import re
 import uuid
+import zlib
+from collections.abc import Iterable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalvault.model import ATTRS, GROUPS, KEY, NODES, Store, bounded, conform, empty
+from signalvault.functions.digests import DIGEST, with_digests
+from signalvault.model import ATTRS, GROUPS, KEY, NODES, PATHS, Store, bounded, conform, each_table, empty
+from signalvault.operators.compare import SCOPES
 from signalvault.operators.convert import to_float32
 from signalvault.operators.merge import Merge, merge_stacked, stack
 from signalvault.operators.rename import (
-    DEDUPLICATED, RENAMED, Rename, mapping_of, rename, rename_batch, rename_stats, touched_trees,
+    DEDUPLICATED, RENAMED, Rename, mapping_of, rename, rename_batch, rename_stats,
 )
 from signalvault.session import cut_lineage
 from signalvault.sources import files
 from signalvault.sources.text import mapping_lines, read_lines
 
-_SCHEMAS = {"nodes": NODES, "groups": GROUPS, "attrs": ATTRS}
+_SCHEMAS = {"nodes": NODES, "groups": GROUPS, "attrs": ATTRS, "paths": PATHS}
+_DIGESTS = ", ".join(f"{c} bigint" for c in DIGEST)
+_DELETES = "shot string, tree string, signal string, until int"
 # All key columns take part, so even a shot holding a third of the rows is split.
-_CLUSTER = ["tree", "shot", "signal", "node", "seg"]
+_CLUSTER = ["bucket", "tree", "shot", "signal", "node", "seg"]
+BUCKETS = 8
+"""Buckets of a new store. A folder of one tree and bucket should hold some gigabytes."""
+FEW = 32
+"""Names up to which a change is looked for by literals, which reach the scan."""
+
+
+def bucket_column(buckets: int) -> Column:
+    return (F.crc32(F.col("shot").cast("binary")) % buckets).cast("int")
+
+
+def bucket_of(shot: str, buckets: int) -> int:
+    return zlib.crc32(shot.encode()) % buckets
 
 
 def versions(spark: SparkSession, root: str) -> list[int]:
@@ -36,11 +61,11 @@ def versions(spark: SparkSession, root: str) -> list[int]:
     return [int(p.rsplit("-", 1)[1].removesuffix(".json")) for p in found]
 
 
-def open_store(spark: SparkSession, root: str) -> Store:
-    """The newest version of a store that has to exist."""
+def open_store(spark: SparkSession, root: str, shots: Iterable[str] | None = None) -> Store:
+    """The newest version of a store that has to exist; with ``shots`` only the buckets these can lie in."""
     if not versions(spark, root):
         raise FileNotFoundError(f"no store at {root}")
-    return read_store(spark, root)
+    return read_store(spark, root, shots=shots)
 
 
 def compact_store(spark: SparkSession, root: str) -> int:
@@ -48,52 +73,106 @@ def compact_store(spark: SparkSession, root: str) -> int:
     return write_store(read_store(spark, root), root)
 
 
+def _empty_manifest() -> dict:
+    return {"buckets": BUCKETS, **{name: [] for name in _SCHEMAS}, "deletes": [], "made": {}}
+
+
 def _manifest(spark: SparkSession, root: str, version: int | None = None) -> tuple[int, dict]:
     known = versions(spark, root)
     if not known:
-        return 0, {name: [] for name in _SCHEMAS}
+        return 0, _empty_manifest()
     version = max(known) if version is None else version
-    return version, json.loads(files.read_small(spark, f"{root}/manifest-{version:06d}.json"))
+    return version, _empty_manifest() | json.loads(files.read_small(spark, f"{root}/manifest-{version:06d}.json"))
 
 
-def read_store(spark: SparkSession, root: str, version: int | None = None) -> Store:
-    _, manifest = _manifest(spark, root, version)
+def _commit_of(path: str) -> int:
+    return int(re.search(r"/v=(\d+)-", path)[1])
 
-    def table(name: str) -> DataFrame:
-        paths = [f"{root}/{p}" for p in manifest[name]]
-        if not paths:
-            return empty(spark, _SCHEMAS[name])
-        reader = spark.read.schema(_SCHEMAS[name])
-        if name == "nodes":
-            reader = reader.option("basePath", f"{root}/nodes")
-        return conform(reader.parquet(*paths), _SCHEMAS[name])
 
-    return Store(table("nodes"), table("groups"), table("attrs"))
+def _bucket_of_path(path: str) -> int:
+    return int(re.search(r"/bucket=(\d+)", path)[1])
 
 
-def _write(root: str, name: str, version: int, df: DataFrame) -> list[str]:
+def _hidden_below(path: str, deletes: list[dict]) -> bool:
+    """Do some deleted keys concern the folder: its bucket, and a later commit?"""
+    return any(d["version"] > _commit_of(path) and _bucket_of_path(path) in d["buckets"] for d in deletes)
+
+
+def read_store(spark: SparkSession, root: str, version: int | None = None, shots: Iterable[str] | None = None) -> Store:
+    """A version of the store, the newest unless told. Folders of other buckets than those of ``shots`` are not listed."""
+    _, manifest = _manifest(spark, root, version)
+    buckets = None if shots is None else {bucket_of(s, manifest["buckets"]) for s in shots}
+    return Store(*[_table(spark, root, name, manifest, buckets) for name in _SCHEMAS])
+
+
+def _table(spark: SparkSession, root: str, name: str, manifest: dict, buckets: set[int] | None = None) -> DataFrame:
+    schema = f"{NODES}, {_DIGESTS}" if name == "nodes" else _SCHEMAS[name]
+    deletes = manifest["deletes"]
+    paths = [p for p in manifest[name] if buckets is None or _bucket_of_path(p) in buckets]
+    hidden = [p for p in paths if _hidden_below(p, deletes)]
+    clean = [p for p in paths if p not in set(hidden)]
+    found = []
+    for some in (clean, hidden):
+        if some:
+            reader = spark.read.schema(f"{schema}, bucket int, v string").option("basePath", f"{root}/{name}")
+            rows = reader.parquet(*[f"{root}/{p}" for p in _joined(some, manifest["made"])])
+            if some is hidden:
+                gone = spark.read.schema(_DELETES).parquet(*[f"{root}/{d['path']}" for d in deletes])
+                gone = gone.groupBy(*KEY).agg(F.max("until").alias("until")).select(*[F.col(c).alias(f"gone_{c}") for c in KEY], "until")
+                same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"gone_{c}")) for c in KEY])
+                since = F.split("v", "-")[0].cast("int")
+                rows = rows.join(gone, same & (since < F.col("until")), "left_anti")
+            found.append(conform(rows, schema))
+    return reduce(DataFrame.unionByName, found) if found else empty(spark, schema)
+
+
+def _joined(paths: list[str], made: dict[str, int]) -> list[str]:
+    """Whole commit folders in place of their parts, where all parts that were ``made`` are wanted: less to list."""
+    def by_commit(some: list[str]) -> dict[str, list[str]]:
+        out: dict[str, list[str]] = {}
+        for p in some:
+            out.setdefault(p.split("/bucket=")[0], []).append(p)
+        return out
+
+    return [q for folder, parts in by_commit(paths).items() for q in ([folder] if len(parts) == made.get(folder) else parts)]
+
+
+def _write(root: str, name: str, version: int, df: DataFrame, buckets: int = BUCKETS) -> list[str]:
+    """Rows in folders of their own; returns these, one for each bucket (and tree, for leaves)."""
     spark = df.sparkSession
     folder = f"{name}/v={version}-{uuid.uuid4().hex}"
-    if name != "nodes":
-        df.write.mode("errorifexists").parquet(f"{root}/{folder}")
-        return [folder]
-    (bounded(df).repartitionByRange(*_CLUSTER).sortWithinPartitions(*_CLUSTER)
-       .write.mode("errorifexists").partitionBy("tree").parquet(f"{root}/{folder}"))
-    return [f"{folder}/{p.rsplit('/', 1)[1]}"
-            for p in files.matching(spark, f"{root}/{folder}/tree=*")]
+    rows = df.withColumn("bucket", bucket_column(buckets))
+    if name == "nodes":
+        rows = with_digests(bounded(conform(df, NODES))).withColumn("bucket", bucket_column(buckets))
+        (rows.repartitionByRange(*_CLUSTER).sortWithinPartitions(*_CLUSTER)
+         .write.mode("errorifexists").partitionBy("bucket", "tree").parquet(f"{root}/{folder}"))
+        found = files.matching(spark, f"{root}/{folder}/bucket=*/tree=*")
+    else:
+        rows.write.mode("errorifexists").partitionBy("bucket").parquet(f"{root}/{folder}")
+        found = files.matching(spark, f"{root}/{folder}/bucket=*")
+    return [f"{folder}/{p.split(f'{folder}/', 1)[1]}" for p in found]
 
 
 def _commit(spark: SparkSession, root: str, version: int, manifest: dict) -> int:
-    files.write_new(spark, f"{root}/manifest-{version:06d}.json", json.dumps(manifest, indent=1))
+    """Claim ``version``. ``made`` tells in how many parts each listed commit folder was written."""
+    made = dict(manifest.get("made", {}))
+    fresh = [p.split("/bucket=")[0] for name in _SCHEMAS for p in manifest.get(name, []) if _commit_of(p) == version]
+    made.update({folder: fresh.count(folder) for folder in set(fresh)})
+    files.write_new(spark, f"{root}/manifest-{version:06d}.json", json.dumps({**manifest, "made": made}, indent=1))
     return version
 
 
-def write_store(store: Store, root: str) -> int:
-    """Commit the whole content as a new version."""
+def _written(store: Store, root: str, version: int, buckets: int) -> dict[str, list[str]]:
+    tables = {"nodes": store.nodes, "groups": store.groups, "attrs": store.attrs, "paths": store.paths}
+    return {name: [] if rows is None else _write(root, name, version, rows, buckets) for name, rows in tables.items()}
+
+
+def write_store(store: Store, root: str, buckets: int | None = None) -> int:
+    """Commit the whole content as a new version, in ``buckets`` (as the store has them, or BUCKETS)."""
     spark = store.nodes.sparkSession
-    version = _manifest(spark, root)[0] + 1
-    return _commit(spark, root, version, {
-        name: _write(root, name, version, getattr(store, name)) for name in _SCHEMAS})
+    version, manifest = _manifest(spark, root)
+    buckets = manifest["buckets"] if buckets is None else buckets
+    return _commit(spark, root, version + 1, {"buckets": buckets, "deletes": [], **_written(store, root, version + 1, buckets)})
 
 
 def append_store(store: Store, root: str) -> int:
@@ -117,52 +196,98 @@ def append_store(store: Store, root: str) -> int:
     attrs = cut_lineage(lacking(conform(store.attrs, ATTRS), known.attrs, ["shot", "tree", "signal", "node", "name"]))
     group = ["shot", "tree", "signal", "level"]
     groups = cut_lineage(lacking(store.groups.select(*group).distinct(), known.groups, group))
-    if version and nodes.isEmpty() and attrs.isEmpty() and groups.isEmpty():
+    paths = None if store.paths is None else cut_lineage(lacking(conform(store.paths, PATHS), known.paths, [*KEY, "path"]))
+    if version and all(rows is None or rows.isEmpty() for rows in (nodes, attrs, groups, paths)):
         return version
-    return _append(Store(nodes, groups, attrs), root)
+    return _append(Store(nodes, groups, attrs, paths), root)
 
 
 def _append(added: Store, root: str) -> int:
     spark = added.nodes.sparkSession
     version, manifest = _manifest(spark, root)
-    version += 1
-    return _commit(spark, root, version, {
-        name: manifest[name] + _write(root, name, version, getattr(added, name)) for name in _SCHEMAS})
+    new = _written(added, root, version + 1, manifest["buckets"])
+    return _commit(spark, root, version + 1, manifest | {name: manifest[name] + new[name] for name in _SCHEMAS})
 
 
 def replace_trees(store: Store, root: str, trees: list[str], new_groups: DataFrame | None = None) -> int:
     """Commit ``store`` as a new version, rewriting nodes of the named trees only.
 
     ``trees`` names every tree whose nodes changed, emptied ones included. Groups are
-    rewritten too, unless ``new_groups`` says that only these came in addition.
+    rewritten too, unless ``new_groups`` says that only these came in addition. For
+    changes of few groups ``commit_changes`` writes less.
     """
     spark = store.nodes.sparkSession
     version, manifest = _manifest(spark, root)
-    version += 1
     escape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
     changed = {f"tree={escape(t)}" for t in trees}
     kept = [p for p in manifest["nodes"] if p.rsplit("/", 1)[1] not in changed]
-    nodes = store.nodes.where(F.col("tree").isin(*trees))
-    groups = (_write(root, "groups", version, store.groups) if new_groups is None
-              else manifest["groups"] + _write(root, "groups", version, new_groups))
-    return _commit(spark, root, version, {
-        "nodes": kept + _write(root, "nodes", version, nodes), "groups": groups,
-        "attrs": _write(root, "attrs", version, store.attrs)})
+    groups = store.groups if new_groups is None else new_groups
+    new = _written(Store(store.nodes.where(F.col("tree").isin(*trees)), groups, store.attrs, store.paths), root, version + 1, manifest["buckets"])
+    return _commit(spark, root, version + 1, manifest | {
+        "nodes": kept + new["nodes"], "groups": new["groups"] if new_groups is None else manifest["groups"] + new["groups"],
+        "attrs": new["attrs"], "paths": new["paths"]})
+
+
+def commit_changes(root: str, deleted: DataFrame, added: Store) -> int:
+    """Commit the current version without the groups ``deleted`` (the key; NULLs below the group's level) and with the
+    rows ``added``, which may bear deleted keys anew.
+
+    Each key stands for its own rows: with a tree, its signals are deleted by their keys. Nothing is rewritten. Folders
+    whose signals are all gone leave the list; the others get the deleted keys beside them.
+    """
+    spark = added.nodes.sparkSession
+    version, manifest = _manifest(spark, root)
+    new, buckets = version + 1, manifest["buckets"]
+    deleted = cut_lineage(deleted.select(*KEY).distinct())
+    touched = sorted(r.bucket for r in deleted.select(bucket_column(buckets).alias("bucket")).distinct().collect())
+    written = _written(added, root, new, buckets)
+    listed = {name: manifest[name] for name in _SCHEMAS}
+    deletes = manifest["deletes"]
+    if touched:
+        path = f"deletes/v={new}-{uuid.uuid4().hex}"
+        deleted.withColumn("until", F.lit(new)).coalesce(1 + len(touched) // 8).write.mode("errorifexists").parquet(f"{root}/{path}")
+        deletes = [*deletes, {"path": path, "version": new, "buckets": touched}]
+        gone = _emptied(spark, root, manifest, deleted, set(touched))
+        listed["nodes"] = [p for p in listed["nodes"] if tuple(p.rsplit("/", 2)[1:]) not in gone]
+    return _commit(spark, root, new, manifest | {name: listed[name] + written[name] for name in _SCHEMAS} | {"deletes": deletes})
+
+
+def _emptied(spark: SparkSession, root: str, manifest: dict, deleted: DataFrame, touched: set[int]) -> set[tuple[str, str]]:
+    """Folders (bucket, tree) of which no signal is left, from the groups of the touched buckets."""
+    escape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    signals = _table(spark, root, "groups", manifest, touched).where(F.col("level") == "signal").select(*KEY)
+    left = signals.join(deleted.where(F.col("signal").isNotNull()).withColumn("gone", F.lit(1)), KEY, "left") \
+        .groupBy(bucket_column(manifest["buckets"]).alias("bucket"), "tree").agg(F.count_if(F.col("gone").isNull()).alias("n")).where("n = 0")
+    return {(f"bucket={r.bucket}", f"tree={escape(r.tree)}") for r in left.collect()}
+
+
+def fold_deletes(spark: SparkSession, root: str) -> int:
+    """Rewrite the folders that have deleted keys, and only those; the new version has none."""
+    version, manifest = _manifest(spark, root)
+    if not manifest["deletes"]:
+        return version
+    listed = {}
+    for name in _SCHEMAS:
+        hidden = [p for p in manifest[name] if _hidden_below(p, manifest["deletes"])]
+        rows = _table(spark, root, name, manifest | {name: hidden})
+        listed[name] = [p for p in manifest[name] if p not in set(hidden)] + (_write(root, name, version + 1, rows, manifest["buckets"]) if hidden else [])
+    return _commit(spark, root, version + 1, manifest | listed | {"deletes": []})
 
 
 def merge_into(root: str, sources: Store, n_sources: int, strategy: str = "skip") -> Merge:
     """Merge stacked sources into the store at ``root`` and commit the result.
 
-    ``skip`` and ``error`` only add, so existing folders stay as they are. The other
-    strategies rewrite the trees the sources name; all others are not even read.
+    Existing folders stay as they are: ``skip`` and ``error`` only add, the other strategies
+    add as well and delete the keys of the signals that they replace.
     """
     spark = sources.nodes.sparkSession
     merged = merge_stacked(read_store(spark, root), sources, n_sources, strategy)
-    if strategy in ("skip", "error"):
+    if merged.replaced is None:
         _append(merged.added, root)
     else:
-        named = sources.at_level("tree").select("tree").distinct()
-        replace_trees(merged.store, root, [row.tree for row in named.collect()], merged.added.groups)
+        again = merged.replaced.select(*KEY, F.lit("signal").alias("level"))
+        added = merged.added
+        commit_changes(root, merged.replaced, Store(added.nodes, added.groups.unionByName(conform(again, GROUPS)), added.attrs, added.paths))
     return merged
 
 
@@ -206,8 +331,9 @@ def _damage(store: Store) -> str | None:
 
 def rename_in(spark: SparkSession, root: str, old: str, new: str, level: str = "tree",
               shot: str | None = None, tree: str | None = None, dry_run: bool = False) -> Rename:
-    """Rename in the store at ``root`` and commit, rewriting the trees that changed."""
-    before = open_store(spark, root)
+    """Rename in the store at ``root`` and commit. With a shot named, only its bucket is read."""
+    shots = [old, new] if level == "shot" else [shot] if shot else None
+    before = open_store(spark, root, shots)
     result = rename(before, old, new, level, shot, tree, dry_run)
     if not dry_run:
         commit_rename(before, result, root, level)
@@ -232,7 +358,7 @@ def rename_file_in(spark: SparkSession, root: str, mapping: str, level: str = "t
 def convert_in(spark: SparkSession, root: str) -> int:
     """Commit the store at ``root`` with its float64 leaves as float32."""
     store = open_store(spark, root)
-    return write_store(Store(conform(to_float32(store.nodes), NODES), store.groups, store.attrs), root)
+    return write_store(Store(conform(to_float32(store.nodes), NODES), store.groups, store.attrs, store.paths), root)
 
 
 def scan_store(store: Store) -> DataFrame:
@@ -243,9 +369,25 @@ def scan_store(store: Store) -> DataFrame:
     ).orderBy(*KEY)
 
 
+def moves(before: Store, labels: DataFrame, level: str) -> tuple[DataFrame, Store]:
+    """What a rename changes: the keys that go, and the rows that come under their new names."""
+    on = [*SCOPES[level], level]
+    changed = cut_lineage(labels.where(~F.col("current").eqNullSafe(F.col("origin"))).select(
+        *SCOPES[level], F.col("origin").alias(level), F.col("current").alias("to")))
+    few = changed.select(level).distinct().limit(FEW + 1).collect()
+    if len(few) <= FEW:
+        names = [r[0] for r in few]
+        before = each_table(before, lambda rows: rows.where(F.col(level).isin(*names)))
+    moved = changed.where(F.col("to").isNotNull())
+
+    def renamed(rows: DataFrame) -> DataFrame:
+        return rows.join(moved, on).select(*[F.col("to").alias(c) if c == level else F.col(c) for c in rows.columns])
+
+    return before.groups.join(changed, on, "left_semi").select(*KEY), each_table(before, renamed)
+
+
 def commit_rename(before: Store, result: Rename, root: str, level: str) -> None:
     """Commit what a rename changed; a conflict or an unknown name makes no version."""
     if result.verdicts.where(F.col("verdict").isin(RENAMED, DEDUPLICATED)).isEmpty():
         return
-    trees = [row.tree for row in touched_trees(before, result, level).collect()]
-    replace_trees(result.store, root, trees)
+    commit_changes(root, *moves(before, result.labels, level))

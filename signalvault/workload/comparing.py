@@ -216,6 +216,85 @@ def store_replace(spark: SparkSession, sf: str) -> DataFrame:
         F.count(F.lit(1)).alias("n_nodes"), F.max(F.col("node").cast("bigint")).alias("last_id"))
 
 
+# -- stores on disk: digests, nested groups, changes in buckets ---------------------
+# Case user_id % 3 of the second store: 0 same, 1 within tolerance, 2 off by one in signal K0.
+
+
+@query("compare_stored", f"""WITH {t.EVENTS} SELECT shot, tree, count(*) FILTER (user_id % 3 = 2 AND signal = 'K0') AS n_differences,
+ count(*) FILTER (user_id % 3 = 2 AND signal = 'K0') = 0 AS is_equal FROM ev GROUP BY shot, tree""")
+def compare_stored(spark: SparkSession, sf: str) -> DataFrame:
+    """Two written stores are compared by the digests of their trees, then signals, then leaves."""
+    case = F.col("user_id") % 3
+    value = F.when(case == 1, F.col("value") * F.lit(1.0 + 1e-12)).when((case == 2) & (F.col("signal") == "K0"), F.col("value") + 1).otherwise(F.col("value"))
+    rows, stores = t.event_rows(spark, sf), []
+    for side in (rows, rows.withColumn("value", value)):
+        root = scratch_path(spark, "store")
+        st.write_store(t.as_store(side), root)
+        stores.append(st.read_store(spark, root))
+    return cmp.compare_stores(*stores, "tree")[0]
+
+
+@query("keys_nested", f"""WITH {t.EVENTS}, {t.NESTED} SELECT shot, tree, signal, 'e' AS parent, 'e/f' AS path, 'Only in first' AS side
+ FROM inner_groups WHERE path = 'e/f' AND k % 2 = 1""")
+def keys_nested(spark: SparkSession, sf: str) -> DataFrame:
+    """Groups below signals that one of two stores lacks, two levels down."""
+    rows = t.event_rows(spark, sf)
+    first, second = (t.as_nested_store(rows, bare) for bare in (F.lit(False), F.col("k") % 2 == 1))
+    return cmp.keys_only_in(first.paths, second.paths, ["shot", "tree", "signal", "parent", "path"])
+
+
+_NESTED_SQL = f"""{t.EVENTS}, {t.NESTED}, verdict AS (SELECT shot, bool_or(k % 2 = 1) AS odd, count(DISTINCT signal) FILTER (k % 2 = 1) AS n
+   FROM ev WHERE tree = 'click' GROUP BY shot),
+ rowsafter AS (SELECT shot, tree, signal, NULL AS path, event_id, FALSE AS copy FROM ev
+   UNION ALL SELECT shot, tree, signal, path, NULL, FALSE FROM inner_groups
+   UNION ALL SELECT shot, 'click2', signal, NULL, event_id, TRUE FROM ev WHERE tree = 'click'
+   UNION ALL SELECT shot, 'click2', signal, path, NULL, TRUE FROM inner_groups WHERE tree = 'click' AND NOT (path = 'e/f' AND k % 2 = 1))"""
+
+
+def _nested_store(spark: SparkSession, sf: str) -> Store:
+    """Trees ``click`` and an equal ``click2``, but that its signals of odd number lack an empty group two levels down."""
+    rows = t.event_rows(spark, sf)
+    rows = rows.unionByName(rows.where(F.col("tree") == "click").withColumn("tree", F.lit("click2")))
+    return t.as_nested_store(rows, (F.col("tree") == "click2") & (F.col("k") % 2 == 1))
+
+
+@query("compare_nested", f"""WITH {_NESTED_SQL} SELECT shot, CASE WHEN odd THEN 'conflict' ELSE 'deduplicated' END AS verdict,
+ n AS n_differences FROM verdict""")
+def compare_nested(spark: SparkSession, sf: str) -> DataFrame:
+    """A tree is not dropped for one that lacks an empty group two levels below a signal."""
+    return rn.rename(_nested_store(spark, sf), "click", "click2").verdicts.select("shot", "verdict", "n_differences")
+
+
+@query("rename_nested", f"""WITH {_NESTED_SQL} SELECT shot, tree, count(event_id) AS n_nodes, count(path) AS n_groups
+ FROM rowsafter LEFT JOIN verdict USING (shot) WHERE tree <> 'click' OR odd GROUP BY shot, tree""")
+def rename_nested(spark: SparkSession, sf: str) -> DataFrame:
+    """The same rename on a written store: groups below signals go with their tree."""
+    root = scratch_path(spark, "store")
+    st.write_store(_nested_store(spark, sf), root)
+    st.rename_in(spark, root, "click", "click2")
+    after = st.read_store(spark, root)
+    nodes = after.nodes.groupBy("shot", "tree").agg(F.count(F.lit(1)).alias("n_nodes"))
+    return nodes.join(after.paths.groupBy("shot", "tree").agg(F.count(F.lit(1)).alias("n_groups")), ["shot", "tree"])
+
+
+@query("store_changes", f"""WITH {t.EVENTS}, {t.HOLDERS},
+ kept AS (SELECT shot, tree, signal, CASE WHEN n_src > 0 THEN last_src ELSE 0 END AS src FROM hold)
+ SELECT CASE shot WHEN '5' THEN 'five' ELSE shot END AS shot, CASE tree WHEN 'click' THEN 'tap' ELSE tree END AS tree,
+  CASE WHEN shot = '3' AND tree = 'view' AND signal = 'K1' THEN 'first' ELSE signal END AS signal, n_nodes, last_id
+ FROM occ JOIN kept USING (shot, tree, signal, src)""")
+def store_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """Merges and renames that delete keys and add rows, one of the buckets folded in between; no tree is rewritten."""
+    root = scratch_path(spark, "store")
+    target, sources = t.target_and_stack(t.event_rows(spark, sf))
+    st.write_store(target, root)
+    st.merge_into(root, sources, 2, "overwrite")
+    st.rename_in(spark, root, "5", "five", level="shot")
+    st.fold_deletes(spark, root)
+    st.rename_in(spark, root, "click", "tap")
+    st.rename_in(spark, root, "K1", "first", level="signal", shot="3", tree="view")
+    return t.summary(st.read_store(spark, root).nodes)
+
+
 @query("scope_filter", f"""WITH {_TREE_SQL} SELECT * FROM (SELECT shot, verdict FROM verdict WHERE shot = '3')
  UNION ALL SELECT 'no shot', 'not_found'""")
 def scope_filter(spark: SparkSession, sf: str) -> DataFrame:

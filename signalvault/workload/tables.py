@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalvault.model import ATTRS, NODES, Store, conform, empty, with_ancestors
+from signalvault.model import ATTRS, KEY, NODES, Store, conform, empty, nested_paths, with_ancestors
 from signalvault.functions.ordinals import dense_ordinal
 from signalvault.plans.acquisition import shots_range
 from signalvault.session import cut_lineage
@@ -183,6 +183,25 @@ def as_stack(rows: DataFrame) -> Store:
                  empty(rows.sparkSession, ATTRS + ", src int"))
 
 
+def as_nested_store(rows: DataFrame, bare: Column) -> Store:
+    """Leaf rows, two groups below their signals, as a store; each signal has an empty group ``e/f`` besides, but only
+    ``e`` where ``bare`` holds."""
+    store = as_store(rows)
+    leaves = as_nodes(rows).withColumn("node", F.concat(inner_of("node"), F.lit("/"), "node"))
+    hollow = rows.select(*KEY, F.when(bare, "e").otherwise("e/f").alias("of")).distinct()
+    groups = rows.select(*KEY, inner_of("event_id").alias("of")).distinct().unionByName(hollow)
+    return Store(leaves, store.groups, store.attrs, cut_lineage(nested_paths(groups, "of")))
+
+
+def inner_of(node: str) -> Column:
+    """The groups that the leaf of an event lies in."""
+    event = F.col(node).cast("bigint")
+    return F.concat(F.lit("g"), (event % 3).cast("string"), F.lit("/h"), (event % 2).cast("string"))
+
+
+NESTED = """inner_groups AS (SELECT DISTINCT shot, tree, signal, user_id, k, unnest(['g' || (event_id % 3), 'g' || (event_id % 3) || '/h' || (event_id % 2), 'e', 'e/f']) AS path FROM ev)"""
+
+
 def event_stores(spark: SparkSession, sf: str) -> list[Store]:
     """Target and two sources, each on its own."""
     rows = event_rows(spark, sf)
