@@ -49,7 +49,7 @@ FEW = 32
 
 
 def bucket_column(buckets: int) -> Column:
-    return (F.crc32(F.col("shot").cast("binary")) % buckets).cast("int")
+    return (F.crc32(F.coalesce("shot", F.lit("")).cast("binary")) % buckets).cast("int")
 
 
 def bucket_of(shot: str, buckets: int) -> int:
