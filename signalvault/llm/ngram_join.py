@@ -39,6 +39,10 @@ from signalvault.session import cut_lineage
 GROUP_BYTES = 8 << 20
 """Text bytes whose shingles meet in one group of the counting step."""
 BLOCK_SHINGLES = 1 << 19
+BLOCK_ROWS = 1 << 16
+"""Texts of a block at most, so that two bytes tell them apart."""
+TASK_ROWS = 1 << 40
+"""More rows than a task reads: row r of task t is number TASK_ROWS * t + r."""
 HOT_SHARE = 1 / 64
 """Share of the sampled sets above which a shingle goes last uncounted."""
 SAMPLE_ROWS = 4096
@@ -46,7 +50,7 @@ HOT = 255
 
 _SENT = "pid long, block long, meta boolean, ids binary, a binary, b binary, c binary"
 _REPLY = "block long, meta boolean, ids binary, a binary, b binary, c binary"
-_SETS = "block long, place long, doc_id long, n long, d1 long, d2 long, hits long, keys binary, codes binary"
+_SETS = "task long, place long, doc_id long, n long, d1 long, d2 long, hits long, keys binary, codes binary"
 
 
 def _text_sets(batch: pa.RecordBatch, width: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -80,11 +84,11 @@ def _send(width: int, parts: int, hot: np.ndarray) -> Callable:
     bits = parts.bit_length() - 1
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, held, ids, sizes, total = 0, [], [], [], 0
+        count, held, ids, sizes, total, start, rows = 0, [], [], [], 0, 0, 0
 
         def block() -> pa.RecordBatch:
             number = block_number(count)
-            value, doc = np.concatenate(held), np.repeat(np.arange(sum(map(len, ids)), dtype=np.uint32), np.concatenate(sizes))
+            value, doc = np.concatenate(held), np.repeat(np.arange(sum(map(len, ids))).astype(np.uint16), np.concatenate(sizes))
             bounds = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
             digests = (_sum(mix(value, 2), bounds), _sum(mix(value, 3), bounds))
             common = np.zeros(len(value), bool)
@@ -92,7 +96,7 @@ def _send(width: int, parts: int, hot: np.ndarray) -> Callable:
                 common = hot[np.minimum(np.searchsorted(hot, value), len(hot) - 1)] == value
             there = np.concatenate([x.is_valid().to_numpy(zero_copy_only=False) for x in ids])
             named = np.concatenate([x.fill_null(0).to_numpy() for x in ids])
-            out = [(block_group(number, parts), number, True, named.tobytes() + there.tobytes(), np.diff(bounds).astype(np.uint32).tobytes(),
+            out = [(block_group(number, parts), number, True, named.tobytes() + there.tobytes() + np.int64(start).tobytes(), np.diff(bounds).astype(np.uint32).tobytes(),
                     digests[0].tobytes() + digests[1].tobytes(), doc[common].tobytes() + value[common].tobytes())]
             value, doc = value[~common], doc[~common]
             order = np.argsort(value)
@@ -109,11 +113,11 @@ def _send(width: int, parts: int, hot: np.ndarray) -> Callable:
 
         for part in slices(batches):
             doc, value, bounds = _text_sets(part, width)
-            held.append(value), ids.append(doc), sizes.append(np.diff(bounds))
-            total += len(value)
-            if total >= BLOCK_SHINGLES:
+            if ids and (total >= BLOCK_SHINGLES or rows + len(doc) > BLOCK_ROWS):
                 yield block()
-                count, held, ids, sizes, total = count + 1, [], [], [], 0
+                count, held, ids, sizes, total, start, rows = count + 1, [], [], [], 0, start + rows, 0
+            held.append(value), ids.append(doc), sizes.append(np.diff(bounds))
+            total, rows = total + len(value), rows + len(doc)
         if ids:
             yield block()
 
@@ -121,8 +125,8 @@ def _send(width: int, parts: int, hot: np.ndarray) -> Callable:
 
 
 def list_lengths(documents: DataFrame, width: int, bound: Fraction) -> DataFrame:
-    """Per row of ``documents``: block and place in it (together its key), n, set digest, and for sets that may have a
-    partner the shared shingles in list order."""
+    """Per row of ``documents``: the task that reads it and its place there (together its key), n, set digest, and for
+    sets that may have a partner the shared shingles in list order."""
     rows, size = text_bytes(documents)
     parts = max(8, power_of_two(size / GROUP_BYTES))
     bits = parts.bit_length() - 1
@@ -152,7 +156,7 @@ def list_lengths(documents: DataFrame, width: int, bound: Fraction) -> DataFrame
                 if len(shared):
                     low = key[start:start + n][shared]
                     full = (np.uint64(pid) << np.uint64(64 - bits)) | (low << np.uint64(16 - bits) if bits <= 16 else low >> np.uint64(bits - 16))
-                    out.append((r["block"], False, np.frombuffer(r["ids"], np.uint32)[shared].tobytes(), full.tobytes(),
+                    out.append((r["block"], False, np.frombuffer(r["ids"], np.uint16)[shared].tobytes(), full.tobytes(),
                                 mine[shared].tobytes(), None))
                 start += n
         return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(
@@ -165,14 +169,15 @@ def list_lengths(documents: DataFrame, width: int, bound: Fraction) -> DataFrame
         meta = next(r for r in rows if r["meta"])
         n = np.frombuffer(meta["a"], np.uint32).astype(np.int64)
         ids, named = np.frombuffer(meta["ids"], np.int64, len(n)), np.frombuffer(meta["ids"], bool, len(n), 8 * len(n))
+        start = int(np.frombuffer(meta["ids"][9 * len(n):], np.int64)[0])
         digest = np.frombuffer(meta["b"], np.int64).reshape(2, -1)
-        there = len(meta["c"]) // 12
-        doc = [np.frombuffer(meta["c"], np.uint32, there)]
+        there = len(meta["c"]) // 10
+        doc = [np.frombuffer(meta["c"], np.uint16, there)]
         mask = np.uint64((2**64 - 1) ^ (2 ** (16 - bits) - 1)) if bits < 16 else np.uint64(2**64 - 1)
-        key, code = [np.frombuffer(meta["c"], np.uint64, there, 4 * there) & mask if there else np.zeros(0, np.uint64)], [np.full(there, HOT, np.uint8)]
+        key, code = [np.frombuffer(meta["c"][2 * there:], np.uint64) & mask if there else np.zeros(0, np.uint64)], [np.full(there, HOT, np.uint8)]
         for r in rows:
             if not r["meta"]:
-                doc.append(np.frombuffer(r["ids"], np.uint32)), key.append(np.frombuffer(r["a"], np.uint64)), code.append(np.frombuffer(r["b"], np.uint8))
+                doc.append(np.frombuffer(r["ids"], np.uint16)), key.append(np.frombuffer(r["a"], np.uint64)), code.append(np.frombuffer(r["b"], np.uint8))
         doc, key, code = np.concatenate(doc), np.concatenate(key), np.concatenate(code)
         hits = np.bincount(doc, minlength=len(ids))
         need = -(-n * bound.numerator // bound.denominator)
@@ -183,10 +188,10 @@ def list_lengths(documents: DataFrame, width: int, bound: Fraction) -> DataFrame
         doc, key, code = doc[order], key[order], code[order]
         cut = np.searchsorted(doc, np.arange(len(ids) + 1)).tolist()
         return pa.Table.from_arrays([
-            pa.array(np.full(len(ids), meta["block"], np.int64)), pa.array(np.arange(len(ids))), pa.array(ids, mask=~named), pa.array(n), pa.array(digest[0]), pa.array(digest[1]), pa.array(hits),
+            pa.array(np.full(len(ids), meta["block"] >> 32, np.int64)), pa.array(start + np.arange(len(ids))), pa.array(ids, mask=~named), pa.array(n), pa.array(digest[0]), pa.array(digest[1]), pa.array(hits),
             pa.array([key[a:b].tobytes() if ok else None for a, b, ok in zip(cut, cut[1:], alive)], pa.binary()),
             pa.array([code[a:b].tobytes() if ok else None for a, b, ok in zip(cut, cut[1:], alive)], pa.binary())],
-            ["block", "place", "doc_id", "n", "d1", "d2", "hits", "keys", "codes"])
+            ["task", "place", "doc_id", "n", "d1", "d2", "hits", "keys", "codes"])
 
     given = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     replies = given.mapInArrow(_send(width, parts, hot), _SENT).groupBy("pid").applyInArrow(measure, _REPLY)
@@ -314,22 +319,20 @@ def _search_families(rest: DataFrame, sets: DataFrame, bound: Fraction) -> DataF
     return cut_lineage(dealt.join(sets, "rep").groupBy("family", "i", "j").applyInArrow(search, "a long, b long"))
 
 
-def ngram_classes(documents: DataFrame, width: int = 4, bound: tuple[int, int] = (85, 100)) -> DataFrame:
-    """One row per row of ``documents``: doc_id, n_shingles, component_id.
+def row_classes(documents: DataFrame, width: int = 4, bound: tuple[int, int] = (85, 100)) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``documents`` with the number of their class, and the classes of sets.
 
-    ``component_id`` is the smallest doc_id reachable by links, the document's own included. Words are
-    ``[^\\x20\\x09-\\x0D]+`` with A-Z lowered. A text with fewer than ``width`` words has one shingle of all its words;
-    null, empty or wordless text has none and links with nothing. Repeated rows are copies of each other, a null
-    doc_id keeps its row (component null unless linked). ``documents`` is read more than once and must give the same rows in the same order, as files do.
+    The first has task and place (of the row, in the order in which Spark reads ``documents``), doc_id, n, linked (may
+    it share its class with others?) and class; the second has class and ``least``, the smallest doc_id of a set.
     """
     limit = Fraction(*bound)
     top, bottom = limit.numerator, limit.denominator
     table = cut_lineage(list_lengths(documents, width, limit))
-    alive = table.where("keys is not null and doc_id is not null")
-    reps = cut_lineage(alive.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.min(F.struct("block", "place")).alias("row"),
-                                                            F.count(F.lit(1)).alias("copies"))
-                       .select("d1", "d2", "n", "rep", "row.block", "row.place", "copies"))
-    sets = cut_lineage(alive.select("block", "place", "keys").join(reps, ["block", "place"]).select("rep", "n", "keys"))
+    number = (F.col("task") * TASK_ROWS + F.col("place"))
+    alive = table.where("keys is not null")
+    reps = cut_lineage(alive.groupBy("d1", "d2", "n").agg(F.min(F.struct("task", "place")).alias("row"), F.min("doc_id").alias("least"))
+                       .select("d1", "d2", "n", "row.task", "row.place", "least").withColumn("rep", number))
+    sets = cut_lineage(alive.select("task", "place", "keys").join(reps, ["task", "place"]).select("rep", "n", "keys"))
     lists = cut_lineage(_postings(sets, limit))
     # a list holds partners of like size only; the first of each list and size band leads it
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(bottom / top))) if top < bottom else F.col("n")
@@ -346,9 +349,54 @@ def ngram_classes(documents: DataFrame, width: int = 4, bound: tuple[int, int] =
     more = _search_families(rest, sets, limit)
     final = components(links.union(more)) if more.limit(1).count() else first
     classes = cut_lineage(reps.join(final, reps.rep == final.node, "left")
-                          .select("d1", "d2", "n", F.coalesce("component", "rep").alias("component_id")))
+                          .select("d1", "d2", "n", "least", F.coalesce("component", "rep").alias("class")))
     # rows without a possible partner need no join
-    joined = alive.select("doc_id", "n", "d1", "d2").join(classes, ["d1", "d2", "n"]) \
-        .select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    alone = table.where("keys is null or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return joined.union(alone)
+    row = ["task", "place", "doc_id", "n"]
+    joined = alive.select(*row, "d1", "d2").join(classes.drop("least"), ["d1", "d2", "n"]).select(*row, F.lit(True).alias("linked"), "class")
+    alone = table.where("keys is null").select(*row, F.lit(False).alias("linked"), number.alias("class"))
+    return joined.union(alone), classes.groupBy("class").agg(F.min("least").alias("least"))
+
+
+def ngram_classes(documents: DataFrame, width: int = 4, bound: tuple[int, int] = (85, 100)) -> DataFrame:
+    """One row per row of ``documents``: doc_id, n_shingles, component_id.
+
+    ``component_id`` is the smallest doc_id reachable by links, the document's own included. Words are
+    ``[^\\x20\\x09-\\x0D]+`` with A-Z lowered. A text with fewer than ``width`` words has one shingle of all its words;
+    null, empty or wordless text has none and links with nothing. Repeated rows are copies of each other; a row without
+    doc_id links like any other, its component is null where no row of it has one. A long text is one set, however
+    long. An empty table gives no rows. ``documents`` is read more than once and must give the same rows in the same
+    order, as files do.
+    """
+    rows, classes = row_classes(documents, width, bound)
+    return rows.join(classes, "class", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("linked"), F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+BITMAP_ROWS = 32768
+
+
+def first_of_classes(documents: DataFrame, width: int = 5, bound: tuple[int, int] = (80, 100)) -> DataFrame:
+    """``documents`` without the rows that are copies: of each class the row of the least doc_id stays, rows without one
+    behind all others, the first one read of equal ones.
+
+    Decisions are taken per row, so different texts that share a doc_id do not take each other along. They go back to
+    the rows as bitmaps, one for 32,768 rows of a task that has something to drop, and no text is shuffled unless even
+    these are too large to broadcast. Columns stay as they are.
+    """
+    rows, _ = row_classes(documents, width, bound)
+    joined = cut_lineage(rows.where("linked").select("class", "task", "place", "doc_id"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "task", "place")
+    first = joined.groupBy("class").agg(F.min(order).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select("class", "f.task", "f.place")
+    gone = joined.join(first.select("class", F.col("task").alias("t"), F.col("place").alias("p")), "class").where("task <> t or place <> p")
+    chunk, bit = F.floor(F.col("place") / BITMAP_ROWS), F.col("place") % BITMAP_ROWS
+    bitmaps = cut_lineage(gone.groupBy("task", chunk.alias("chunk")).agg(F.bitmap_construct_agg(bit).alias("bits")))
+    at = F.monotonically_increasing_id()  # the task's number above 33 bits of the row's place in it
+    place = at.bitwiseAND((1 << 33) - 1)
+    spare = [c for c in ("_task", "_place", "_task_", "_place_") if c not in [x.lower() for x in documents.columns]][:2]
+    numbered = documents.withColumn(spare[0], F.shiftright(at, 33).cast("long")).withColumn(spare[1], place)
+    marked = numbered.join(bitmaps.select(F.col("task").alias("b_task"), F.col("chunk").alias("b_chunk"), F.col("bits").alias("b_bits")),
+                           (F.col(spare[0]) == F.col("b_task")) & (F.floor(F.col(spare[1]) / BITMAP_ROWS) == F.col("b_chunk")), "left")
+    inside = F.col(spare[1]) % BITMAP_ROWS
+    byte = F.conv(F.hex(F.substring("b_bits", F.floor(inside / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    dropped = F.coalesce(F.getbit(byte, (inside % 8).cast("int")) == 1, F.lit(False))
+    return marked.where(~dropped).select(*documents.columns)
