@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from signalvault.llm.common import free_name, ship
 from signalvault.llm.mixing import mixed
-from signalvault.llm.ngram_join import ngram_classes
+from signalvault.llm.ngram_join import first_of_classes
 from signalvault.llm.secret_scan import scan_secrets
 from signalvault.llm.sentencepiece_bpe import encode_documents
 from signalvault.llm.toxicity import fit, score_toxicity
@@ -33,16 +33,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a Jaccard similarity of 0.8 or more on five-word shingles, the one of the least doc_id
-    stays. Rows that share a doc_id are one document; rows without one stay."""
+    """Of rows linked by a Jaccard similarity of 0.8 or more on five-word shingles, the one of the least doc_id stays.
+
+    Rows are judged one by one: different texts that share a doc_id all stay, copies go even where they have none.
+    Null, empty and wordless texts are nobody's copies. No rows give no rows.
+    """
     ship(spark)
-    classes = cut_lineage(ngram_classes(docs, width=5, bound=(80, 100)))
-    kept = docs.join(classes.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
-    repeated = cut_lineage(classes.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"))
-    if not repeated.limit(1).count():
-        return kept
-    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).union(once)
+    return first_of_classes(docs, width=5, bound=(80, 100))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
