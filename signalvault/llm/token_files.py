@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -51,7 +52,8 @@ def byte_units(text: str, odd: bool = True) -> list[str]:
 
 
 class ByteEncoder:
-    """The tokenizers library behind a cache of units. Strings of special tokens in a text are ordinary text."""
+    """The tokenizers library behind a cache of units. A text that holds an added token's string is one unit, so that
+    the library finds the token as in any text; all others are split, and no token is looked for."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -62,6 +64,7 @@ class ByteEncoder:
         size = self.library.get_vocab_size()
         # a byte is one character of a byte-level piece
         self.width = np.array([len(self.library.id_to_token(i) or "") for i in range(size)])
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.cache = UnitCache(self._encode)
 
     @classmethod
@@ -95,13 +98,35 @@ class ByteEncoder:
         """Ids of all texts one after another, and how many each has."""
         data, offsets = flat(column)
         odd = np.diff(np.concatenate([[0], np.cumsum(_ODD[data])])[offsets]) > 0
+        marked = np.zeros(len(column), bool)
+        for content in self.added:
+            marked |= pc.match_substring(column, content).to_numpy(zero_copy_only=False)
         units: list[str] = []
         ends = [0]
-        for text, strange in zip(column.to_pylist(), odd.tolist()):
-            units += byte_units(text, strange)
+        for text, strange, whole in zip(column.to_pylist(), odd.tolist(), marked.tolist()):
+            if not whole:
+                units += byte_units(text, strange)
             ends.append(len(units))
         ids, lengths = self.cache.ids(units)
-        return ids, np.diff(np.concatenate([[0], np.cumsum(lengths)])[ends])
+        counts = np.diff(np.concatenate([[0], np.cumsum(lengths)])[ends])
+        return self._with_added(column, marked, ids, counts) if marked.any() else (ids, counts)
+
+    def _with_added(self, column: pa.Array, marked: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Puts the ids of the ``marked`` texts, encoded whole, between those of the others."""
+        rows = np.flatnonzero(marked)
+        self.library.encode_special_tokens = False
+        try:
+            own = [np.array(self.library.encode(column[int(i)].as_py(), add_special_tokens=False).ids, np.uint32) for i in rows]
+        finally:
+            self.library.encode_special_tokens = True
+        before = np.concatenate([[0], np.cumsum(counts)])[rows]
+        pieces, at = [], 0
+        for i, mine in zip(before.tolist(), own):
+            pieces += [ids[at:i], mine]
+            at = i
+        counts = counts.copy()
+        counts[rows] = [len(x) for x in own]
+        return np.concatenate([*pieces, ids[at:]]).astype(np.uint32), counts
 
 
 def write_tokens(documents: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
