@@ -4,9 +4,9 @@ The suffixes of all texts, cut at the window of ``length`` words, form a tree wh
 windows that start in more than one place. No task could hold the tree, so suffixes are split by their prefix into
 subtrees of bounded size: the prefix is PREFIX words long, and the whole window for prefixes so frequent that their
 subtree would outgrow a task (found in a bounded sample; any choice of them gives the same result). A suffix is
-sent as its path in the subtree, two edge labels of 32 bits (the hashes of the first and the last words of the
-window), and its place; sorting the paths lays out the subtree, and paths that two suffixes share are its deep
-inner nodes. Path and subtree together are 64 + log2(subtrees) hash bits, which grow with the data.
+sent as its path in the subtree, a hash of 64 bits of all words of the window, and its place; sorting the paths lays
+out the subtree, and paths that two suffixes share are its deep inner nodes. Windows that begin alike are told apart
+by all 64 bits, others by log2(subtrees) more, which grow with the data.
 
 Texts are worked on in blocks of about BLOCK_WORDS words. A window that a block has several times is sent once, so
 a passage in a third of all documents makes one path a block, and the block itself marks all its places.
@@ -71,10 +71,7 @@ def _windows(words: Words, length: int, prefix: int) -> tuple[np.ndarray, np.nda
     h, row = words.hashes(), words.row
     count = max(0, len(h) - length + 1)
     start = np.flatnonzero(row[:count] == row[length - 1:]) if count else np.zeros(0, np.int64)
-    split = max(1, length * 4 // 7)
-    upper, lower = range_hash(h, start, start + split), range_hash(h, start + split, start + length)
-    path = (upper & np.uint64(0xFFFFFFFF00000000)) | (lower >> np.uint64(32))
-    return start, range_hash(h, start, start + min(prefix, length)), path
+    return start, range_hash(h, start, start + min(prefix, length)), range_hash(h, start, start + length)
 
 
 def frequent_prefixes(documents: DataFrame, length: int, rows: int, sample_rows: int = SAMPLE_ROWS) -> np.ndarray:
