@@ -19,33 +19,33 @@ class _Nfa:
         self.free.append([])
         return len(self.step) - 1
 
-    def add(self, items, start: int, fold: bool = False) -> int:
-        """Adds a parsed pattern after ``start``; returns its last state."""
-        for kind, value in items:
+    def add(self, items, start: int, fold: bool = False, back: bool = False) -> int:
+        """Adds a parsed pattern, read from its end with ``back``, after ``start``; returns its last state."""
+        for kind, value in list(items)[::-1] if back else items:
             if kind in (op.LITERAL, op.IN, op.ANY, op.NOT_LITERAL):
                 end = self.state()
                 self.step[start].append((_bytes(kind, value, fold), end))
             elif kind is op.BRANCH:
                 end = self.state()
                 for branch in value[1]:
-                    self.free[self.add(branch, start, fold)].append(end)
+                    self.free[self.add(branch, start, fold, back)].append(end)
             elif kind is op.SUBPATTERN:
-                end = self.add(value[3], start, fold or bool(value[1] & re.IGNORECASE))
+                end = self.add(value[3], start, fold or bool(value[1] & re.IGNORECASE), back)
             elif kind in (op.MAX_REPEAT, op.MIN_REPEAT):
                 least, most, body = value
                 end = start
                 for _ in range(least):
-                    end = self.add(body, end, fold)
+                    end = self.add(body, end, fold, back)
                 if most is op.MAXREPEAT:
                     loop = self.state()
                     self.free[end].append(loop)
-                    self.free[self.add(body, loop, fold)].append(loop)
+                    self.free[self.add(body, loop, fold, back)].append(loop)
                     end = loop
                 else:
                     out = self.state()
                     self.free[end].append(out)
                     for _ in range(most - least):
-                        end = self.add(body, end, fold)
+                        end = self.add(body, end, fold, back)
                         self.free[end].append(out)
                     end = out
             else:
@@ -94,17 +94,18 @@ class Automaton:
     """``table[state, byte class]`` -> state, ``accepts[state]`` -> bits of the patterns that end there.
 
     State 0 is the start. A searching automaton begins a match at every byte; an anchored one only at its first
-    byte, and its state ``dead`` is left no more (-1 for a searching one).
+    byte, and its state ``dead`` is left no more (-1 for a searching one). With ``back`` it reads text from its end:
+    a searching one then accepts at the bytes where matches start.
     """
 
-    def __init__(self, patterns: list[str], search: bool) -> None:
+    def __init__(self, patterns: list[str], search: bool, back: bool = False) -> None:
         nfa = _Nfa()
         start = nfa.state()
         ends = {}
         for i, pattern in enumerate(patterns):
             first = nfa.state()
             nfa.free[start].append(first)
-            ends.setdefault(nfa.add(parser.parse(pattern), first), i)
+            ends.setdefault(nfa.add(parser.parse(pattern), first, back=back), i)
         sets = {s for edges in nfa.step for s, _ in edges}
         signature = [tuple(b in s for s in sets) for b in range(256)]
         number = {s: i for i, s in enumerate(dict.fromkeys(signature))}

@@ -3,12 +3,14 @@
 Every rule is compiled, by subset construction and minimisation, into one searching automaton over bytes; one pass
 over the bytes finds where a rule may match. The pass runs in lanes: bytes that lead every state back to the start
 (line ends, commas and the like) cut a slice of texts into stretches that are scanned side by side, one array step
-a byte. Stretches that some rule fires in, which are few, are resolved to exact spans with the rules' anchored
-automata: leftmost, longest, not overlapping per rule.
+a byte. Stretches that some rule fires in, which are few, are resolved to exact spans, leftmost, longest and not
+overlapping per rule: the rule's automaton for reversed text marks the bytes where matches start, and the anchored one
+runs forward from the first mark behind the last match. Both passes are linear in the stretch, whatever it holds.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -60,7 +62,13 @@ RULES = BASE + ADDED
 
 
 class Scanner:
-    """The compiled rules; built once a task."""
+    """The compiled rules."""
+
+    @classmethod
+    @functools.cache
+    def of(cls, rules: tuple[Rule, ...]) -> Scanner:
+        """One a worker process: later tasks find it compiled."""
+        return cls(rules)
 
     def __init__(self, rules: tuple[Rule, ...] = RULES) -> None:
         self.rules = rules
@@ -69,7 +77,8 @@ class Scanner:
         self.exact = []
         for r in rules:
             whole, lead = Automaton([r.pattern()], search=False), Automaton([r.lead], search=False) if r.lead else None
-            self.exact.append((whole.lists(), whole.dead, lead and lead.lists(), lead and lead.dead))
+            marks = Automaton([r.pattern()], search=True, back=True)
+            self.exact.append((marks.lists(), whole.lists(), whole.dead, lead and lead.lists(), lead and lead.dead))
 
     def fired(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(row, start, end, rule bits) of the stretches of a slice in which rules fire."""
@@ -107,26 +116,37 @@ class Scanner:
         return sorted(zip(row.tolist(), starts[lanes].tolist(), (starts + lengths)[lanes].tolist(), bits[lanes].tolist()))
 
     def resolve(self, data: bytes, rule: int) -> list[tuple[int, int]]:
-        """Matches of one rule in a stretch that no match crosses."""
-        (rows, accepts, _), dead, lead, lead_dead = self.exact[rule]
-        least = self.rules[rule].least
-        out, start, n, first = [], 0, len(data), rows[0]
-        while start < n:
-            s = first[data[start]]
-            if s == dead:
-                start += 1
-                continue
-            end, i = (start + 1 if accepts[s] else 0), start + 1
+        """Matches of one rule in a stretch that no match crosses.
+
+        A run starts only where a match does, so it reads its match and what follows it until no longer match is
+        possible. States met there are noted with their place, and a later run that meets one ends: no state is
+        passed twice at one place.
+        """
+        (back, marks, _), (rows, accepts, _), dead, lead, lead_dead = self.exact[rule]
+        least, n, s = self.rules[rule].least, len(data), 0
+        begins = bytearray(n)
+        for i in range(n - 1, -1, -1):
+            s = back[s][data[i]]
+            if marks[s]:
+                begins[i] = 1
+        out, barren = [], set()
+        start = begins.find(1)
+        while start >= 0:
+            s, i, end, beyond = 0, start, start, []
             while i < n:
                 s = rows[s][data[i]]
+                i += 1
                 if s == dead:
                     break
-                i += 1
                 if accepts[s]:
                     end = i
-            if not end:
-                start += 1
-                continue
+                    if beyond:
+                        beyond = []
+                elif end > start:
+                    if (s, i) in barren:
+                        break
+                    beyond.append((s, i))
+            barren.update(beyond)
             body = start
             if lead:
                 s, i = 0, start
@@ -137,7 +157,7 @@ class Scanner:
                         body = i
             if end - body >= least:
                 out.append((start, end))
-            start = end
+            start = begins.find(1, end)
         return out
 
     def spans(self, data: np.ndarray, offsets: np.ndarray) -> dict[int, list[tuple[int, int, int]]]:
@@ -164,8 +184,9 @@ def scan_secrets(documents: DataFrame, rules: tuple[Rule, ...] = RULES, text: st
     """All columns of ``documents`` and ``name`` (in place of one of that name): (kind, start, end) in code points, by
     start, then rule order.
 
-    A null text holds no secrets and stays null. With ``mask`` the spans are replaced in the text by ``[kind]``
-    (of the first of overlapping spans) and no column is added.
+    A null text holds no secrets and stays null; an empty one holds none. Texts of any length are scanned whole, in time
+    linear in them. Repeated rows are scanned each by itself, an empty table gives an empty one. With ``mask`` the spans
+    are replaced in the text by ``[kind]`` (of the first of overlapping spans) and no column is added.
     """
     if mask:
         schema = documents.schema
@@ -174,7 +195,7 @@ def scan_secrets(documents: DataFrame, rules: tuple[Rule, ...] = RULES, text: st
     entry = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(rules)
+        scanner = Scanner.of(rules)
         for part in slices(batches, text):
             spans = scanner.spans(*flat(text_column(part.column(text))))
             if not mask:

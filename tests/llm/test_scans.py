@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -13,7 +14,7 @@ from signalvault.llm import media_chunks, toxicity
 from signalvault.llm.automaton import Automaton
 from signalvault.llm.common import Words, flat
 from signalvault.llm.media_chunks import cuts, gear, media_columns, payload_of
-from signalvault.llm.secret_scan import RULES, Scanner, masked, scan_secrets
+from signalvault.llm.secret_scan import RULES, Rule, Scanner, masked, scan_secrets
 from signalvault.llm.toxicity import ToxicityModel, fit, maximal_segments, score_toxicity
 
 PARTS = ["password", "PassWd", "secret", "token", "api_key", "APIKEY", ":", "=", " ", '"', "'", "AKIA", "A", "Z9", "deadbeef", "0123", "abcdef", "xyz",
@@ -37,6 +38,40 @@ def test_spans():
     assert [got.get(i, []) for i in range(len(texts))] == [plain_spans(t) for t in texts]
 
 
+def test_resolving_is_linear():
+    """Texts where a search from every byte would read on to the end each time."""
+    jwt = "eyJa.eyJb." + "x" * 16 + "." + "eyJ" * 300_000
+    spaces = "token=abcdefghijkl " + "password" * 40_000 + " " * 300_000
+    keys = "-----BEGIN PRIVATE KEY-----" + "-----BEGIN " + "A " * 300_000
+    scanner = Scanner.of(RULES)
+    began = time.process_time()
+    found = scanner.spans(*flat(pa.array([jwt, spaces, keys])))
+    assert time.process_time() - began < 6
+    assert found == {0: [(0, 26, 5)], 1: [(0, 18, 0)], 2: [(0, 27 + 5, 6)]}
+
+
+def test_resolving_is_linear_where_runs_pass_their_match():
+    """After ``k=a`` each run looks for a semicolon up to the end of the stretch."""
+    rule = Rule("x", "k=(?:[^,]*;)?", "", "[a-z]", 1)
+    scanner = Scanner((rule,))
+    text = "k=a-" * 100_000
+    began = time.process_time()
+    got = scanner.resolve(text.encode(), 0)
+    assert time.process_time() - began < 6
+    assert got == [(i, i + 3) for i in range(0, len(text), 4)]
+    assert scanner.resolve(b"k=a-k=b;c-k=d", 0) == [(0, 9), (10, 13)]
+
+
+def test_reversed_automaton_marks_starts():
+    marks = Automaton(["a(?:bc|d)*e+"], search=True, back=True)
+    text, s, at = b"abcdee-ae-abe", 0, []
+    for i in range(len(text) - 1, -1, -1):
+        s = int(marks.table[s, marks.classes[text[i]]])
+        if marks.accepts[s]:
+            at.append(i)
+    assert at == [7, 0]
+
+
 def test_automaton_is_minimal():
     assert len(Automaton(["a{3}", "b"], search=False).table) == 6  # four counts, one b end, the dead state
     assert len(Automaton(["(?:ab|ac)d", "(?:ab|ac)d"], search=False).table) == 5
