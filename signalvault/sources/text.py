@@ -56,21 +56,29 @@ def numbered_lines(texts: DataFrame, *by: str, any_end: bool = False) -> DataFra
     )
 
 
+def read_splits(spark: SparkSession, path: str) -> DataFrame:
+    """A text file of any size as (source, block, id, line): ``block`` is the first byte of
+    the split that a line was read with, ``id`` rises with the lines of a split. A carriage
+    return before a line feed belongs to it, a byte order mark is dropped. The splits are
+    written down, because they may be cut differently when planned again.
+    """
+    return cut_lineage(spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("source"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("id"),
+        without_end(F.col("value"), "\r").alias("line")))
+
+
 def read_lines(spark: SparkSession, path: str, any_end: bool = False) -> DataFrame:
     """A text file of any size as (source, n, line), the same way for every size.
 
     Lines end at a line feed, and a carriage return before it belongs to it. A lone one
-    is text, as in shot lists, or ends a line too (``any_end``), as in mappings. A byte
-    order mark is dropped. Each split of a file numbers its own lines, and the line
-    counts of the earlier splits (one small row per split) shift them. The splits
-    are written down, because they may be cut differently when planned again.
+    is text, as in shot lists, or ends a line too (``any_end``), as in mappings. Each
+    split of a file numbers its own lines, and the line counts of the earlier splits
+    (one small row per split) shift them.
     """
-    line = without_end(F.col("value"), "\r")
-    raw = cut_lineage(spark.read.option("lineSep", "\n").text(path).select(
-        F.col("_metadata.file_path").alias("source"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("id"),
-        (F.split(line, "\r") if any_end else F.array(line)).alias("lines")))
+    raw = read_splits(spark, path).select(
+        "source", "block", "id", (F.split("line", "\r") if any_end else F.array("line")).alias("lines"))
     count = F.size("lines").cast("bigint")
     below = Window.partitionBy("source").orderBy("block").rowsBetween(
         Window.unboundedPreceding, -1)

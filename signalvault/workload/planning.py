@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from signalvault.functions import naming
 from signalvault.plans import acquisition as plan
 from signalvault.sources.catalog import (
-    header_blocks, missing_config_outcomes, parse_catalog, server_of, union_catalogs,
+    header_blocks, missing_config_outcomes, parse_catalog, parse_catalog_lines, server_of, union_catalogs,
 )
 from signalvault.session import scratch_path
 from signalvault.sources.files import usable_sources
@@ -43,6 +43,16 @@ def catalog_parse(spark: SparkSession, sf: str) -> DataFrame:
     return parse_catalog(t.catalog_texts(spark, sf), "doc_id")
 
 
+@query("catalog_long", f"""WITH {t.LONG_CATALOG_LINES} SELECT source, doc_id, CAST(n AS BIGINT) AS n,
+ row_number() OVER (PARTITION BY source ORDER BY doc_id, n) AS ordinal, tree, trim(line) AS signal
+ FROM marked WHERE is_item AND tree IS NOT NULL""")
+def catalog_long(spark: SparkSession, sf: str) -> DataFrame:
+    """One catalog per source, too long for a row: its documents are its blocks, and a tree goes on in the next ones."""
+    lines = numbered_lines(t.catalog_texts(spark, sf, "source"), "source", "doc_id")
+    parsed = parse_catalog_lines(lines, "source", block="doc_id", place="n")
+    return parsed.withColumn("n", F.col("n") - 1)  # less the line that opens the text of each document
+
+
 @query("catalog_server", "SELECT doc_id, source || '.host:80' AS server FROM documents")
 def catalog_server(spark: SparkSession, sf: str) -> DataFrame:
     return t.catalog_texts(spark, sf).select("doc_id", server_of(F.col("text")).alias("server"))

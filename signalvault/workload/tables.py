@@ -91,7 +91,7 @@ def list_texts(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", F.array_join(F.transform(_lines(F.col("text")), line), "\n").alias("text"))
 
 
-def catalog_texts(spark: SparkSession, sf: str) -> DataFrame:
+def catalog_texts(spark: SparkSession, sf: str, *keep: str) -> DataFrame:
     """Documents as catalogs: a line whose length divides by 7 is a header, one whose
     length divides by 5 is badly indented, the others are items; then a server line."""
     def line(x: Column) -> Column:
@@ -102,12 +102,17 @@ def catalog_texts(spark: SparkSession, sf: str) -> DataFrame:
 
     body = F.array_join(F.transform(_lines(F.col("text")), line), "\n")
     return table(spark, sf, "documents").select(
-        "doc_id", F.concat(F.lit("trees:\n"), body, F.lit("\n\nserver:  "), "source",
+        *keep, "doc_id", F.concat(F.lit("trees:\n"), body, F.lit("\n\nserver:  "), "source",
                            F.lit(".host:80  \n")).alias("text"))
 
 
 DOC_LINES = """ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
   generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents)"""
+LONG_CATALOG_LINES = """ln AS (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS line,
+  generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
+ marked AS (SELECT source, doc_id, n, line, length(line) % 7 <> 0 AND length(line) % 5 <> 0 AS is_item,
+   last_value(CASE WHEN length(line) % 7 = 0 THEN 'T' || length(line) END IGNORE NULLS)
+     OVER (PARTITION BY source ORDER BY doc_id, n) AS tree FROM ln)"""
 LIST_LINES = f"""{DOC_LINES}, lst AS (SELECT doc_id, n, CASE WHEN n % 5 = 0 THEN '  # ' || line
   WHEN n % 7 = 0 THEN '' ELSE line END AS line FROM ln)"""
 CATALOG_LINES = f"""{DOC_LINES}, marked AS (SELECT doc_id, n, line,

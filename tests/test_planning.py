@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,6 +73,37 @@ def test_catalog(spark, folder):
                    (2, 1, "main"): ["\\MAIN::TOP.A:ONE", "last"]}
 
 
+def test_catalog_across_splits(spark, folder):
+    """Trees that begin splits before their items, splits without a header, stray items, several server lines."""
+    r = random.Random(5)
+    lines = ["    - stray"] * 40 + ["server: one"]
+    for i in range(4000):
+        lines.append(r.choice(["    - s%d", "    - s%d", "    - s%d", " odd %d", "    -"]).replace("%d", str(i)) if r.random() < 0.99 else f"  t{i}:")
+    lines += ["  last:", "server:  two "] + ["    - x"] * 3000
+    content = "\r\n".join(lines) + "\n"
+    path = put(folder, "long.yaml", content)
+    want = cat.parse_catalog(spark.createDataFrame([("a", content)], "id string, text string"), "id")
+    want = {(x.ordinal, x.tree, x.signal) for x in want.collect()}
+    keep = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("500", "4000", keep):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            catalog, _ = cat.read_catalogs(spark, [path])
+            rows = catalog.collect()
+            assert {(x.ordinal, x.tree, x.signal) for x in rows} == want and len(rows) == len(want)
+            assert {x.server for x in rows} == {"one two"}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", keep)
+    assert max(want)[0] == len(want) and not any(x[2] == "stray" for x in want)
+
+
+def test_catalog_lines_without_header_or_item(spark):
+    lines = spark.createDataFrame([("a", 0, 0, "    - x"), ("b", 0, 0, "  t:"), ("c", 0, 0, "  t:"), ("c", 2, 0, "    - y"), ("c", 2, 1, None)],
+                                  "k string, block long, id long, line string")
+    assert [tuple(x) for x in cat.parse_catalog_lines(lines, "k").collect()] == [("c", 2, 0, 1, "t", "y")]
+    assert cat.parse_catalog_lines(lines.limit(0), "k").count() == 0
+
+
 def test_catalog_without_header_or_text(spark):
     texts = spark.createDataFrame([("a", ""), ("b", "    - x\n"), ("c", "  t:\n")], "id string, text string")
     assert cat.parse_catalog(texts, "id").count() == 0
