@@ -19,7 +19,7 @@ from signalvault.fixed_values import (
     SHOWN_DIFFERENCES,
 )
 from signalvault.functions.digests import ATTR, DIGEST, LANES, LEAF, has_digests, merkle
-from signalvault.model import KEY, Store
+from signalvault.model import KEY, SEGMENT_ELEMENTS, Store
 from signalvault.session import cut_lineage
 from signalvault.functions.values import (
     as_doubles, attr_values_equal, nan_positions_equal, node_values_equal,
@@ -86,19 +86,90 @@ def _digest(rows: DataFrame) -> Column:
     return F.struct(*DIGEST) if has_digests(rows) else leaf_digest()
 
 
-def leaf_differences(left: DataFrame, right: DataFrame, unit: Sequence[str]) -> DataFrame:
-    """Leaves that differ. Keys and digests are aligned first; arrays are read again, and
-    joined, only for leaves that both sides have with different digests."""
-    on = [*unit, "path", "seg"]
+ARRAYS = ["f64", "f32", "i64", "str"]
+
+
+def _length(row: str = "") -> Column:
+    return F.greatest(F.lit(0), *[F.coalesce(F.size(f"{row}{c}"), F.lit(0)) for c in ARRAYS]).cast("bigint")
+
+
+def recut(rows: DataFrame, leaf: Sequence[str], elements: int = SEGMENT_ELEMENTS) -> DataFrame:
+    """Segments of any lengths -> (leaf columns, cell, LEAF): the same leaves in cells of ``elements`` values.
+
+    Where a segment begins follows from the lengths of those before it, which are summed without their arrays. Each
+    segment is cut at the borders of the cells it reaches into, and a cell puts its pieces together, so no task holds
+    more than a cell of a leaf. An empty leaf is one empty cell.
+    """
+    sized = rows.select(*leaf, "seg", *LEAF, _length().alias("n"))
+    before = Window.partitionBy(*leaf).orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)
+    begins = sized.select(*leaf, "seg", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("begin"))
+    begin, n, cell = F.col("begin"), F.col("n"), F.col("cell")
+    reached = F.sequence(F.floor(begin / elements), F.floor(F.greatest(begin + n - 1, begin) / elements))
+    low = F.greatest(cell * elements - begin, F.lit(0))
+    high = F.least((cell + 1) * elements - begin, n)
+    pieces = (
+        sized.join(begins, [*leaf, "seg"]).where((n > 0) | (begin == 0))
+        .withColumn("cell", F.explode(reached))
+        .withColumns({c: F.slice(c, (low + 1).cast("int"), (high - low).cast("int")) for c in ARRAYS})
+    )
+
+    def joined(column: str) -> Column:
+        ordered = F.array_sort(F.collect_list(F.struct("begin", "seg", column)))
+        return F.flatten(F.transform(ordered, lambda x: x[column])).alias(column)
+
+    return pieces.groupBy(*leaf, "cell").agg(
+        *[joined(c) if c in ARRAYS else F.first(c, ignorenulls=True).alias(c) for c in LEAF])
+
+
+# What is said of a leaf that differs in several ways: the first of these.
+_ORDER = [ONLY_IN_FIRST, ONLY_IN_SECOND, SHAPE_MISMATCH, NAN_POSITIONS, DATA_VALUES]
+
+
+def _one_per_leaf(found: DataFrame, leaf: Sequence[str]) -> DataFrame:
+    rank = F.array_position(F.array(*[F.lit(x) for x in _ORDER]), F.col("difference"))
+    return (found.groupBy(*leaf).agg(F.min(F.struct(rank.alias("rank"), "difference")).alias("d"))
+            .select(*leaf, F.col("d.difference").alias("difference")))
+
+
+def leaf_differences(left: DataFrame, right: DataFrame, unit: Sequence[str], elements: int = SEGMENT_ELEMENTS) -> DataFrame:
+    """Leaves that differ, as (unit..., path, difference), each once, however they are cut into segments.
+
+    Keys and digests are aligned first; arrays are read again, and joined, only for segments that both sides have with
+    different digests. Where that shows that the two sides are cut differently (lengths differ under one shape, or one
+    side has segments that the other has not), those leaves are brought to cells of ``elements`` values and compared anew.
+    """
+    leaf = [*unit, "path"]
+    on = [*leaf, "seg"]
     aligned = cut_lineage(
         align(left.select(*on, _digest(left).alias("digest")), right.select(*on, _digest(right).alias("digest")), on, ["digest"])
         .select(*on, _one_sided().alias("difference"), F.col("a.digest").eqNullSafe(F.col("b.digest")).alias("same"))
         .where(~F.col("same")))
     odd = aligned.where(F.col("difference").isNull()).select(*on)
     first, second = (side.join(odd, on, "left_semi") for side in (left, right))
-    differing = align(first, second, on, LEAF).select(*unit, "path", leaf_difference().alias("difference"))
-    return (aligned.select(*unit, "path", "difference").unionByName(differing)
+    compared = cut_lineage(
+        align(first, second, on, LEAF)
+        .select(*leaf, leaf_difference().alias("difference"), (_length("a.") != _length("b.")).alias("resized"))
+        .where(F.col("difference").isNotNull()))
+    lone = aligned.where(F.col("difference").isNotNull()).select(*leaf, "difference")
+    resized = compared.where(F.col("resized")).select(*leaf)
+    compared = compared.select(*leaf, "difference")
+    if lone.select(*leaf).unionByName(resized).isEmpty():
+        return _one_per_leaf(compared, leaf)
+
+    def known(side: str, other: DataFrame) -> DataFrame:
+        """Leaves of which one side has segments of its own while the other has the leaf as well."""
+        return lone.where(F.col("difference") == side).select(*leaf).distinct().join(other.select(*leaf).distinct(), leaf, "left_semi")
+
+    shared = cut_lineage(known(ONLY_IN_FIRST, right).unionByName(known(ONLY_IN_SECOND, left)).distinct())
+    settled = compared.where(F.col("difference") == SHAPE_MISMATCH).select(*leaf).distinct()
+    anew = cut_lineage(shared.unionByName(resized).distinct().join(settled, leaf, "left_anti"))
+    found = lone.join(shared, leaf, "left_anti").unionByName(compared.join(anew, leaf, "left_anti"))
+    if not anew.isEmpty():
+        cells = align(*[recut(side.join(anew, leaf, "left_semi"), leaf, elements) for side in (left, right)], [*leaf, "cell"], LEAF)
+        found = found.unionByName(cells.select(
+            *leaf, F.when(_one_sided().isNotNull(), F.lit(SHAPE_MISMATCH)).otherwise(leaf_difference()).alias("difference"))
             .where(F.col("difference").isNotNull()))
+    return _one_per_leaf(found, leaf)
 
 
 def group_differences(left: DataFrame, right: DataFrame, unit: Sequence[str]) -> DataFrame:

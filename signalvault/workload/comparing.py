@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalvault.model import NODES, Store, conform
+from signalvault.model import NODES, Store, conform, split_segments
 from signalvault.operators import compare as cmp
 from signalvault.operators import rename as rn
 from signalvault.session import scratch_path
@@ -58,11 +58,12 @@ _VECTOR_SQL = """e AS (SELECT vec_id, vec_id % 8 AS m, vec_id % 40 AS unit, CAST
    FROM pt GROUP BY ALL)"""
 
 
-def _leaf_differences(spark: SparkSession, sf: str) -> DataFrame:
-    def side(name: str) -> DataFrame:
-        return _vectors(spark, sf, name).withColumn("path", F.concat_ws("/", "vec_id", "node"))
+def _leaf_side(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return _vectors(spark, sf, name).withColumn("path", F.concat_ws("/", "vec_id", "node"))
+
 
-    return cmp.leaf_differences(side("first"), side("second"), ["unit"])
+def _leaf_differences(spark: SparkSession, sf: str) -> DataFrame:
+    return cmp.leaf_differences(_leaf_side(spark, sf, "first"), _leaf_side(spark, sf, "second"), ["unit"])
 
 
 @query("compare_leaf", f"WITH {_VECTOR_SQL} SELECT unit, vec_id || '/data' AS path, result AS difference FROM leaf WHERE result <> 'equal'")
@@ -70,6 +71,13 @@ def compare_leaf(spark: SparkSession, sf: str) -> DataFrame:
     return _leaf_differences(spark, sf)
 
 
+@query("compare_recut", f"WITH {_VECTOR_SQL} SELECT unit, vec_id || '/data' AS path, result AS difference FROM leaf WHERE result <> 'equal'")
+def compare_recut(spark: SparkSession, sf: str) -> DataFrame:
+    """The same leaves, cut into segments of 3 values on one side and of 5 on the other."""
+    sides = [split_segments(_leaf_side(spark, sf, name), "f64", n) for name, n in (("first", 3), ("second", 5))]
+    return cmp.leaf_differences(*sides, ["unit"], elements=16)
+
+
 @query("compare_subtrees", f"""WITH {_VECTOR_SQL} SELECT unit, count(*) FILTER (result <> 'equal') AS n_differences,
  bool_and(result = 'equal') AS is_equal FROM leaf GROUP BY unit""")
 def compare_subtrees(spark: SparkSession, sf: str) -> DataFrame:

@@ -4,10 +4,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from helpers import attr, keys_of, node, store
+from helpers import NODE_COLUMNS, attr, keys_of, node, store
 from signalvault.functions.values import is_close
-from signalvault.operators.compare import first_differences
-from signalvault.model import Store
+from signalvault.operators.compare import first_differences, leaf_differences, recut
+from signalvault.model import Store, split_segments
 from signalvault.operators.rename import mapping_of, rename, rename_batch, rename_stats
 from signalvault.session import cut_lineage
 
@@ -115,6 +115,48 @@ def test_structure_differences(spark):
     assert ("3", "b", "Only in second") in texts
 
 
+def cut_leaves(spark, leaves, size):
+    """(name, values) as leaves of one unit in segments of ``size`` values."""
+    rows = spark.createDataFrame([node("1", "t", k, "data", v) for k, v in leaves.items()], NODE_COLUMNS)
+    out = rows.where("kind <> 'str'")
+    out = split_segments(out, "f64", size).unionByName(split_segments(rows.where("kind = 'str'"), "str", size))
+    return out.withColumn("path", F.concat_ws("/", "signal", "node"))
+
+
+def test_differently_cut_leaves(spark):
+    nan = math.nan
+    long = [float(i) for i in range(23)]
+    first = {"same": long, "near": long, "off": long, "nan": [*long[:20], nan, *long[21:]], "short": long, "empty": [], "gone": long,
+             "text": list("abcdefghijk"), "words": list("abcdefghijk"), "tail": [*long[:22], nan]}
+    second = {"same": long, "near": [x * (1 + 1e-12) for x in long], "off": [*long[:22], 7.0], "nan": long, "short": long[:17], "empty": [],
+              "come": [1.0], "text": list("abcdefghijk"), "words": list("abcdefghijX"), "tail": [5.0, *long[1:]]}
+    want = {("off", "Data values differ"), ("nan", "NaN positions differ"), ("short", "Shape mismatch"), ("gone", "Only in first"),
+            ("come", "Only in second"), ("words", "Data values differ"), ("tail", "NaN positions differ")}
+    for a, b in ((3, 5), (4, 1 << 20), (3, 3), (6, 8)):
+        got = leaf_differences(cut_leaves(spark, first, a), cut_leaves(spark, second, b), ["shot"], elements=4).collect()
+        assert sorted((x.path.split("/")[0], x.difference) for x in got) == sorted(want), (a, b)
+
+
+def test_recut_keeps_every_value(spark):
+    leaves = {f"s{n}": [float(i) for i in range(n)] for n in (0, 1, 4, 5, 8, 13)}
+    for size in (1, 3, 7, 50):
+        got = {}
+        for x in recut(cut_leaves(spark, leaves, size), ["path"], 4).collect():
+            got.setdefault(x.path.split("/")[0], {})[x.cell] = x.f64
+        assert all(sorted(cells) == list(range(max(1, -(-len(leaves[k]) // 4)))) for k, cells in got.items())
+        assert {k: sum((cells[i] for i in sorted(cells)), []) for k, cells in got.items()} == leaves
+
+
+def test_rename_of_a_differently_cut_copy(spark):
+    values = [float(i) for i in range(11)]
+    rows = spark.createDataFrame([node("1", "raw", "a", "data", values), node("1", "RAW", "a", "data", values)], NODE_COLUMNS)
+    nodes = split_segments(rows.where("tree = 'raw'"), "f64", 3).unionByName(split_segments(rows.where("tree = 'RAW'"), "f64", 5))
+    whole = store(spark, [node("1", "raw", "a", "data", values), node("1", "RAW", "a", "data", values)])
+    result = rename(Store(nodes, whole.groups, whole.attrs), "raw", "RAW", level="tree")
+    assert [x.verdict for x in result.verdicts.collect()] == ["deduplicated"]
+    assert {(x.tree, x.seg, len(x.f64)) for x in result.store.nodes.collect()} == {("RAW", 0, 5), ("RAW", 1, 5), ("RAW", 2, 1)}
+
+
 def test_first_differences_shows_five_and_counts_the_rest(spark):
     nodes = [node("1", t, f"s{i}", "data", [v]) for i in range(8) for t, v in (("old", 1.0), ("new", 2.0))]
     result = rename(store(spark, nodes), "old", "new")
