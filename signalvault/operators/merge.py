@@ -6,7 +6,6 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -155,40 +154,55 @@ def before(bound: Sequence[str], columns: Sequence[str] = KEY, inclusive: bool =
     return out
 
 
-def first_duplicates(holders: DataFrame, n_sources: int) -> list[tuple[str, str, str] | None]:
-    """Per source the first key, in name order, that its target already holds.
-
-    ``holders`` has the key, ``in_target`` and ``srcs`` (the sources holding it). What
-    an earlier source inserted is everything below its own first duplicate, so each
-    step is a filter and a minimum over the same keys; one row per source comes back.
-    """
-    bounds: list[tuple[str, str, str] | None] = []
-    for i in range(1, n_sources + 1):
-        present = F.col("in_target")
-        for j, bound in enumerate(bounds, start=1):
-            inserted = F.array_contains("srcs", j)
-            present = present | (inserted if bound is None else inserted & before(bound))
-        row = (holders.where(F.array_contains("srcs", i) & present)
-               .agg(F.min(F.struct(*KEY)).alias("p")).first())
-        bounds.append(None if row.p is None else tuple(row.p))
-    return bounds
-
-
 def contested(keys: DataFrame) -> DataFrame:
     """Keys that could be a duplicate: a source holds them, and the target or another
-    source too. ``srcs`` has at most one entry per source."""
+    source too. ``srcs`` has at most one entry per source, in order."""
     source = F.when(F.col("src") > 0, F.col("src"))
     return keys.groupBy(*KEY).agg(
-        (F.min("src") == 0).alias("in_target"), F.collect_set(source).alias("srcs"),
+        (F.min("src") == 0).alias("in_target"), F.sort_array(F.collect_set(source)).alias("srcs"),
     ).where((F.size("srcs") > 1) | (F.col("in_target") & (F.size("srcs") > 0)))
 
 
+def first_meetings(holders: DataFrame) -> DataFrame:
+    """(later, earlier, key): the first key, in name order, that two holders share; holder 0 is the target.
+
+    Keys with the same holders become one row before pairs are formed, so the pairs do
+    not grow with the keys; minima combine on the map side.
+    """
+    place = F.struct(*KEY)
+    patterns = holders.groupBy("in_target", "srcs").agg(F.min(place).alias("key"))
+    pairs = patterns.withColumn("later", F.explode("srcs")).withColumn("earlier", F.explode(F.concat(
+        F.when(F.col("in_target"), F.array(F.lit(0))).otherwise(F.array().cast("array<int>")),
+        F.filter("srcs", lambda i: i < F.col("later")))))
+    return pairs.groupBy("later", "earlier").agg(F.min("key").alias("key"))
+
+
 def find_bounds(keys: DataFrame, n_sources: int) -> list[tuple[str, str, str] | None]:
-    held = contested(keys).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return first_duplicates(held, n_sources)
-    finally:
-        held.unpersist()
+    """Per source the first key, in name order, that its target already holds; one job for all sources.
+
+    An earlier source has inserted what lies below its own bound. So the bound of a
+    source is the least first meeting with an earlier holder that lies below that
+    holder's bound; later meetings with the same holder cannot be smaller. The bounds
+    are one fold over the rows of first meetings, in the order of sources.
+    """
+    spark = keys.sparkSession
+    met = first_meetings(contested(keys)).groupBy("later").agg(
+        F.collect_list(F.struct("earlier", "key")).alias("firsts"))
+    each = spark.range(1, n_sources + 1).select(F.col("id").cast("int").alias("later")).join(met, "later", "left")
+    key_type = "struct<shot:string,tree:string,signal:string>"
+
+    def step(bounds: Column, source: Column) -> Column:
+        def counts(meeting: Column) -> Column:
+            bound = F.get(bounds, meeting["earlier"] - 1)["key"]      # the target, as a source that runs through, has none
+            return bound.isNull() | (meeting["key"] < bound)
+
+        real = F.transform(F.filter(source["firsts"], counts), lambda m: m["key"])
+        return F.concat(bounds, F.array(F.struct(F.array_min(real).alias("key"))))
+
+    start = F.array().cast(f"array<struct<key:{key_type}>>")
+    row = each.agg(F.array_sort(F.collect_list(F.struct("later", "firsts"))).alias("rows")).select(
+        F.aggregate("rows", start, step).alias("bounds")).first()
+    return [None if b.key is None else tuple(b.key) for b in row.bounds]
 
 
 def cut_at(rows: DataFrame, bounds: Sequence[tuple[str, str, str] | None]) -> DataFrame:

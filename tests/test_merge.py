@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import attr, keys_of, node, store
-from signalvault.operators.merge import before, merge
+from signalvault.operators.merge import before, find_bounds, merge
 from signalvault.sources import store as st
 
 
@@ -108,6 +108,42 @@ def test_merge_error_equals_nested_loops(spark, seed):
     assert tuple(result.stats.first()) == counts
 
 
+def step_by_step(held, n_sources):
+    """Bounds by inserting one source after the other; ``held`` is {holder: set of keys}."""
+    target, bounds = set(held.get(0, ())), []
+    for i in range(1, n_sources + 1):
+        own = sorted(held.get(i, ()))
+        bound = next((k for k in own if k in target), None)
+        target |= {k for k in own if bound is None or k < bound}
+        bounds.append(bound)
+    return bounds
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_error_bounds_of_many_sources(spark, seed):
+    rng = random.Random(seed)
+    names = [("1", "a", "x"), ("1", "a", "y"), ("1", "a!", "a"), ("1", "b", "x"), ("10", "a", "x"), ("2", "a", "x"), ("2", "c", "z")]
+    pool = [(s, t, f"{g}{i}") for s, t, g in names for i in range(4)]
+    n = rng.choice([1, 3, 12])
+    held = {i: set(rng.sample(pool, rng.randint(0, 5 if i else 2))) for i in range(n + 1)}
+    rows = [(i, *k) for i, ks in held.items() for k in ks] * 2
+    keys = spark.createDataFrame(rows, "src int, shot string, tree string, signal string")
+    assert find_bounds(keys, n) == step_by_step(held, n)
+
+
+def test_error_bounds_take_one_query(spark, folder):
+    """The number of jobs does not grow with the sources."""
+    def jobs(n):
+        keys = spark.range(40 * n).select((F.col("id") % (n + 1)).cast("int").alias("src"), F.lit("1").alias("shot"),
+                                          F.lit("a").alias("tree"), (F.col("id") % 37).cast("string").alias("signal"))
+        spark.sparkContext.setJobGroup(f"bounds{n}", "")
+        assert len(find_bounds(keys, n)) == n
+        spark.sparkContext.setJobGroup("", "")
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"bounds{n}"))
+
+    assert jobs(40) <= jobs(2)
+
+
 def test_attributes_follow_their_signal(spark):
     target = store(spark, [node("1", "a", "x", "data", 1)],
                    [attr("1", "a", None, "t", "target"), attr("1", "a", "x", "u", "old")])
