@@ -10,12 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from signalvault.model import GROUPS, Store, conform, each_table, empty
+from signalvault.operators.chains import actual_meetings, chain_groups, names_of_pairs, possible_meetings, ties
 from signalvault.operators.compare import SCOPES, subtree_differences, verdicts
 from signalvault.session import cut_lineage
 
@@ -100,10 +100,11 @@ def judge(store: Store, found: DataFrame, level: str) -> tuple[DataFrame, DataFr
 
 
 def relabel(labels: DataFrame, judged: DataFrame, level: str) -> DataFrame:
-    """Labels after the verdicts; a dropped group keeps its row with a NULL name."""
+    """Labels after the last verdict on each group; a dropped group keeps its row with a NULL name."""
     on = [*SCOPES[level], "origin"]
-    acted = judged.where(F.col("verdict").isin(RENAMED, DEDUPLICATED)).select(
-        *on, F.col("verdict").alias("done"), F.col("new_name").alias("to"))
+    acted = judged.where(F.col("verdict").isin(RENAMED, DEDUPLICATED)).groupBy(*on).agg(
+        F.max_by(F.struct("verdict", "new_name"), "line_no").alias("last")).select(
+        *on, F.col("last.verdict").alias("done"), F.col("last.new_name").alias("to"))
     return labels.join(acted, on, "left").select(
         *on, F.when(F.col("done").isNull(), F.col("current"))
         .when(F.col("done") == RENAMED, F.col("to")).alias("current"))
@@ -187,27 +188,42 @@ def mapping_of(lines: DataFrame) -> DataFrame:
     return conform(lines, MAPPING)
 
 
-def ready_lines(remaining: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
-    """Lines with no earlier remaining line that shares a name: they may act together.
+def judge_chained(store: Store, labels: DataFrame, lines: DataFrame, links: DataFrame, level: str,
+                  tied: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """``judge`` for lines that depend on each other (``links``), as if one ran after the other.
 
-    A name counts inside its ``scope``: the same signal name in two trees is no tie.
+    All pairs that can ever meet are compared in one go, then the verdicts follow. The
+    number of jobs grows with the logarithm of the longest chain.
     """
-    names = remaining.select("line_no", *scope, F.explode(F.array("old_name", "new_name")).alias("name"))
-    by = [*scope, "name"]
-    earliest = names.groupBy(*by).agg(F.min("line_no").alias("first_line"))
-    blocked = (
-        names.join(earliest, by).where(F.col("line_no") > F.col("first_line"))
-        .select("line_no").distinct()
-    )
-    return remaining.join(blocked, "line_no", "left_anti")
+    scope = SCOPES[level]
+    unit = ["chain", "from_no", "to_no", *scope]
+    groups = cut_lineage(chain_groups(labels, lines, links, scope, tied))
+    pairs = cut_lineage(names_of_pairs(groups, possible_meetings(groups, scope), scope))
+    if pairs.isEmpty():
+        diffs = empty(store.nodes.sparkSession, ", ".join(
+            ["chain bigint", "from_no int", "to_no int", *[f"{c} string" for c in scope], "path string", "difference string"]))
+    else:
+        old, new = (pairs.select(*unit, F.col(c).alias(level)) for c in ("origin", "new_origin"))
+        diffs = cut_lineage(subtree_differences(store, store, old, new, unit, level))
+    known = verdicts(pairs, diffs, unit)
+    counts = known.select(*scope, "origin", "new_origin", "n_differences")
+    acts = actual_meetings(groups, known.where("is_equal").select(*scope, "chain", "from_no", "to_no"), scope)
+    met = [*scope, "origin", "new_origin"]
+    judged = cut_lineage(acts.join(counts, met, "left").withColumns({
+        "n_differences": F.coalesce("n_differences", F.lit(0).cast("bigint")),
+        "verdict": F.when(F.col("new_origin").isNull(), RENAMED).when(F.col("moved"), DEDUPLICATED).otherwise(CONFLICT)}))
+    between = diffs.join(pairs, unit).select(*met, "path", "difference")
+    shown = judged.where(F.col("verdict") == CONFLICT).select("line_no", *met).join(between, met)
+    return (judged.select("line_no", *scope, "old_name", "new_name", "origin", "verdict", "n_differences"),
+            shown.select("line_no", *scope, "path", "difference"))
 
 
 def rename_batch(store: Store, mapping: DataFrame, level: str = "tree", dry_run: bool = False) -> Rename:
     """Apply mapping lines as if in sequence.
 
-    Lines that share no name cannot influence each other, so each round applies all
-    lines that wait for no earlier one; a mapping without chains is a single pass. A
-    dry run judges every line against the unchanged store.
+    Lines that share no name cannot influence each other: a mapping without chains is a
+    single pass. Chains are judged by ``judge_chained``. A dry run judges every line
+    against the unchanged store.
     """
     lines = mapping_of(mapping)
     acting = runnable(lines, level)
@@ -217,24 +233,17 @@ def rename_batch(store: Store, mapping: DataFrame, level: str = "tree", dry_run:
     if dry_run:
         judged, diffs = judge(content, candidates(labels, acting, level), level)
         return Rename(report(lines, judged, level), diffs, store)
-    labels, remaining = cut_lineage(labels), cut_lineage(acting)
+    labels, acting = cut_lineage(labels), cut_lineage(acting)
     # A tree line without a shot acts on all shots; then names tie across shots.
-    scope = SCOPES[level]
-    if level == "tree" and not remaining.where(F.col("shot").isNull()).isEmpty():
-        scope = []
-    done, found = [], []
-    while True:
-        ready = ready_lines(remaining, scope)
-        judged, diffs = judge(content, candidates(labels, ready, level), level)
-        labels = relabel(labels, judged, level)
-        done.append(judged)
-        found.append(diffs)
-        remaining = cut_lineage(remaining.join(ready, "line_no", "left_anti"))
-        if remaining.isEmpty():
-            break
-        labels = cut_lineage(labels)
-    judged = reduce(DataFrame.unionByName, done)
-    diffs = reduce(DataFrame.unionByName, found)
+    tied = SCOPES[level]
+    if level == "tree" and not acting.where(F.col("shot").isNull()).isEmpty():
+        tied = []
+    links = cut_lineage(ties(acting, tied))
+    if links.isEmpty():
+        judged, diffs = judge(content, candidates(labels, acting, level), level)
+    else:
+        judged, diffs = judge_chained(content, labels, acting, links, level, tied)
+    labels = relabel(labels, judged, level)
     return Rename(report(lines, judged, level), diffs, apply_labels(store, labels, level), labels)
 
 

@@ -1,4 +1,5 @@
 import math
+import random
 
 import numpy as np
 import pytest
@@ -252,6 +253,80 @@ def test_batch_equals_sequence(spark, pairs):
     assert values(batch.store) == values(expected)
 
 
+def plain_batch(held, pairs):
+    """(verdicts, bearers) of one shot, line by line; ``held`` is {name: value}."""
+    at, out = {k: k for k in held}, []
+    for i, (old, new) in enumerate(pairs, start=1):
+        if old == new or old not in at:
+            continue
+        if new not in at:
+            at[new] = at.pop(old)
+            out.append((i, "renamed"))
+        elif held[at[old]] == held[at[new]]:
+            del at[old]
+            out.append((i, "deduplicated"))
+        else:
+            out.append((i, "conflict"))
+    return out, {k: held[v] for k, v in at.items()}
+
+
+@pytest.mark.parametrize("level", ["tree", "signal", "shot"])
+def test_random_chains_equal_line_by_line(spark, level):
+    """Many shots of few values over few names: dependent lines, conflicts and swaps in mid-chain. At signal level each
+    place has lines of its own, at shot level the names of a place are made its own."""
+    rng = random.Random(level)
+    names, places = [f"n{i}" for i in range(7)], range(12)
+    stores = {p: {k: float(rng.randint(1, 2)) for k in rng.sample(names, rng.randint(0, 7))} for p in places}
+    common = [tuple(rng.choices(names, k=2)) for _ in range(14)]
+    pairs = {p: common if level == "tree" else [tuple(rng.choices(names, k=2)) for _ in range(10)] for p in places}
+    own = lambda p, k: f"{p}_{k}" if level == "shot" else k
+    at = {"tree": lambda p, k: (str(p), k, "s"), "signal": lambda p, k: (str(p), "t", k), "shot": lambda p, k: (own(p, k), "t", "s")}[level]
+    nodes = [node(*at(p, k), "data", [v]) for p, held in stores.items() for k, v in held.items()]
+    numbers = {}
+    rows = []
+    for p in places if level != "tree" else [0]:
+        for i, (old, new) in enumerate(pairs[p], start=1):
+            rows.append((len(rows) + 1, own(p, old), own(p, new), *((str(p), "t") if level == "signal" else (None, None))))
+            numbers[p, i] = len(rows)
+    mapping = spark.createDataFrame(rows, "line_no bigint, old_name string, new_name string, shot string, tree string")
+    batch = rename_batch(store(spark, nodes), mapping, level)
+    want, left = [], set()
+    for p, held in stores.items():
+        done, bearers = plain_batch(held, pairs[p])
+        want += [(numbers[0 if level == "tree" else p, i], None if level == "shot" else str(p), v) for i, v in done]
+        left |= {(*at(p, k), v) for k, v in bearers.items()}
+    got = [(r.line_no, r.shot, r.verdict) for r in batch.verdicts.collect() if r.verdict not in ("not_found", "same_name")]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert {(r.shot, r.tree, r.signal, r.f64[0]) for r in batch.store.nodes.collect()} == left
+    conflicts = {(n, s) for n, s, v in want if v == "conflict"}
+    assert conflicts and {(r.line_no, r["shot"] if level != "shot" else None) for r in batch.differences.collect()} == conflicts
+
+
+def test_lines_of_one_shot_tie_with_lines_of_all(spark):
+    s = store(spark, [node(p, t, "s", "data", [v]) for p in "12" for t, v in (("a", 1.0), ("b", 2.0))])
+    batch = rename_batch(s, lines(spark, ("b", "c", "1"), ("a", "b"), ("b", "d", "2")))
+    assert keys_of(batch.store) == {("1", "c", "s"), ("1", "b", "s"), ("2", "a", "s"), ("2", "d", "s")}
+    got = {(r.line_no, r.shot): (r.verdict, r.n_differences) for r in batch.verdicts.collect()}
+    assert got == {(1, "1"): ("renamed", 0), (2, "1"): ("renamed", 0), (2, "2"): ("conflict", 1), (3, "2"): ("renamed", 0)}
+
+
+def test_jobs_of_a_chain_grow_with_its_logarithm(spark):
+    def jobs(n):
+        s = store(spark, [node("1", f"t{i}", "s", "data", [float(i % 5)]) for i in range(0, n + 1, 3)])
+        spark.sparkContext.setJobGroup(f"chain{n}", "")
+        done = rename_batch(s, lines(spark, *[(f"t{i}", f"t{i + 1}") for i in range(n)]))
+        count = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"chain{n}"))
+        held = {f"t{i}": float(i % 5) for i in range(0, n + 1, 3)}
+        out, left = plain_batch(held, [(f"t{i}", f"t{i + 1}") for i in range(n)])
+        spark.sparkContext.setJobGroup("", "")
+        assert sorted((r.line_no, r.verdict) for r in done.verdicts.collect() if r.verdict != "not_found") == out
+        assert {(r.tree, r.f64[0]) for r in done.store.nodes.collect()} == set(left.items())
+        return count
+
+    few, many = jobs(8), jobs(128)
+    assert many <= few + 12 * math.log2(128 / 8), (few, many)
+
+
 def test_batch_dry_run_does_not_chain(spark):
     s = sample(spark)
     dry = rename_batch(s, lines(spark, ("c", "d"), ("d", "e")), dry_run=True)
