@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signalvault.llm.common import (Words, block_group, block_number, flat, mix, power_of_two, ragged, shingles, slices,
+from signalvault.llm.common import (Words, arrow_bytes, block_group, block_number, flat, mix, power_of_two, ragged, shingles, slices,
                                     text_bytes, text_column)
 from signalvault.llm.components import components
 from signalvault.session import cut_lineage
@@ -215,6 +215,10 @@ def _postings(sets: DataFrame, bound: Fraction) -> DataFrame:
     return sets.select("rep", "n", "keys").mapInArrow(post, "key long, rep long, n long")
 
 
+PROBE_BYTES = 8 << 20
+"""Keys of candidate pairs that a task probes at once."""
+
+
 def _probe(pairs: DataFrame, sets: DataFrame, bound: Fraction) -> DataFrame:
     """Of the candidate ``pairs`` (a, b) those whose sets overlap enough."""
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -339,7 +343,9 @@ def row_classes(documents: DataFrame, width: int = 4, bound: tuple[int, int] = (
     banded = lists.withColumn("band", band)
     leaders = banded.groupBy("key", "band").agg(F.min(F.struct("n", "rep")).alias("lead"), F.count(F.lit(1)).alias("length")).where("length > 1")
     pairs = banded.join(leaders, ["key", "band"]).where("rep <> lead.rep").select(F.col("lead.rep").alias("a"), F.col("rep").alias("b")).distinct()
-    links = cut_lineage(_probe(cut_lineage(pairs), sets, limit))
+    pairs = cut_lineage(pairs)
+    with arrow_bytes(documents.sparkSession, PROBE_BYTES):
+        links = cut_lineage(_probe(pairs, sets, limit))
     first = components(links)
     labelled = cut_lineage(lists.join(first, lists.rep == first.node, "left")
                            .select("key", "rep", "n", F.coalesce("component", "rep").alias("component")))
