@@ -215,8 +215,8 @@ def _postings(sets: DataFrame, bound: Fraction) -> DataFrame:
     return sets.select("rep", "n", "keys").mapInArrow(post, "key long, rep long, n long")
 
 
-PROBE_BYTES = 8 << 20
-"""Keys of candidate pairs that a task probes at once."""
+ARROW_BYTES = 8 << 20
+"""Bytes of blocks, replies or keys of candidate pairs that Python is handed at once."""
 
 
 def _probe(pairs: DataFrame, sets: DataFrame, bound: Fraction) -> DataFrame:
@@ -331,7 +331,8 @@ def row_classes(documents: DataFrame, width: int = 4, bound: tuple[int, int] = (
     """
     limit = Fraction(*bound)
     top, bottom = limit.numerator, limit.denominator
-    table = cut_lineage(list_lengths(documents, width, limit))
+    with arrow_bytes(documents.sparkSession, ARROW_BYTES):
+        table = cut_lineage(list_lengths(documents, width, limit))
     number = (F.col("task") * TASK_ROWS + F.col("place"))
     alive = table.where("keys is not null")
     reps = cut_lineage(alive.groupBy("d1", "d2", "n").agg(F.min(F.struct("task", "place")).alias("row"), F.min("doc_id").alias("least"))
@@ -344,7 +345,7 @@ def row_classes(documents: DataFrame, width: int = 4, bound: tuple[int, int] = (
     leaders = banded.groupBy("key", "band").agg(F.min(F.struct("n", "rep")).alias("lead"), F.count(F.lit(1)).alias("length")).where("length > 1")
     pairs = banded.join(leaders, ["key", "band"]).where("rep <> lead.rep").select(F.col("lead.rep").alias("a"), F.col("rep").alias("b")).distinct()
     pairs = cut_lineage(pairs)
-    with arrow_bytes(documents.sparkSession, PROBE_BYTES):
+    with arrow_bytes(documents.sparkSession, ARROW_BYTES):
         links = cut_lineage(_probe(pairs, sets, limit))
     first = components(links)
     labelled = cut_lineage(lists.join(first, lists.rep == first.node, "left")
