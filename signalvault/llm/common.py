@@ -6,7 +6,6 @@ import ctypes
 import tempfile
 import zipfile
 from collections.abc import Iterator
-from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -221,19 +220,6 @@ def text_bytes(documents: DataFrame, text: str = "text") -> tuple[int, int]:
     return int(row[0]), int(row[1])
 
 
-@contextmanager
-def arrow_bytes(spark: SparkSession, limit: int) -> Iterator[None]:
-    """Jobs that are run inside hand Python at most about ``limit`` bytes at once, or a row: an executor holds a batch
-    several times, on both sides and where buffers grow."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(limit))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def with_column(documents: DataFrame, name: str, kind: str) -> tuple[DataFrame, StructType]:
     """``documents`` without a column ``name``, and the schema with a new one behind the others."""
     rest = documents.drop(*[c for c in documents.columns if c.lower() == name.lower()])
