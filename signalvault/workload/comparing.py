@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from signalvault.functions.ordinals import dense_ordinal
 from signalvault.model import NODES, Store, conform, split_segments
 from signalvault.operators import compare as cmp
 from signalvault.operators import rename as rn
@@ -397,3 +398,19 @@ def rename_signal(spark: SparkSession, sf: str) -> DataFrame:
     mapping = keys.select("line_no", F.col("signal").alias("old_name"), new.alias("new_name"), "shot", "tree")
     return rn.rename_batch(store, mapping, "signal").verdicts.select(
         "shot", "tree", "old_name", "new_name", "verdict", "n_differences")
+
+
+@query("rename_chain", f"""WITH {t.EVENTS}, names AS (SELECT shot, tree, signal, lead(signal) OVER (PARTITION BY shot, tree ORDER BY signal) AS up
+  FROM (SELECT DISTINCT shot, tree, signal FROM ev))
+ SELECT shot, tree, coalesce(up, signal || 'n') AS signal, count(*) AS n_nodes, max(event_id) AS last_id
+ FROM ev JOIN names USING (shot, tree, signal) GROUP BY ALL""")
+def rename_chain(spark: SparkSession, sf: str) -> DataFrame:
+    """Every signal takes the name of the next one in its tree, the last a new one: a chain of dependent lines per tree."""
+    rows = t.event_rows(spark, sf)
+    keys = rows.select("shot", "tree", "signal", "k").distinct()
+    tree = Window.partitionBy("shot", "tree").orderBy("signal")
+    place = dense_ordinal(keys.select("shot", "tree").distinct().withColumn("place", F.struct("shot", "tree")), "place")
+    mapping = keys.withColumn("up", F.coalesce(F.lead("signal").over(tree), F.concat("signal", F.lit("n")))).join(
+        place.select("shot", "tree", "ordinal"), ["shot", "tree"]).select(
+        (F.col("ordinal") * 8 - F.col("k")).alias("line_no"), F.col("signal").alias("old_name"), F.col("up").alias("new_name"), "shot", "tree")
+    return t.summary(rn.rename_batch(t.as_store(rows), mapping, "signal").store.nodes)
