@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,7 +54,8 @@ class Store:
 
 
 def empty(spark: SparkSession, schema: str) -> DataFrame:
-    return spark.createDataFrame([], schema)
+    """No rows. The filter on a literal lets Spark see that while it plans, so that joins and unions with it fall away."""
+    return conform(spark.range(1).where(F.lit(False)), schema)
 
 
 def each_table(store: Store, change: Callable[[DataFrame], DataFrame]) -> Store:
@@ -62,17 +64,18 @@ def each_table(store: Store, change: Callable[[DataFrame], DataFrame]) -> Store:
 
 
 def with_ancestors(keys: DataFrame, *by: str) -> DataFrame:
-    """Signal keys -> group rows of the signals, their trees and their shots, each once (per ``by``)."""
+    """Signal keys -> group rows of the signals, their trees and their shots, each once (per ``by``).
+
+    Signals are made distinct once; trees come from them and shots from the trees, so no step sends more rows than its level has.
+    """
     none = F.lit(None).cast("string")
-    return (
-        keys.select(*by, *KEY).distinct()
-        .select(*by, F.explode(F.array(
-            F.struct("shot", "tree", "signal", F.lit("signal").alias("level")),
-            F.struct("shot", "tree", none.alias("signal"), F.lit("tree").alias("level")),
-            F.struct("shot", none.alias("tree"), none.alias("signal"), F.lit("shot").alias("level")),
-        )).alias("g"))
-        .select(*by, "g.*").distinct()
-    )
+    signals = keys.select(*by, *KEY).distinct()
+    trees = signals.select(*by, "shot", "tree").distinct()
+    shots = trees.select(*by, "shot").distinct()
+    return reduce(DataFrame.unionByName, [
+        signals.withColumn("level", F.lit("signal")),
+        trees.select(*by, "shot", "tree", none.alias("signal"), F.lit("tree").alias("level")),
+        shots.select(*by, "shot", none.alias("tree"), none.alias("signal"), F.lit("shot").alias("level"))])
 
 
 def nested_paths(rows: DataFrame, path: str, *by: str) -> DataFrame:

@@ -40,7 +40,7 @@ from signalvault.sources.text import mapping_lines, read_lines
 _SCHEMAS = {"nodes": NODES, "groups": GROUPS, "attrs": ATTRS, "paths": PATHS}
 _DIGESTS = ", ".join(f"{c} bigint" for c in DIGEST)
 _DELETES = "shot string, tree string, signal string, until int"
-# All key columns take part, so even a shot holding a third of the rows is split.
+# The order inside a file. Folders that come out large are split among tasks, so even a shot holding a third of the rows is.
 _CLUSTER = ["bucket", "tree", "shot", "signal", "node", "seg"]
 BUCKETS = 8
 """Buckets of a new store. A folder of one tree and bucket should hold some gigabytes."""
@@ -144,7 +144,8 @@ def _write(root: str, name: str, version: int, df: DataFrame, buckets: int = BUC
     rows = df.withColumn("bucket", bucket_column(buckets))
     if name == "nodes":
         rows = with_digests(bounded(conform(df, NODES))).withColumn("bucket", bucket_column(buckets))
-        (rows.repartitionByRange(*_CLUSTER).sortWithinPartitions(*_CLUSTER)
+        # rebalanced, not dealt by range: that would compute the rows twice, once for a sample
+        (rows.hint("rebalance", F.col("bucket"), F.col("tree")).sortWithinPartitions(*_CLUSTER)
          .write.mode("errorifexists").partitionBy("bucket", "tree").parquet(f"{root}/{folder}"))
         found = files.matching(spark, f"{root}/{folder}/bucket=*/tree=*")
     else:
