@@ -62,15 +62,15 @@ def keys_equal(first: DataFrame, second: DataFrame, on: Sequence[str], by: Seque
     return groups.join(odd, list(by), "left").select(*by, F.col("odd").isNull().alias("same_keys"))
 
 
-def leaf_difference() -> Column:
+def leaf_difference(first: str = "a", second: str = "b") -> Column:
     """What differs in an aligned leaf row, cheapest test first; NULL if nothing."""
-    a, b = F.col("a"), F.col("b")
+    a, b = F.col(first), F.col(second)
     both_float = a["kind"].isin("f64", "f32")
     return (
-        _one_sided()
+        F.when(b.isNull(), F.lit(ONLY_IN_FIRST)).when(a.isNull(), F.lit(ONLY_IN_SECOND))
         .when(~a["shape"].eqNullSafe(b["shape"]), F.lit(SHAPE_MISMATCH))
-        .when(~node_values_equal("a", "b"), F.when(
-            both_float & ~F.coalesce(nan_positions_equal(as_doubles("a"), as_doubles("b")),
+        .when(~node_values_equal(first, second), F.when(
+            both_float & ~F.coalesce(nan_positions_equal(as_doubles(first), as_doubles(second)),
                                      F.lit(True)), F.lit(NAN_POSITIONS)).otherwise(F.lit(DATA_VALUES)))
     )
 
@@ -93,6 +93,15 @@ def _length(row: str = "") -> Column:
     return F.greatest(F.lit(0), *[F.coalesce(F.size(f"{row}{c}"), F.lit(0)) for c in ARRAYS]).cast("bigint")
 
 
+SHORT = 4
+"""Numbers up to which a row's content is no longer than its digest."""
+
+
+def _is_short() -> Column:
+    numbers = F.col("kind").isin("f64", "f32", "i64", "bool") & F.col("str").isNull() & F.col("bin").isNull()
+    return F.coalesce(numbers & (_length() <= SHORT) & (F.size("shape") <= SHORT), F.lit(False))
+
+
 def recut(rows: DataFrame, leaf: Sequence[str], elements: int = SEGMENT_ELEMENTS) -> DataFrame:
     """Segments of any lengths -> (leaf columns, cell, LEAF): the same leaves in cells of ``elements`` values.
 
@@ -135,25 +144,41 @@ def leaf_differences(left: DataFrame, right: DataFrame, unit: Sequence[str], ele
     """Leaves that differ, as (unit..., path, difference), each once, however they are cut into segments.
 
     Keys and digests are aligned first; arrays are read again, and joined, only for segments that both sides have with
-    different digests. Where that shows that the two sides are cut differently (lengths differ under one shape, or one
-    side has segments that the other has not), those leaves are brought to cells of ``elements`` values and compared anew.
+    different digests. A row of few numbers that carries no digest brings its content along in place of one, and is settled
+    at once. Where it shows that the two sides are cut differently (lengths differ under one shape, or one side has segments
+    that the other has not), those leaves are brought to cells of ``elements`` values and compared anew.
     """
     leaf = [*unit, "path"]
     on = [*leaf, "seg"]
+
+    def told(side: DataFrame) -> DataFrame:
+        short = F.lit(False) if has_digests(side) else _is_short()
+        return side.select(*on, F.when(~short, _digest(side)).alias("digest"), F.when(short, F.struct(*LEAF)).alias("short"))
+
+    def resized(a: str, b: str) -> Column:
+        return (_length(f"{a}.") != _length(f"{b}.")).alias("resized")
+
+    settled = F.col("a.short").isNotNull() & F.col("b.short").isNotNull()
+    same = _one_sided().isNull() & F.when(settled, F.col("a.short").eqNullSafe(F.col("b.short"))).otherwise(
+        F.col("a.digest").eqNullSafe(F.col("b.digest")))
     aligned = cut_lineage(
-        align(left.select(*on, _digest(left).alias("digest")), right.select(*on, _digest(right).alias("digest")), on, ["digest"])
-        .select(*on, _one_sided().alias("difference"), F.col("a.digest").eqNullSafe(F.col("b.digest")).alias("same"))
-        .where(~F.col("same")))
-    odd = aligned.where(F.col("difference").isNull()).select(*on)
-    first, second = (side.join(odd, on, "left_semi") for side in (left, right))
-    compared = cut_lineage(
-        align(first, second, on, LEAF)
-        .select(*leaf, leaf_difference().alias("difference"), (_length("a.") != _length("b.")).alias("resized"))
-        .where(F.col("difference").isNotNull()))
-    lone = aligned.where(F.col("difference").isNotNull()).select(*leaf, "difference")
-    resized = compared.where(F.col("resized")).select(*leaf)
+        align(told(left), told(right), on, ["digest", "short"]).where(~same)
+        .select(*on, _one_sided().alias("lone"), settled.alias("settled"),
+                F.when(settled, leaf_difference("a.short", "b.short")).alias("difference"),
+                F.when(settled, resized("a.short", "b.short")).alias("resized"))
+        .where(~F.col("settled") | F.col("difference").isNotNull()))
+    compared = aligned.where("settled").select(*leaf, "difference", "resized")
+    odd = aligned.where(F.col("lone").isNull() & ~F.col("settled")).select(*on)
+    if not odd.isEmpty():
+        first, second = (side.join(odd, on, "left_semi") for side in (left, right))
+        compared = compared.unionByName(cut_lineage(
+            align(first, second, on, LEAF)
+            .select(*leaf, leaf_difference().alias("difference"), resized("a", "b"))
+            .where(F.col("difference").isNotNull())))
+    lone = aligned.where(F.col("lone").isNotNull()).select(*leaf, F.col("lone").alias("difference"))
+    changed = compared.where("resized").select(*leaf)
     compared = compared.select(*leaf, "difference")
-    if lone.select(*leaf).unionByName(resized).isEmpty():
+    if lone.select(*leaf).unionByName(changed).isEmpty():
         return _one_per_leaf(compared, leaf)
 
     def known(side: str, other: DataFrame) -> DataFrame:
@@ -162,7 +187,7 @@ def leaf_differences(left: DataFrame, right: DataFrame, unit: Sequence[str], ele
 
     shared = cut_lineage(known(ONLY_IN_FIRST, right).unionByName(known(ONLY_IN_SECOND, left)).distinct())
     settled = compared.where(F.col("difference") == SHAPE_MISMATCH).select(*leaf).distinct()
-    anew = cut_lineage(shared.unionByName(resized).distinct().join(settled, leaf, "left_anti"))
+    anew = cut_lineage(shared.unionByName(changed).distinct().join(settled, leaf, "left_anti"))
     found = lone.join(shared, leaf, "left_anti").unionByName(compared.join(anew, leaf, "left_anti"))
     if not anew.isEmpty():
         cells = align(*[recut(side.join(anew, leaf, "left_semi"), leaf, elements) for side in (left, right)], [*leaf, "cell"], LEAF)

@@ -1,10 +1,17 @@
 """Steps that many queries share: each reads, compares or sends its rows once."""
 
+import pytest
 from pyspark.sql import functions as F
 
+from signalvault.fixed_values import DATA_VALUES, NAN_POSITIONS
 from signalvault.model import NODES, conform, empty, store_from_nodes, with_ancestors
+from signalvault.operators import chains, compare
+from signalvault.operators.rename import mapping_of, rename_batch
 from signalvault.sources.store import read_store, write_store
 
+NAN = float("nan")
+
+
 def _nodes(spark, rows):
     """(shot, tree, signal, node, values) as f64 leaves."""
     return conform(spark.createDataFrame(rows, "shot string, tree string, signal string, node string, f64 array<double>").withColumns(
@@ -45,3 +52,20 @@ def test_a_store_write_computes_its_rows_once(spark, folder):
     write_store(type(store)(nodes, groups, store.attrs), folder + "/s")
     assert seen.value == 200
     assert read_store(spark, folder + "/s").nodes.count() == 200
+
+
+def test_short_rows_are_settled_in_one_alignment(spark, monkeypatch):
+    calls, align = [], compare.align
+    monkeypatch.setattr(compare, "align", lambda *a: calls.append(1) or align(*a))
+
+    def side(*values):
+        rows = _nodes(spark, [("s", "t", f"k{i}", "data", v) for i, v in enumerate(values)])
+        return rows.withColumn("path", F.concat_ws("/", "signal", "node"))
+
+    first = side([1.0], [1.0], [NAN], [NAN], [None], [0.0])
+    second = side([1.0 + 1e-12], [2.0], [NAN], [1.0], [None], [-0.0])
+    found = compare.leaf_differences(first, second, ["shot"]).collect()
+    assert sorted((r.path, r.difference) for r in found) == [("k1/data", DATA_VALUES), ("k3/data", NAN_POSITIONS)]
+    assert len(calls) == 1
+    mixed = compare.leaf_differences(side([1.0], [1.0] * 9), side([1.0] * 9, [1.0] * 9), ["shot"]).collect()
+    assert [(r.path, r.difference) for r in mixed] == [("k0/data", "Shape mismatch")]
