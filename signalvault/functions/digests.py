@@ -41,14 +41,22 @@ def _added(parts: DataFrame, by: list[str]) -> DataFrame:
     return parts.groupBy(*by).agg(*[lane.alias(name) for lane, name in zip(lanes, LANES)])
 
 
-def merkle(store: Store, level: str, side: str = "") -> DataFrame:
+def _attributes(store: Store, side: str) -> DataFrame:
+    """An attribute that holds NaN equals nothing, not even itself: ``side`` makes its digest differ between two sides."""
+    return store.attrs.withColumn("side", F.when(_has_nan(), side))
+
+
+def _has_nan() -> Column:
+    return F.coalesce(F.exists("f64", F.isnan), F.lit(False))
+
+
+def merkle(store: Store, level: str, side: str = "", signals: DataFrame | None = None) -> DataFrame:
     """Digest (four sums) of every group of ``level``: its columns of the key, and LANES.
 
-    Only keys and segment digests of the leaves are read. An attribute that holds NaN equals nothing, not even itself:
-    ``side`` makes its digest differ between the two sides of a comparison.
+    Only keys and segment digests of the leaves are read; with ``signals``, the digests of the signals (``side`` of the
+    comparison included), no leaf at all.
     """
-    has_nan = F.coalesce(F.exists("f64", F.isnan), F.lit(False))
-    attrs = store.attrs.withColumn("side", F.when(has_nan, side))
+    attrs = _attributes(store, side)
     content = ["node", "name", "side", *ATTR]
 
     def groups(depth: int) -> DataFrame:
@@ -60,7 +68,7 @@ def merkle(store: Store, level: str, side: str = "") -> DataFrame:
             here = here & F.col(below).isNull()
         return attrs.where(here).select(*KEY[:depth], *_part("attribute", *content))
 
-    found = _added(reduce(DataFrame.unionByName, [
+    found = signals if signals is not None else _added(reduce(DataFrame.unionByName, [
         groups(3), owned(3), store.nodes.select(*KEY, *_part("leaf", "node", "seg", *DIGEST)),
         store.nested.select(*KEY, *_part("group", "path"))]), KEY)
     for depth in range(2, KEY.index(level), -1):

@@ -286,18 +286,27 @@ def _alike(first: DataFrame, second: DataFrame, on: Sequence[str]) -> DataFrame:
     return aligned.select(*on, F.coalesce(F.col("a.sums") == F.col("b.sums"), F.lit(False)).alias("same"))
 
 
-def unequal_units(first: Store, second: Store, left: DataFrame, right: DataFrame, unit: Sequence[str], level: str) -> DataFrame:
+def signal_digests(first: Store, second: Store) -> tuple[DataFrame, DataFrame]:
+    """Digests of all signals of both sides, written down: the units' digests and the search for unequal signals come from
+    them, so the leaves are added up once."""
+    sums = cut_lineage(merkle(first, "signal", "first"))
+    return sums, cut_lineage(merkle(second, "signal", "second"))
+
+
+def unequal_units(first: Store, second: Store, left: DataFrame, right: DataFrame, unit: Sequence[str], level: str,
+                  signals: tuple[DataFrame, DataFrame]) -> DataFrame:
     """Units whose subtrees have different digests. Only keys and digests are read."""
     on = [*SCOPES[level], level]
-    sides = [merkle(s, level, name).join(names, on) for s, names, name in ((first, left, "first"), (second, right, "second"))]
+    sides = [merkle(s, level, name, known).join(names, on)
+             for s, names, name, known in ((first, left, "first", signals[0]), (second, right, "second", signals[1]))]
     return _alike(*sides, unit).where(~F.col("same")).select(*unit)
 
 
-def unequal_signals(first: Store, second: Store, left: DataFrame, right: DataFrame, unit: Sequence[str], level: str) -> DataFrame:
+def unequal_signals(left: DataFrame, right: DataFrame, unit: Sequence[str], level: str, signals: tuple[DataFrame, DataFrame]) -> DataFrame:
     """(unit columns, key below the unit) of the signals whose digests differ or that one side lacks."""
     below = KEY[KEY.index(level) + 1:]
     on = [*SCOPES[level], level]
-    sides = [merkle(s, "signal", name).join(names, on) for s, names, name in ((first, left, "first"), (second, right, "second"))]
+    sides = [known.join(names, on) for known, names in zip(signals, (left, right))]
     return _alike(*sides, [*unit, *below]).where(~F.col("same")).select(*unit, *below)
 
 
@@ -309,11 +318,12 @@ def subtree_differences(first: Store, second: Store, left: DataFrame, right: Dat
     """
     only = None
     if has_digests(first.nodes) and has_digests(second.nodes):
-        unequal = cut_lineage(unequal_units(first, second, left, right, unit, level))
+        signals = signal_digests(first, second)
+        unequal = cut_lineage(unequal_units(first, second, left, right, unit, level, signals))
         if unequal.isEmpty():   # nothing but keys and digests is read
             return unequal.select(*unit, F.lit("").alias("path"), F.lit("").alias("difference"))
         left, right = (names.join(unequal, list(unit), "left_semi").select(*names.columns) for names in (left, right))
-        only = cut_lineage(unequal_signals(first, second, left, right, unit, level))
+        only = cut_lineage(unequal_signals(left, right, unit, level, signals))
     return differences(side_of(first, left, unit, level, only), side_of(second, right, unit, level, only), unit)
 
 

@@ -69,3 +69,18 @@ def test_short_rows_are_settled_in_one_alignment(spark, monkeypatch):
     assert len(calls) == 1
     mixed = compare.leaf_differences(side([1.0], [1.0] * 9), side([1.0] * 9, [1.0] * 9), ["shot"]).collect()
     assert [(r.path, r.difference) for r in mixed] == [("k0/data", "Shape mismatch")]
+
+
+def test_signals_are_added_up_once_for_a_comparison(spark, folder, monkeypatch):
+    sums, merkle = [], compare.merkle
+
+    def counted(store, level, side="", signals=None):
+        sums.append(level) if signals is None else None
+        return merkle(store, level, side, signals)
+
+    monkeypatch.setattr(compare, "merkle", counted)
+    for name, x in (("a", 1.0), ("b", 2.0)):
+        write_store(store_from_nodes(_nodes(spark, [("s", "t", "k", "data", [x]), ("s", "u", "k", "data", [0.0])])), f"{folder}/{name}")
+    verdicts, _ = compare.compare_stores(*[read_store(spark, f"{folder}/{n}") for n in "ab"], "tree")
+    assert sorted((r.tree, r.n_differences) for r in verdicts.collect()) == [("t", 1), ("u", 0)]
+    assert sums == ["signal", "signal"]
