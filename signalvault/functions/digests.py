@@ -50,6 +50,10 @@ def _has_nan() -> Column:
     return F.coalesce(F.exists("f64", F.isnan), F.lit(False))
 
 
+def has_nan_attributes(store: Store) -> bool:
+    return not store.attrs.where(_has_nan()).isEmpty()
+
+
 def merkle(store: Store, level: str, side: str = "", signals: DataFrame | None = None) -> DataFrame:
     """Digest (four sums) of every group of ``level``: its columns of the key, and LANES.
 

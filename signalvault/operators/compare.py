@@ -18,7 +18,7 @@ from signalvault.fixed_values import (
     ATTRIBUTE_KEYS, DATA_VALUES, NAN_POSITIONS, ONLY_IN_FIRST, ONLY_IN_SECOND, SHAPE_MISMATCH,
     SHOWN_DIFFERENCES,
 )
-from signalvault.functions.digests import ATTR, DIGEST, LANES, LEAF, has_digests, merkle
+from signalvault.functions.digests import ATTR, DIGEST, LANES, LEAF, has_digests, has_nan_attributes, merkle
 from signalvault.model import KEY, SEGMENT_ELEMENTS, Store
 from signalvault.session import cut_lineage
 from signalvault.functions.values import (
@@ -288,8 +288,10 @@ def _alike(first: DataFrame, second: DataFrame, on: Sequence[str]) -> DataFrame:
 
 def signal_digests(first: Store, second: Store) -> tuple[DataFrame, DataFrame]:
     """Digests of all signals of both sides, written down: the units' digests and the search for unequal signals come from
-    them, so the leaves are added up once."""
+    them, so the leaves are added up once. Two sides of one store share theirs."""
     sums = cut_lineage(merkle(first, "signal", "first"))
+    if second is first and not has_nan_attributes(first):
+        return sums, sums
     return sums, cut_lineage(merkle(second, "signal", "second"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from signalvault.fixed_values import DATA_VALUES, NAN_POSITIONS
 from signalvault.model import NODES, conform, empty, store_from_nodes, with_ancestors
 from signalvault.operators import chains, compare
-from signalvault.operators.rename import mapping_of, rename_batch
+from signalvault.operators.rename import mapping_of, rename, rename_batch
 from signalvault.sources.store import read_store, write_store
 
 NAN = float("nan")
@@ -84,3 +84,16 @@ def test_signals_are_added_up_once_for_a_comparison(spark, folder, monkeypatch):
     verdicts, _ = compare.compare_stores(*[read_store(spark, f"{folder}/{n}") for n in "ab"], "tree")
     assert sorted((r.tree, r.n_differences) for r in verdicts.collect()) == [("t", 1), ("u", 0)]
     assert sums == ["signal", "signal"]
+
+
+def test_two_sides_of_one_store_share_their_digests(spark, folder, monkeypatch):
+    sums, merkle = [], compare.merkle
+
+    def counted(store, level, side="", signals=None):
+        sums.append(level) if signals is None else None
+        return merkle(store, level, side, signals)
+
+    monkeypatch.setattr(compare, "merkle", counted)
+    write_store(store_from_nodes(_nodes(spark, [("s", t, "k", "data", [x]) for t, x in (("a", 1.0), ("b", 1.0))])), folder + "/s")
+    assert [r.verdict for r in rename(read_store(spark, folder + "/s"), "a", "b").verdicts.collect()] == ["deduplicated"]
+    assert sums == ["signal"]
