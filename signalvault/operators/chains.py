@@ -52,12 +52,34 @@ def chains(lines: DataFrame, links: DataFrame) -> DataFrame:
             return points
 
 
+FEW_LINES = 32
+"""Lines of one scope up to which they are folded as one chain, tied or not."""
+
+
+def chains_within(lines: DataFrame, links: DataFrame, tied: Sequence[str]) -> DataFrame:
+    """(line_no, chain), where lines of scopes with few lines need not be tied to share a chain.
+
+    Lines without a common name do not meet in the folds, so a small scope is a chain as it is, found by one aggregate.
+    Only the lines of larger scopes go through the rounds of ``chains``.
+    """
+    if not tied:
+        return chains(lines, links)
+    sizes = lines.groupBy(*tied).agg(F.count(F.lit(1)).alias("n"), F.min("line_no").alias("chain"))
+    placed = cut_lineage(lines.join(sizes, list(tied)).select(
+        "line_no", F.when(F.col("n") <= FEW_LINES, F.col("chain")).alias("chain")))
+    few, many = placed.where(F.col("chain").isNotNull()), placed.where(F.col("chain").isNull()).select("line_no")
+    if many.isEmpty():
+        return few
+    inside = links.join(many, F.col("a") == F.col("line_no"), "left_semi")
+    return few.unionByName(chains(many, inside))
+
+
 def chain_groups(labels: DataFrame, lines: DataFrame, links: DataFrame, scope: Sequence[str], tied: Sequence[str]) -> DataFrame:
     """One row per (scope, chain) that bears one of its names: ``names`` and ``lines`` of the chain, the numbers ``held``.
 
     ``tied`` are the scope columns inside which names tie; a line that names a shot acts in that shot only.
     """
-    marked = cut_lineage(lines.join(chains(lines, links), "line_no"))
+    marked = cut_lineage(lines.join(chains_within(lines, links, tied), "line_no"))
     per_chain = names_of_lines(marked.withColumn("line_no", F.col("chain")), tied).groupBy(
         F.col("line_no").alias("chain"), *tied).agg(F.array_sort(F.collect_set("name")).alias("names"))
     wanted = F.col("shot") if "shot" in scope else F.lit(None).cast("string")

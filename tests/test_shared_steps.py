@@ -71,6 +71,20 @@ def test_short_rows_are_settled_in_one_alignment(spark, monkeypatch):
     assert [(r.path, r.difference) for r in mixed] == [("k0/data", "Shape mismatch")]
 
 
+@pytest.mark.parametrize("few", [1, 32])
+def test_small_scopes_are_chains_without_rounds(spark, monkeypatch, few):
+    monkeypatch.setattr(chains, "FEW_LINES", few)
+    rounds, plain = [], chains.chains
+    monkeypatch.setattr(chains, "chains", lambda *a: rounds.append(1) or plain(*a))
+    nodes = _nodes(spark, [("s", "t", k, "data", [float(i)]) for i, k in enumerate("abd")] + [("s", "u", "a", "data", [5.0])])
+    lines = spark.createDataFrame([(1, "b", "c", "s", "t"), (2, "a", "b", "s", "t"), (3, "d", "e", "s", "t"), (4, "a", "z", "s", "u")],
+                                  "line_no long, old_name string, new_name string, shot string, tree string")
+    after = rename_batch(store_from_nodes(nodes), mapping_of(lines), "signal").store.nodes
+    assert sorted((r.tree, r.signal, r.f64[0]) for r in after.collect()) == [
+        ("t", "b", 0.0), ("t", "c", 1.0), ("t", "e", 2.0), ("u", "z", 5.0)]
+    assert len(rounds) == (1 if few == 1 else 0)
+
+
 def test_signals_are_added_up_once_for_a_comparison(spark, folder, monkeypatch):
     sums, merkle = [], compare.merkle
 
